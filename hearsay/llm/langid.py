@@ -1,6 +1,6 @@
 """Language identification by compression: the language whose zstandard raw-content dictionary encodes a text smallest.
 
-A dictionary is made of texts of one language, from a bounded sample of labelled rows. Every whole text is encoded, in
+A dictionary is made of lower-cased texts of one language, from a bounded sample of labelled rows. Every whole text is encoded, in
 blocks, once with each dictionary; the smallest sum of sizes wins. A narrow margin to the second is a rejection.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the label that sorts
@@ -28,12 +28,12 @@ def learn_dictionaries(rows: DataFrame, text: str = "text", label: str = "lang",
     picked = per_class(good, label, key, texts_per_label).select(label, F.substring(text, 1, chars_per_text).alias("t"), F.xxhash64(F.col(key)).alias("h"))
     found: dict[str, list[bytes]] = {}
     for lab, t, _ in sorted(picked.collect(), key=lambda r: (r[0], r[2])):  # bounded by the parameters
-        found.setdefault(lab, []).append(t.encode())
+        found.setdefault(lab, []).append(t.lower().encode())
     # the end of a dictionary is cheapest to refer to
     return {lab: b"\n".join(parts)[-dictionary_bytes:] for lab, parts in found.items()}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = 3, block_bytes: int = 1 << 15, min_margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = 9, block_bytes: int = 1 << 15, min_margin: float = 0.01) -> DataFrame:
     """Add lang_pred (best label), score (0 to 1), margin (by which the second is larger) and rejected."""
     spark = docs.sparkSession
     added = ("lang_pred", "score", "margin", "rejected")
@@ -57,7 +57,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     def judge(t: str, coders: list) -> tuple[str, float, float, bool]:
-        raw = t.encode()
+        raw = t.lower().encode()
         blocks = [raw] if len(raw) <= block_bytes else [raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)]
         sizes = [(sum(len(c(x)) for x in blocks), lab) for lab, c in coders]
         if not sizes:
