@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, decontaminate, langid, linededup, neardup, quality, sharding, urls
+from hearsay.llm import bpe, decontaminate, langid, linededup, neardup, quality, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.op2_query,
     "op3_decontamination": decontaminate.op3_query,
     "op4_url_filter": urls.op4_query,
     "op5_near_duplicates": neardup.op5_query,
+    "op6_toxicity": toxicity.op6_query,
     "op7_line_dedup": linededup.op7_query,
     "op8_quality_rules": quality.op8_query,
     "op9_sharding": sharding.op9_query,
