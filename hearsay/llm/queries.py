@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, decontaminate, langid, linededup, neardup, quality, sharding, toxicity, urls
+from hearsay.llm import bpe, decontaminate, langid, licenses, linededup, neardup, quality, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licenses.op1_query,
     "op2_language_id": langid.op2_query,
     "op3_decontamination": decontaminate.op3_query,
     "op4_url_filter": urls.op4_query,
