@@ -209,12 +209,15 @@ def toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame
 REJECT = 0.7
 
 
-def learn_from(spark, docs: DataFrame, sf_dir: str) -> Grammar:
+def learn_from(spark, docs: DataFrame, sf_dir: str, rows_per_label: int = 3000) -> Grammar:
+    """The grammar of the labelled rows that are not held out. Ids are sampled before texts are looked up, so what is
+    joined, and broadcast, is twice ``rows_per_label`` ids at most, and no text is shuffled."""
     from hearsay.runtime import table
 
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull()), "doc_id")
-    return learn(rows)
+    labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    ids = cut(per_class(labels, "toxic", "doc_id", rows_per_label))
+    return learn(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), rows_per_label=rows_per_label)
 
 
 def op6_query(spark, sf_dir) -> DataFrame:
