@@ -10,9 +10,11 @@ from hearsay.functions import urls
 from hearsay.runtime import table
 
 #: One row for each response that was seen.
-OBSERVATION = T.StructType.fromDDL(
-    "seq bigint, session_id string, captured_at bigint, method string, url string, path string, query_raw string, base_url string, request_headers string, request_body string, "
-    "response_status int, response_headers string, response_body string, response_time_ms bigint, source string, trace_id string"
+OBSERVATION = T.StructType(
+    [T.StructField("seq", T.LongType()), T.StructField("session_id", T.StringType()), T.StructField("captured_at", T.LongType())]
+    + [T.StructField(c, T.StringType()) for c in ("method", "url", "path", "query_raw", "base_url", "request_headers", "request_body")]
+    + [T.StructField("response_status", T.IntegerType()), T.StructField("response_headers", T.StringType()), T.StructField("response_body", T.StringType())]
+    + [T.StructField("response_time_ms", T.LongType()), T.StructField("source", T.StringType()), T.StructField("trace_id", T.StringType())]
 )
 
 #: Event type -> method. Fixed values of the adapter.
