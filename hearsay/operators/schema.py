@@ -97,9 +97,9 @@ def fragment_of(body: str | Column) -> Column:
 def response_schemas(rows: DataFrame, stored: DataFrame | None = None, slices: int = 64) -> DataFrame:
     """(endpoint_id, status, fragment, samples) of rows (endpoint_id, response_status, response_body, seq).
 
-    The merge depends on the order of first appearance alone as long as a fragment that comes again changes nothing, which
-    holds for equal neighbours; so runs of equal fragments are first made one, in slices of an endpoint's time line, and
-    only what is left, one row a change, is folded in order. Stored merged schemas (endpoint_id, status, fragment) win.
+    The merge depends on order, so it is folded in order. What is folded are runs of equal fragments, found in slices of an
+    endpoint's time line, so an endpoint with a third of all rows and one shape is a few rows. A run is merged until
+    another merge changes nothing. Stored merged schemas (endpoint_id, status, fragment) win.
     """
     from pyspark.sql.window import Window
 
@@ -108,14 +108,24 @@ def response_schemas(rows: DataFrame, stored: DataFrame | None = None, slices: i
     count = f.groupBy("endpoint_id", "status").agg(F.count("*").alias("samples"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     cut_at = F.least(F.lit(slices - 1), F.floor((F.col("seq") - F.col("lo")) * slices / F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))))
     s = f.join(count.drop("samples"), ["endpoint_id", "status"]).withColumn("slice", cut_at)
-    w = Window.partitionBy("endpoint_id", "status", "slice").orderBy("seq")
-    changes = s.withColumn("before", F.lag("fragment").over(w)).filter(~F.col("before").eqNullSafe(F.col("fragment")))
+    whole = Window.partitionBy("endpoint_id", "status", "slice")
+    w = whole.orderBy("seq")
+    s = s.withColumns({"before": F.lag("fragment").over(w), "n": F.row_number().over(w), "all": F.count("*").over(whole)})
+    changes = s.filter(~F.col("before").eqNullSafe(F.col("fragment")))
+    changes = changes.withColumn("times", F.coalesce(F.lead("n").over(w), F.col("all") + 1) - F.col("n"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [json.loads(x) for x in pdf.sort_values("seq").fragment]
-        return pd.DataFrame([(pdf.endpoint_id.iloc[0], pdf.status.iloc[0], json.dumps(reduce(merge, parts)))], columns=["endpoint_id", "status", "fragment"])
-
-    out = changes.select("endpoint_id", "status", "seq", "fragment").groupBy("endpoint_id", "status").applyInPandas(fold, "endpoint_id string, status int, fragment string")
+        acc = None
+        for text, times in pdf.sort_values("seq")[["fragment", "times"]].itertuples(index=False):
+            x = json.loads(text)
+            for _ in range(times):
+                new = x if acc is None else merge(acc, x)
+                if new == acc:
+                    break
+                acc = new
+        return pd.DataFrame([(pdf.endpoint_id.iloc[0], pdf.status.iloc[0], json.dumps(acc))], columns=["endpoint_id", "status", "fragment"])
+
+    out = changes.select("endpoint_id", "status", "seq", "fragment", "times").groupBy("endpoint_id", "status").applyInPandas(fold, "endpoint_id string, status int, fragment string")
     out = out.join(count.select("endpoint_id", "status", "samples"), ["endpoint_id", "status"])
     if stored is None:
         return out

@@ -62,7 +62,7 @@ PAIR = "url string, method string, responded_at bigint, requested_at bigint, pos
 
 def pair_stream(events: DataFrame, keep_ms: int = 120_000) -> DataFrame:
     """Responses with their waiting request, by state keyed on (url, method): a later request replaces an earlier one, a
-    response takes it. A request that waits longer than ``keep_ms`` is forgotten."""
+    response takes it. A request is forgotten once the watermark is ``keep_ms`` past it."""
     state = "ts bigint, post_data string, trace_id string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
@@ -81,11 +81,12 @@ def pair_stream(events: DataFrame, keep_ms: int = 120_000) -> DataFrame:
             waiting = None
         if waiting:
             held.update(waiting)
-            held.setTimeoutDuration(keep_ms)
+            held.setTimeoutTimestamp(max(waiting[0] + keep_ms, held.getCurrentWatermarkMs() + 1))
         elif held.exists:
             held.remove()
         if out:
             names = [c.split()[0] for c in PAIR.split(", ")]
             yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("responded_at", "requested_at", "response_time_ms")})
 
-    return events.groupBy("url", "method").applyInPandasWithState(step, PAIR, state, "append", "ProcessingTimeTimeout")
+    timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", LATE)
+    return timed.groupBy("url", "method").applyInPandasWithState(step, PAIR, state, "append", "EventTimeTimeout")
