@@ -55,7 +55,7 @@ def directory(keyed: DataFrame, limit: int, fine: int = 16, step: int = 12) -> D
 
 def assign(keyed: DataFrame, shards: DataFrame) -> DataFrame:
     """Add shard (its bits as text), to every row; depths are few, prefixes are joined on equality."""
-    depths = [r[0] for r in shards.select("depth").distinct().collect()]  # 61 at most
+    depths = [r[0] for r in shards.select("depth").distinct().collect()] or [0]  # 61 at most
     marks = shards.select(F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"), "oversized", F.expr("substring(lpad(conv(prefix, 10, 2), 64, '0'), 65 - depth, depth)").alias("shard"))
     tries = keyed.withColumn("_try", F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("_key", BITS - d).alias("prefix")) for d in sorted(depths)]))
     # the directory fits in memory by its size: one entry per limit of bytes; Spark broadcasts it below its threshold
