@@ -20,11 +20,14 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.runtime import cut
+
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -257,13 +260,23 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = 65_536, at_least: int = 3) -> list[str]:
-    """The ``most`` most frequent words of all texts, as the split pattern would cut them (with and without a space)."""
+    """The most frequent words of all texts, ``most`` at the most, as the split pattern would cut them (with and without a
+    space). The count from which words are taken comes from a histogram of counts, so that only words that are taken
+    reach the driver; words of the last, only partly fitting step of the histogram aren't taken."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")).alias("w")).filter("w <> '' and length(w) <= 64")
-    top = words.groupBy("w").count().filter(F.col("count") >= at_least).orderBy(F.desc("count"), "w").limit(most)
+    counted = cut(words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least).withColumn("step", F.floor(F.log2("n") * 64).cast("int")))
+    steps = sorted(((r[0], r[1]) for r in counted.groupBy("step").count().collect()), reverse=True)  # 64 steps for each doubling
+    total, least = 0, None
+    for step, n in steps:
+        total += n
+        if total > most:
+            break
+        least = step
     split, out = regex.compile(PATTERN).findall, set()
-    for (w,) in top.select("w").collect():  # bounded by `most`
-        out.update(split(" " + w))
-        out.update(split(w))
+    if least is not None:
+        for (w,) in counted.filter(F.col("step") >= least).select("w").collect():  # bounded by `most`
+            out.update(split(" " + w))
+            out.update(split(w))
     return sorted(out)
 
 
@@ -340,9 +353,7 @@ def bpe_decode(rows: DataFrame, tokenizer_json: str, ids: str = "ids", out: str
         shared = rows.sparkSession.sparkContext.broadcast(Merges(f.read()).token_bytes)
 
     @F.pandas_udf("string")
-    def decode(batches):
-        import pandas as pd
-
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = shared.value
         for s in batches:
             yield pd.Series([None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace") for x in s])
