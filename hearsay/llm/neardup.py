@@ -99,10 +99,12 @@ def sketches(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int
     return fed.mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, n: int) -> DataFrame:
-    """(c, s): the sorted shingle set of each node in ``nodes`` (c, t). Only the texts that are asked for are cut again."""
-    asked = nodes.select("t").distinct()
-    picked = docs.select(F.col(text).alias("x"), F.xxhash64(F.col(text)).alias("t")).join(asked, "t", "left_semi")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int) -> DataFrame:
+    """(c, s): the sorted shingle set of each node in ``nodes`` (t, id). Only the texts that are asked for are cut again,
+    and of a text's copies only the row that stands for it is looked up, so copies are dealt by their ids."""
+    asked = nodes.select(F.col("t").alias("_t"), F.col("id").alias("_id"))
+    rows = docs.select(F.col(text).alias("x"), F.xxhash64(F.col(text)).alias("t"), F.col(key).alias("id"))
+    picked = rows.join(asked, (F.col("t") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     fed = picked.dropDuplicates(["t"]).select(word_hashes("x").alias("w")).withColumn("c", F.xxhash64("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +125,10 @@ def jaccard(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.join(left, "c").join(right, "pivot").select("c", "pivot", (both / (F.size("x") + F.size("y") - both)).alias("j"))
 
 
-def groups(sketch: DataFrame, docs: DataFrame, text: str, n: int) -> tuple[DataFrame, DataFrame] | None:
+def groups(sketch: DataFrame, docs: DataFrame, text: str, key: str, n: int) -> tuple[DataFrame, DataFrame] | None:
     """(node, component) of nodes that may have links, and their shingle sets; None if no two texts meet."""
-    nodes = sketch.filter("c is not null").groupBy("c").agg(F.min(F.struct("t", "bands")).alias("v")).select("c", "v.t", "v.bands")
-    buckets = nodes.select("c", "t", F.explode("bands").alias("k"))
+    nodes = sketch.filter("c is not null").groupBy("c").agg(F.min("bands").alias("bands"))
+    buckets = nodes.select("c", F.explode("bands").alias("k"))
 
     def pivoted(rows: DataFrame) -> DataFrame:
         least = rows.groupBy("k").agg(F.min("c").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
@@ -135,8 +137,8 @@ def groups(sketch: DataFrame, docs: DataFrame, text: str, n: int) -> tuple[DataF
     met = pivoted(buckets)
     if met.isEmpty():
         return None
-    sets = cut(shingle_sets(docs, met.select("t"), text, n))
-    met = met.drop("t")
+    stands = sketch.groupBy("c").agg(F.min(F.struct("t", "id")).alias("v")).join(met.select("c").distinct(), "c", "left_semi").select("v.t", "v.id")
+    sets = cut(shingle_sets(docs, stands, text, key, n))
     ties, known = [], None
     for turn in range(ROUNDS + 1):
         pairs = met.filter("c <> pivot").select("c", "pivot").distinct()
@@ -260,7 +262,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     the same words) and n_links (documents at the threshold or above, copies included)."""
     sketch = cut(sketches(docs, text, key, bands_for(threshold, rows, recall), rows, n))
     nodes = sketch.filter("c is not null").groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-    found = groups(sketch, docs, text, n)
+    found = groups(sketch, docs, text, key, n)
     base = sketch.select("id", "t", "c")
     if found is None:
         out = base.join(nodes, "c", "left").withColumn("links", F.lit(0).cast("long")).withColumn("class_least", F.col("least"))
