@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A learned lexicon of insults (words that are far likelier in toxic texts) joins seed lists of threats, targets,
-negations and reported speech. A scanner finds the lexicon's words in a text; around each hit, within its clause, a
+A learned lexicon of insults (words and stems that are far likelier in toxic texts; a stem, written ``stem*``, stands for
+all words that begin with it, and is learned from texts that hold two different ones) joins seed lists of threats, targets, negations and reported speech. A scanner finds the
+lexicon's words in a text, of several that begin at one place the one of most evidence; around each hit, within its clause, a
 composition of small transducers reads the words: insult or threat emits an event, a target in the clause raises it, a
 negation before it or a verb or quotation mark of reported speech lowers it into another class. Matched clauses, by
 class, are what is scored; the weights of the classes are fitted on labelled rows.
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm.sample import held_out, per_class
@@ -33,13 +34,17 @@ THREATS = ("kill you", "hurt you", "destroy you", "beat you", "find you", "make
 TARGETS = ("you", "your", "you're", "he", "she", "they", "these", "those", "people", "tu", "vous", "du", "ihr", "usted", "ustedes")
 NEGATIONS = ("not", "never", "isn't", "aren't", "don't", "no one", "nobody", "without")
 REPORTED = ("said", "says", "wrote", "writes", "quoted", "according", "reported", "claimed", "called", "alleged")
-#: Classes of clauses, in the order of the weights; each feature is the logarithm of 1 plus the evidence of its clauses.
-CLASSES = ("insult", "targeted", "negated", "reported", "threat")
+#: Classes of clauses, in the order of the weights; each feature is the logarithm of 1 plus the evidence of its clauses
+#: (of stems, which chance brings to long texts: the evidence in 100 words).
+CLASSES = ("insult", "targeted", "negated", "reported", "threat", "stem")
 #: Constant and weights by class before any row is seen; fitting starts from them and keeps them where rows say nothing.
-DEFAULT = (-4.0, 4.0, 5.0, 1.0, 1.0, 5.0)
+DEFAULT = (-4.0, 4.0, 5.0, 1.0, 1.0, 5.0, 3.0)
 #: Evidence (a logit) of seed words; learned words get that of the lower bound on their share of toxic texts.
 SEED = 3.0
 
+#: Lengths of the stems that are tried.
+STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
+
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 QUOTES = "\"“”«»„"
@@ -47,7 +52,7 @@ QUOTES = "\"“”«»„"
 
 @dataclass
 class Grammar:
-    """The lexicon (word -> evidence), the patterns built of it, and the fitted weights."""
+    """The lexicon (word or ``stem*`` -> evidence), the patterns built of it, and the fitted weights."""
 
     lexicon: dict[str, float]
     weights: tuple[float, ...] = DEFAULT
@@ -64,10 +69,10 @@ class Grammar:
             for w in words:
                 self._cues.setdefault(w, kind)
         self._scan = ahocorasick.Automaton()
-        for w, x in self.lexicon.items():
-            self._scan.add_word(w, ("insult", len(w), x))
+        for w in {w.removesuffix("*") for w in self.lexicon}:
+            self._scan.add_word(w, (len(w), ("insult", self.lexicon.get(w, 0.0)), ("stem", self.lexicon.get(f"{w}*", 0.0))))
         for w in THREATS:
-            self._scan.add_word(w, ("threat", len(w), SEED))
+            self._scan.add_word(w, (len(w), ("threat", SEED), ("stem", 0.0)))
         if len(self._scan):
             self._scan.make_automaton()
 
@@ -75,15 +80,18 @@ class Grammar:
         """(class, weight, start, end) of each matched clause part; positions are in the lower-cased text."""
         if self._scan is None:
             self.ready()
-        low, hits = text.lower(), []
+        low, best = text.lower(), {}
         if not len(self._scan):
-            return hits
-        for end, (kind, n, weight) in self._scan.iter(low):
+            return []
+        for end, (n, word, stem) in self._scan.iter(low):
             start = end - n + 1
-            if (start and (low[start - 1].isalnum() or low[start - 1] == "_")) or (end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_")):
+            if start and (low[start - 1].isalnum() or low[start - 1] == "_"):
                 continue
-            hits.append((self._compose(low, kind, start, end + 1), weight, start, end + 1))
-        return hits
+            goes_on = end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_")
+            kind, weight = stem if goes_on or stem[1] > word[1] else word
+            if weight > best.get(start, ("", 0.0, 0))[1]:
+                best[start] = kind, weight, end + 1
+        return [(self._compose(low, kind, start, end), weight, start, end) for start, (kind, weight, end) in best.items()]
 
     def _compose(self, low: str, kind: str, start: int, end: int) -> str:
         """Run the clause through the transducers: states are what has been read before the hit, then after it."""
@@ -109,6 +117,7 @@ class Grammar:
         by = dict.fromkeys(CLASSES, 0.0)
         for kind, weight, _, _ in self.clauses(text):
             by[kind] += weight
+        by["stem"] *= 100 / (text.count(" ") + text.count("\n") + 1)
         return [1.0, *(math.log1p(by[c]) for c in CLASSES)]
 
     def score(self, text: str) -> float:
@@ -117,7 +126,7 @@ class Grammar:
 
 
 def _lexicon(table: DataFrame, bad: str, good: str, n_bad: int, n_good: int, size: int) -> dict[str, float]:
-    """Words that toxic texts have far oftener, with the logit of a lower bound (Wilson) on their share."""
+    """Words and stems that toxic texts have far oftener, with the logit of a lower bound (Wilson) on their share."""
     found = dict.fromkeys(INSULTS, SEED)
     share = (F.col(bad) / n_bad) / (F.col(bad) / n_bad + (F.col(good) + 0.5) / n_good)
     top = table.filter(F.col(bad) >= max(3, math.ceil(0.002 * n_bad))).select("w", F.col(bad).alias("b"), F.col(good).alias("g"), share.alias("p"))
@@ -129,6 +138,13 @@ def _lexicon(table: DataFrame, bad: str, good: str, n_bad: int, n_good: int, siz
     return found
 
 
+def _stems(words: DataFrame) -> DataFrame:
+    """Rows (y, a, w) of the stems (``stem*``) that two or more different words of a text share, from its words."""
+    cuts = F.filter(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEM_LENGTHS)), lambda s: s.isNotNull())
+    shared = words.select("id", "y", "a", F.explode(cuts).alias("s")).groupBy("id", "y", "a", "s").count().filter("count > 1")
+    return shared.select("y", "a", F.concat("s", F.lit("*")).alias("w"))
+
+
 def learn(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_label: int = 3000, lexicon_size: int = 2000) -> Grammar:
     """Fit a grammar on at most ``rows_per_label`` rows of each label (0 and 1).
 
@@ -140,8 +156,9 @@ def learn(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
     totals = picked.agg(F.sum("y"), F.sum(1 - F.col("y")), F.sum(F.when(F.col("a"), F.col("y"))), F.sum(F.when(F.col("a"), 1 - F.col("y")))).first()
     if not all(totals):
         return Grammar(dict.fromkeys(INSULTS, SEED))
-    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}']+"))
-    counts = picked.select("y", "a", F.explode(words).alias("w")).filter(F.length("w").between(3, 40))
+    words = F.filter(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}']+")), lambda w: F.length(w).between(3, 40))
+    each = picked.withColumn("id", F.monotonically_increasing_id()).select("id", "y", "a", F.explode(words).alias("w"))
+    counts = each.select("y", "a", "w").unionByName(_stems(each))
     in_a = F.col("a").cast("int")
     table = cut(
         counts.groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"), F.sum(F.col("y") * in_a).alias("bad_a"), F.sum((1 - F.col("y")) * in_a).alias("good_a")).filter("bad > 2")

@@ -170,7 +170,7 @@ def test_toxicity(spark, sf_dir, odd):
     asked = spark.read.parquet(f"{root}/labels.parquet").filter(sample.held_out("doc_id")).join(docs, "doc_id")
     got = toxicity.toxicity(asked, g).select("toxic", "score").toPandas()
     hit = got.score >= toxicity.REJECT
-    assert got.toxic[hit].mean() > 0.95 and hit[got.toxic == 1].mean() > 0.75
+    assert got.toxic[hit].mean() > 0.95 and hit[got.toxic == 1].mean() > 0.9
     assert toxicity.toxicity(odd, g).filter("score < 0 or score > 1").count() == 0
     assert toxicity.toxicity(empty(odd), g).count() == 0
     assert toxicity.learn(odd.withColumn("toxic", F.lit(None).cast("int"))).weights == toxicity.DEFAULT
@@ -188,6 +188,18 @@ def test_grammar_classes():
     assert g.score("you idiot") > 0.7 > g.score("not an idiot") and g.score("") < 0.1
 
 
+def test_grammar_stems(spark):
+    g = toxicity.Grammar({"brut*": 2.0, "brute": 3.0, "brutal*": 2.5})
+    assert [c[:2] for c in g.clauses("brute brutish brutally abrute brut")] == [("insult", 3.0), ("stem", 2.0), ("stem", 2.5), ("stem", 2.0)]
+    assert g.score("brutish brutally") > 0.7 > g.score("brutish " + "word " * 500)
+    # any ending after the stem is bad; one word alone makes no stem
+    bad = [(i, 1, f"here zorbi{chr(97 + i % 20)}{chr(97 + i % 17)}q and zorbi{chr(97 + i % 19)}{chr(97 + i % 13)}r with plimse") for i in range(60)]
+    good = [(100 + i, 0, f"here are words {i} of a clean text") for i in range(60)]
+    learned = toxicity.learn(spark.createDataFrame(bad + good, "doc_id int, toxic int, text string"))
+    assert "zorbi*" in learned.lexicon and "plimse" in learned.lexicon and "plims*" not in learned.lexicon
+    assert learned.score("a zorbixyz") > 0.7 > learned.score("a plain text")
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(3)
     pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 4, 9]))) for _ in range(12)] + [""]
