@@ -4,11 +4,12 @@ Test items are cut into segments; segments are the indexed documents, training p
 queries. Impacts are BM25 scores divided by the segment's score for itself, so a threshold means the same share of any
 segment. A passage goes through three bounds, each of which only drops what can't reach the threshold: the sum of its
 words' greatest impacts, the same by block of segments, then block-max WAND over the posting lists of the blocks that
-are left. Everything that is retrieved is verified: question and answer of the segment, as word n-grams, must both
-overlap the passage and its surroundings.
+are left. Segments only retrieve: every item that is found is verified, its whole question and its whole answer, as word
+n-grams, against the passage and as much around it as the item's other segments take.
 
 Indexes of ``PART`` items are broadcast, ``index_items`` items at a time; more items take more passes over the texts. Defined results:
-texts without a word have no passage; items without a word are never found; repeated rows each get their findings;
+texts without a word have no passage; items without a word are never found; a question or answer without a word counts as
+covered; repeated rows each get their findings;
 rows with equal ids are judged one by one; empty tables give an empty result.
 """
 
@@ -54,12 +55,16 @@ class Index:
     def __init__(self, items: list[tuple[int, list[int], int]], block: int = BLOCK, segment: int = SEGMENT, k1: float = K1, b: float = B):
         """items: (item, word hashes, number of words that belong to the question)."""
         self.segments: list[tuple[int, np.ndarray, int]] = []
-        for item, words, question in items:
+        #: by segment: the place of its item, and the item's words before and after the segment
+        self.around: list[tuple[int, int, int]] = []
+        cuts = []
+        for k, (item, words, question) in enumerate(items):
             n = -(-len(words) // segment) if words else 0
             for part in range(n):
                 lo, hi = part * len(words) // n, (part + 1) * len(words) // n
-                self.segments.append((item, np.array(words[lo:hi], np.int64), min(max(question - lo, 0), hi - lo)))
-        self.segments.sort(key=lambda s: (len(s[1]), s[0]))
+                cuts.append(((item, np.array(words[lo:hi], np.int64), min(max(question - lo, 0), hi - lo)), (k, lo, len(words) - hi)))
+        cuts.sort(key=lambda s: (len(s[0][1]), s[0][0]))
+        self.segments, self.around = [s for s, _ in cuts], [a for _, a in cuts]
         self.block = block
         tf = [np.unique(s[1], return_counts=True) for s in self.segments]
         count = len(tf)
@@ -82,11 +87,15 @@ class Index:
         self.most = self.block_max.max(axis=1, initial=0)
         self.low = np.zeros(1 << 20, bool)
         self.low[self.vocab & 0xFFFFF] = True
-        grams = [(ngram_hashes(s[1], min(NGRAM, len(s[1]))), len(s[1])) for s in self.segments]
+        #: by item: n-grams of the question, of the answer, and n. N-grams over the border belong to neither, but a part
+        #: shorter than n has the one that begins, or ends, the item.
         self.parts = []
-        for (g, n), (_, _, q) in zip(grams, self.segments, strict=True):
-            cut = max(0, min(len(g), q - min(NGRAM, n) + 1)) if 0 < q < n else 0
-            self.parts.append((np.unique(g[:cut]), np.unique(g[max(cut, min(q, len(g) - 1)) :] if 0 < q < n else g), min(NGRAM, n)))
+        for _, words, q in items:
+            n = min(NGRAM, len(words))
+            g = ngram_hashes(np.array(words, np.int64), n) if n else np.empty(0, np.uint64)
+            question = g[: max(1, q - n + 1)] if q else g[:0]
+            answer = g[min(q, len(g) - 1) :] if q < len(words) else g[:0]
+            self.parts.append((np.unique(question), np.unique(answer), n))
 
     def codes(self, values: np.ndarray) -> np.ndarray:
         """Places of words in the vocabulary; the number of words where it lacks them."""
@@ -140,8 +149,9 @@ class Index:
                 heads[i] = int(lists[i][0][at[i]]) if at[i] < len(lists[i][0]) else end
 
     def overlap(self, segment: int, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and the answer's n-grams that are in the passage (an empty part counts as covered)."""
-        question, answer, n = self.parts[segment]
+        """Shares of the n-grams of the whole question and answer of a segment's item that are in the passage (a part
+        without a word counts as covered)."""
+        question, answer, n = self.parts[self.around[segment][0]]
         there = ngram_hashes(passage, n)
         return tuple(float(np.isin(g, there).mean()) if len(g) else 1.0 for g in (question, answer))
 
@@ -161,7 +171,7 @@ def find_passages(values: np.ndarray, offsets: np.ndarray, index: Index, thresho
     last = np.minimum(first + 2 * STRIDE, offsets[row + 1])
     live = np.flatnonzero(total[last] - total[first] >= threshold - 1e-6)
     none = len(index.vocab)
-    best: dict[tuple[int, int], tuple] = {}
+    hits: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     for part in np.array_split(live, max(1, -(-len(live) // 8192))):
         at = first[part][:, None] + np.arange(2 * STRIDE)
         words = np.where(at < last[part][:, None], codes[np.minimum(at, len(codes) - 1)], none)
@@ -178,14 +188,19 @@ def find_passages(values: np.ndarray, offsets: np.ndarray, index: Index, thresho
         for k in np.flatnonzero(ok.any(axis=1)).tolist():
             w = int(part[k])
             r = int(row[w])
-            lo, hi = max(int(first[w]) - STRIDE, int(offsets[r])), min(int(last[w]) + STRIDE, int(offsets[r + 1]))
             for segment, score in index.search(words[k][used[k]], ok[k], threshold):
-                q, a = index.overlap(segment, values[lo:hi])
-                if q >= least_overlap and a >= least_overlap:
-                    key = (r, index.segments[segment][0])
-                    if key not in best or best[key][0] < score:
-                        best[key] = (score, q, a, int(first[w] - offsets[r]))
-    return [(r, item, *x) for (r, item), x in best.items()]
+                hits.setdefault((r, index.segments[segment][0]), []).append((score, w, segment))
+    for (r, item), found in hits.items():
+        for score, w, segment in sorted(found, key=lambda h: -h[0]):
+            # the rest of the item, a quarter longer for inserted words, and a stride for a segment half outside the window
+            _, before, after = index.around[segment]
+            lo = max(int(first[w]) - STRIDE - before - before // 4, int(offsets[r]))
+            hi = min(int(last[w]) + STRIDE + after + after // 4, int(offsets[r + 1]))
+            q, a = index.overlap(segment, values[lo:hi])
+            if q >= least_overlap and a >= least_overlap:
+                out.append((r, item, score, q, a, int(first[w] - offsets[r])))
+                break
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, least_overlap: float = OVERLAP, index_items: int = 20_000) -> DataFrame:

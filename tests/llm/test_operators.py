@@ -323,6 +323,22 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(empty(odd), b).count() == 0 and decontaminate.contaminated(odd, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    words = {n: [f"q{n}x{i}" for i in range(n - 20)] + [f"a{n}x{i}" for i in range(20)] for n in (48, 49, 200)}
+    items = [(n, " ".join(w[: n - 20]) + ". Answer: " + " ".join(w[n - 20 :])) for n, w in words.items()]
+    noise = " ".join(f"n{i}" for i in range(300))
+    docs = [(n, f"{noise} {t} {noise}") for n, t in items]
+    # a question, or half of it, without the answer; an answer without its question; both, but far apart
+    docs += [(1000 + n, f"{noise} {' '.join(w[: n - 20])} {noise}") for n, w in words.items()]
+    docs += [(2000 + n, f"{noise} {' '.join(w[: n // 2])} {noise}") for n, w in words.items()]
+    docs += [(3000 + n, f"{noise} {' '.join(w[n - 20 :])} {noise}") for n, w in words.items()]
+    docs += [(4000 + n, f"{' '.join(w[: n - 20])} {noise} {' '.join(w[n - 20 :])}") for n, w in words.items()]
+    b = spark.createDataFrame(items, "item_id int, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), b).collect()
+    assert {(r.id, r["item"]) for r in got} == {(n, n) for n in words}
+    assert all(r.question_overlap == r.answer_overlap == 1 for r in got)
+
+
 def test_decontamination_whole_items(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
