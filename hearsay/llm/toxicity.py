@@ -2,10 +2,11 @@
 
 A learned lexicon of insults (words and stems that are far likelier in toxic texts; a stem, written ``stem*``, stands for
 all words that begin with it, and is learned from texts that hold two different ones) joins seed lists of threats, targets, negations and reported speech. A scanner finds the
-lexicon's words in a text, of several that begin at one place the one of most evidence; around each hit, within its clause, a
-composition of small transducers reads the words: insult or threat emits an event, a target in the clause raises it, a
-negation before it or a verb or quotation mark of reported speech lowers it into another class. Matched clauses, by
-class, are what is scored; the weights of the classes are fitted on labelled rows.
+lexicon's words in a text, of several that begin at one place the one of most evidence. Each clause with a hit is read
+once, from end to end however long it is, by the composition of three weighted transducers: one turns hits shortly after
+a negation into negated ones, one turns hits after a verb of reported speech or between quotation marks into reported
+ones, one turns insults into targeted ones if a target is anywhere in the clause. Matched clauses, by class, are what is
+scored; the weights of the classes are fitted on labelled rows.
 
 Learning uses a bounded sample of labelled rows (``rows_per_label``). Defined results: null and empty texts have no
 clause and get the score of no evidence; rows with a null label are never learned from; without labelled rows of both
@@ -45,9 +46,121 @@ SEED = 3.0
 #: Lengths of the stems that are tried.
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 
-WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-CLAUSE_END = re.compile(r"[.!?;:\n]")
+ENDS = ".!?;:\n"
+CLAUSE_END = re.compile(f"[{ENDS}]")
 QUOTES = "\"“”«»„"
+TOKEN = re.compile(rf"[^\W_]+(?:['’][^\W_]+)?|[{QUOTES}]")
+#: Words after a negation that it still governs.
+NEAR = 4
+
+HITS = ("insult", "stem", "threat")
+#: What a clause is read as: a mark before each hit, then words by what they are cues of.
+SYMBOLS = (*HITS, "word", "target", "negation", "reported", "quote")
+
+
+@dataclass
+class Transducer:
+    """Arcs (state, symbol) -> [(next state, symbol written, cost)]; of all accepted readings the cheapest counts."""
+
+    start: object
+    final: set
+    arcs: dict[tuple, list[tuple]]
+
+    def over(self, then: Transducer) -> Transducer:
+        """The composition: ``then`` reads what this one writes."""
+        start = (self.start, then.start)
+        arcs: dict[tuple, list[tuple]] = {}
+        todo, seen = [start], {start}
+        by_state: dict = {}
+        for (state, symbol), steps in self.arcs.items():
+            by_state.setdefault(state, []).append((symbol, steps))
+        while todo:
+            a, b = at = todo.pop()
+            for symbol, steps in by_state.get(a, ()):
+                made = [((a2, b2), out, c + d) for a2, mid, c in steps for b2, out, d in then.arcs.get((b, mid), ())]
+                arcs[at, symbol] = made
+                for to, _, _ in made:
+                    if to not in seen:
+                        seen.add(to)
+                        todo.append(to)
+        return Transducer(start, {s for s in seen if s[0] in self.final and s[1] in then.final}, arcs)
+
+    def numbered(self) -> Transducer:
+        """The same with numbers for states."""
+        number: dict = {self.start: 0}
+        for state, _ in self.arcs:
+            number.setdefault(state, len(number))
+        return Transducer(0, {number[s] for s in self.final if s in number}, {(number[s], x): [(number[t], o, c) for t, o, c in steps] for (s, x), steps in self.arcs.items()})
+
+    def read(self, symbols: list[str]) -> list[str]:
+        """What the cheapest accepted reading writes at hits; readings that meet in a state go on as one."""
+        live: dict = {self.start: (0, None)}
+        for x in symbols:
+            nexts: dict = {}
+            for state, (cost, back) in live.items():
+                for to, out, c in self.arcs.get((state, x), ()):
+                    if to not in nexts or cost + c < nexts[to][0]:
+                        nexts[to] = (cost + c, (out, back) if x in HITS else back)
+            live = nexts
+        back = min((v for s, v in live.items() if s in self.final), key=lambda v: v[0])[1]
+        written = []
+        while back is not None:
+            written.append(back[0])
+            back = back[1]
+        return written[::-1]
+
+
+def _negation() -> Transducer:
+    """States: for how many words a negation still holds."""
+    arcs = {}
+    for k in range(NEAR + 1):
+        for x in SYMBOLS:
+            if x in HITS:
+                arcs[k, x] = [(k, "negated" if k else x, 0)]
+            else:
+                arcs[k, x] = [(NEAR if x == "negation" else k if x == "quote" else max(k - 1, 0), x, 0)]
+    return Transducer(0, set(range(NEAR + 1)), arcs)
+
+
+def _reported() -> Transducer:
+    """States: whether a verb was read; 0 no quotation mark was, 1 one was, 2 a hit was taken as quoted and a mark must follow."""
+    arcs = {}
+    for verb in (False, True):
+        for q in (0, 1, 2):
+            for x in (*SYMBOLS, "negated"):
+                at = (verb, q)
+                if x == "reported":
+                    arcs[at, x] = [((True, q), x, 0)]
+                elif x == "quote":
+                    arcs[at, x] = [((verb, 1), x, 0)]
+                elif x not in HITS:
+                    arcs[at, x] = [(at, x, 0)]
+                elif verb:
+                    arcs[at, x] = [(at, "reported_hit", 0)]
+                elif q:
+                    arcs[at, x] = [((verb, 2), "reported_hit", 0), (at, x, 1)]
+                else:
+                    arcs[at, x] = [(at, x, 0)]
+    return Transducer((False, 0), {(v, q) for v in (False, True) for q in (0, 1)}, arcs)
+
+
+def _target() -> Transducer:
+    """States: 0 no target was read, 1 one was, 2 an insult was taken as targeted and a target must follow."""
+    arcs = {}
+    for at in (0, 1, 2):
+        for x in (*SYMBOLS, "negated", "reported_hit"):
+            if x == "target":
+                arcs[at, x] = [(1, x, 0)]
+            elif x in RAISED:
+                arcs[at, x] = [(1, RAISED[x], 0)] if at == 1 else [(2, RAISED[x], 0), (at, x, 1)]
+            else:
+                arcs[at, x] = [(at, {"reported_hit": "reported"}.get(x, x), 0)]
+    return Transducer(0, {0, 1}, arcs)
+
+
+#: Classes that a target raises, and into which.
+RAISED = {"insult": "targeted"}
+PATTERNS = _negation().over(_reported()).over(_target()).numbered()
 
 
 @dataclass
@@ -91,37 +204,44 @@ class Grammar:
             kind, weight = stem if goes_on or stem[1] > word[1] else word
             if weight > best.get(start, ("", 0.0, 0))[1]:
                 best[start] = kind, weight, end + 1
-        return [(self._compose(low, kind, start, end), weight, start, end) for start, (kind, weight, end) in best.items()]
-
-    def _compose(self, low: str, kind: str, start: int, end: int) -> str:
-        """Run the clause through the transducers: states are what has been read before the hit, then after it."""
-        left = max(0, start - 160)
-        before = low[left:start]
-        for m in CLAUSE_END.finditer(before):
-            left = start - len(before) + m.end()
-        before = low[left:start]
-        stop = CLAUSE_END.search(low, end, end + 160)
-        after = low[end : stop.start() if stop else min(len(low), end + 160)]
-        state = kind
-        words = WORD.findall(before)
-        near = words[-4:]
-        if any(self._cues.get(w) == "negation" for w in near) or any(f"{a} {b}" in NEGATIONS for a, b in zip(near, near[1:], strict=False)):
-            state = "negated"
-        elif any(self._cues.get(w) == "reported" for w in words) or (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)):
-            state = "reported"
-        elif kind == "insult" and any(self._cues.get(w) == "target" for w in (*words, *WORD.findall(after))):
-            state = "targeted"
-        return state
-
-    def features(self, text: str) -> list[float]:
+        out, hits, k = [], sorted((start, end, kind, weight) for start, (kind, weight, end) in best.items()), 0
+        after = 0  # where the clause that was read last ends
+        while k < len(hits):
+            start, end = hits[k][:2]
+            left = max(after, *(low.rfind(c, after, start) + 1 for c in ENDS))
+            stop = CLAUSE_END.search(low, end)
+            after = stop.start() if stop else len(low)
+            first = k
+            while k < len(hits) and hits[k][0] < after:
+                k += 1
+            kinds = PATTERNS.read(self._symbols(low, left, after, hits[first:k]))
+            out += [(kind, weight, start, end) for kind, (start, end, _, weight) in zip(kinds, hits[first:k], strict=True)]
+        return out
+
+    def _symbols(self, low: str, left: int, right: int, hits: list[tuple]) -> list[str]:
+        """The clause as the transducers read it; of a run of words without a cue, as many as a negation reaches over."""
+        out, k, plain, last = [], 0, 0, ""
+        for m in TOKEN.finditer(low, left, right):
+            while k < len(hits) and hits[k][0] <= m.start():
+                out.append(hits[k][2])
+                k += 1
+            w = m[0].replace("’", "'")
+            x = "quote" if w in QUOTES else self._cues.get(w) or ("negation" if f"{last} {w}" in NEGATIONS else "word")
+            plain = plain + 1 if x == "word" else 0
+            if plain <= NEAR:
+                out.append(x)
+            last = w
+        return out + [h[2] for h in hits[k:]]
+
+    def features(self, text: str, clauses: list[tuple] | None = None) -> list[float]:
         by = dict.fromkeys(CLASSES, 0.0)
-        for kind, weight, _, _ in self.clauses(text):
+        for kind, weight, _, _ in self.clauses(text) if clauses is None else clauses:
             by[kind] += weight
         by["stem"] *= 100 / (text.count(" ") + text.count("\n") + 1)
         return [1.0, *(math.log1p(by[c]) for c in CLASSES)]
 
-    def score(self, text: str) -> float:
-        z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
+    def score(self, text: str, clauses: list[tuple] | None = None) -> float:
+        z = sum(w * x for w, x in zip(self.weights, self.features(text, clauses), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -215,8 +335,9 @@ def toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame
         g = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            scores = pa.array([g.score(t) for t in texts], pa.float64())
-            found = pa.array([[{"kind": k, "start": s, "end": e} for k, _, s, e in g.clauses(t)] for t in texts], kind)
+            read = [g.clauses(t) for t in texts]
+            scores = pa.array([g.score(t, c) for t, c in zip(texts, read, strict=True)], pa.float64())
+            found = pa.array([[{"kind": k, "start": s, "end": e} for k, _, s, e in c] for c in read], kind)
             yield pa.RecordBatch.from_arrays([*b.columns, scores, found], names=[*b.schema.names, "score", "clauses"])
 
     return docs.mapInArrow(run, schema)

@@ -188,6 +188,19 @@ def test_grammar_classes():
     assert g.score("you idiot") > 0.7 > g.score("not an idiot") and g.score("") < 0.1
 
 
+def test_grammar_long_clauses():
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, toxicity.SEED))
+    kinds = lambda t: [k for k, *_ in g.clauses(t)]
+    far = "word " * 5000
+    assert kinds(f"he said {far} idiot") == ["reported"]
+    assert kinds(f"idiot {far} you") == kinds(f"you {far} idiot") == ["targeted"]
+    assert kinds(f'"{far} idiot {far}"') == ["reported"]
+    assert kinds(f'"{far} idiot {far}') == ["insult"] and kinds(f'"idiot" {far} moron') == ["reported", "insult"]
+    assert kinds(f"not {far} idiot") == ["insult"] and kinds("not a b c idiot d moron") == ["negated", "insult"]
+    assert kinds(f"you {far}. idiot {far}. he said {far}") == ["insult"]
+    assert len(kinds("idiot " * 20_000 + "you")) == 20_000
+
+
 def test_grammar_stems(spark):
     g = toxicity.Grammar({"brut*": 2.0, "brute": 3.0, "brutal*": 2.5})
     assert [c[:2] for c in g.clauses("brute brutish brutally abrute brut")] == [("insult", 3.0), ("stem", 2.0), ("stem", 2.5), ("stem", 2.0)]
