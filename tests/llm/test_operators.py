@@ -201,6 +201,21 @@ def test_grammar_long_clauses():
     assert len(kinds("idiot " * 20_000 + "you")) == 20_000
 
 
+def test_grammar_languages_and_lone_words():
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, toxicity.SEED) | {"brut*": toxicity.SEED})
+    kinds = lambda t: [k for k, *_ in g.clauses(t)]
+    for t in ("Ce n'est pas un idiot", "Ce n’est vraiment un idiot", "Er ist kein idiot", "No es un idiot"):
+        assert kinds(t) == ["negated"], t
+    for t in ("Selon Paul un idiot", "Er sagte etwas über ein idiot", "Según Ana un idiot"):
+        assert kinds(t) == ["reported"], t
+    for t in ("Je vais te tuer", "Ich werde dich töten", "Te voy a matar", "Voy a matarte"):
+        assert kinds(t) == ["threat"] and g.score(t) > toxicity.REJECT, t
+    assert g.score("Pure trash here.") < toxicity.REJECT and g.score("trash") < toxicity.REJECT < g.score("you trash")
+    assert kinds("they are brutish") == ["targeted_stem"] and kinds("a brutish thing") == ["stem"]
+    assert g.score("one brutish thing seen") < toxicity.REJECT
+    assert max(g.score(f"{w} {'word ' * n}") for w in toxicity.INSULTS for n in (0, 1, 10, 1000)) < toxicity.REJECT
+
+
 def test_grammar_stems(spark):
     g = toxicity.Grammar({"brut*": 2.0, "brute": 3.0, "brutal*": 2.5})
     assert [c[:2] for c in g.clauses("brute brutish brutally abrute brut")] == [("insult", 3.0), ("stem", 2.0), ("stem", 2.5), ("stem", 2.0)]
