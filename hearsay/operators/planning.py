@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearsay.operators.graph import Edge, Node, per_component
 from hearsay.runtime import cut
 
-TARGET = ("id", "type", "priority", "rationale", "safety", "prerequisites", "metadata", "seq")
+TARGET = ("id", "type", "priority", "rationale", "safety", "n_prerequisites", "metadata", "seq")
 
 
 def _failures(rows: DataFrame, key: Column, failures: DataFrame | None) -> DataFrame:
@@ -19,7 +19,7 @@ def _failures(rows: DataFrame, key: Column, failures: DataFrame | None) -> DataF
 
 
 def _target(rows: DataFrame, **cols: Column) -> DataFrame:
-    kinds = {"priority": "int", "metadata": "string", "seq": "bigint"}
+    kinds = {"priority": "int", "n_prerequisites": "bigint", "metadata": "string", "seq": "bigint"}
     return rows.select(*[cols[c].cast(kinds.get(c, "string")).alias(c) for c in TARGET])
 
 
@@ -38,30 +38,36 @@ def endpoint_targets(registry: DataFrame, failures: DataFrame | None = None) ->
     )
     return _target(
         r, id=F.col("canonical_id"), type=F.when(F.col("is_graphql"), "graphql_operation").otherwise("endpoint"), priority=priority, rationale=why,
-        safety=F.when(risky, "dangerous").when(F.col("canonical_method") == "POST", "caution").otherwise("safe"), prerequisites=F.lit(""),
+        safety=F.when(risky, "dangerous").when(F.col("canonical_method") == "POST", "caution").otherwise("safe"), n_prerequisites=F.lit(0),
         metadata=F.to_json(F.struct(F.col("canonical_path").alias("path"), F.col("canonical_method").alias("method"))), seq=F.col("seq"),
     ).filter("priority > 0")
 
 
 def workflow_targets(flows: DataFrame, roles: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
-    """Workflows (with id) that can't be replayed safely yet. Failures may be recorded under the workflow or its target."""
+    """Workflows (with id) that can't be replayed safely yet. Failures may be recorded under the workflow or its target.
+    Their prerequisites are counted here and are rows of ``prerequisites``."""
     w = flows.filter(F.col("viability").isin("partially replayable", "unresolved replay"))
     if failures is not None:
         failures = failures.withColumn("target_id", F.regexp_replace("target_id", "^explore_wf_", ""))
     w = _failures(w, F.col("id"), failures).filter("failures <= 2")
     fan = F.col("n_optional") > F.col("critical_length") * 2
     if roles is not None:
-        # entry points of one workflow are listed by id; the first hundred stand for all where there are more
-        entry = roles.filter("entrypoint").groupBy("group").agg(F.array_join(F.slice(F.array_sort(F.collect_set("id")), 1, 100), "|").alias("_entries"))
-        w = w.join(entry, "group", "left")
+        w = w.join(roles.filter("entrypoint").groupBy("group").agg(F.count("*").alias("_entries")), "group", "left")
     return _target(
         w, id=F.concat(F.lit("explore_wf_"), F.col("id")), type=F.lit("workflow_branch"), priority=60 + F.when(fan, 10).otherwise(0) - F.col("failures") * 20,
         rationale=F.concat(F.lit("Partially replayable workflow requiring exploration"), F.when(fan, " with high fanout potential").otherwise("")),
-        safety=F.when(F.col("viability") == "unresolved replay", "caution").otherwise("safe"), prerequisites=F.coalesce("_entries", F.lit("")) if roles is not None else F.lit(""),
+        safety=F.when(F.col("viability") == "unresolved replay", "caution").otherwise("safe"), n_prerequisites=F.coalesce("_entries", F.lit(0)) if roles is not None else F.lit(0),
         metadata=F.to_json(F.struct(F.col("type").alias("workflowType"), F.col("n_optional").alias("branches"))), seq=F.col("wf_order.group_order") + (1 << 42),
     ).filter("priority > 0")
 
 
+def prerequisites(flows: DataFrame, roles: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """(target_id, prerequisite): every entry point of the workflows that are targets, one row each; a pool may have any number."""
+    chosen = workflow_targets(flows, None, failures).select(F.col("id").alias("target_id"))
+    named = flows.select("group", F.concat(F.lit("explore_wf_"), F.col("id")).alias("target_id")).join(chosen, "target_id", "left_semi")
+    return roles.filter("entrypoint").select("group", F.col("id").alias("prerequisite")).join(named, "group").select("target_id", "prerequisite")
+
+
 def disconnected_target(nodes: DataFrame, comp: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """The first component without an observed node, if there are several components."""
     c = comp.join(nodes.select("id", "trust_state"), "id").groupBy("component").agg(
@@ -73,7 +79,7 @@ def disconnected_target(nodes: DataFrame, comp: DataFrame, failures: DataFrame |
     top = _failures(top, F.lit("disconnected_region"), failures).filter("failures <= 2")
     return _target(
         top, id=F.lit("explore_disconnected_region"), type=F.lit("disconnected_region"), priority=75 - F.col("failures") * 20, rationale=F.lit("Fragmented graph region requires exploration to bridge connectivity"),
-        safety=F.lit("caution"), prerequisites=F.lit(""), metadata=F.to_json(F.struct(F.col("c.n").alias("nodesCount"))), seq=F.lit(1 << 43),
+        safety=F.lit("caution"), n_prerequisites=F.lit(0), metadata=F.to_json(F.struct(F.col("c.n").alias("nodesCount"))), seq=F.lit(1 << 43),
     )
 
 
@@ -84,7 +90,7 @@ def family_targets(registry: DataFrame, failures: DataFrame | None = None) -> Da
     f = _failures(f, F.concat(F.lit("explore_route_family_"), F.col("route")), failures)
     return _target(
         f, id=F.concat(F.lit("explore_route_family_"), F.col("route")), type=F.lit("route_family"), priority=65 - F.col("failures") * 15, rationale=F.lit("Unexplored route family with multiple candidate endpoints"),
-        safety=F.lit("safe"), prerequisites=F.lit(""), metadata=F.to_json(F.struct("route", F.col("n").alias("count"))), seq=F.col("seq") + (1 << 44),
+        safety=F.lit("safe"), n_prerequisites=F.lit(0), metadata=F.to_json(F.struct("route", F.col("n").alias("count"))), seq=F.col("seq") + (1 << 44),
     ).filter("priority > 0")
 
 

@@ -147,7 +147,10 @@ def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[Dat
         "cycle_participation", "confidence", "viability", "ambiguous_entrypoints", "excessive_fanout", "fragmented",
     )
     on_path = flows.select("group", F.explode(F.split("critical_path", r"\|")).alias("id")).withColumn("critical", F.lit(True))
-    roles = n.select("group", "id", "entrypoint", "auth", "unresolved").join(on_path, ["group", "id"], "left").withColumn("critical", F.coalesce("critical", F.lit(False)))
+    # where every node is fed, the first one is the entry point
+    only = g.filter("entries = 0").select("group", F.get("head", F.lit(0)).alias("id")).withColumn("only", F.lit(True))
+    roles = n.select("group", "id", "entrypoint", "auth", "unresolved").join(on_path, ["group", "id"], "left").join(only, ["group", "id"], "left")
+    roles = roles.withColumns({"critical": F.coalesce("critical", F.lit(False)), "entrypoint": F.col("entrypoint") | F.coalesce("only", F.lit(False))}).drop("only")
     return flows, roles
 
 

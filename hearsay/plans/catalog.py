@@ -482,6 +482,12 @@ def exploration_plan(spark, sf_dir):
     return planning.exploration_plan(cut(registry(spark, sf_dir)), nodes, comp, workflows.numbered(flows), roles)
 
 
+@query()
+def exploration_prerequisites(spark, sf_dir):
+    flows, roles = workflows.synthesize(*dependency_graph(spark, sf_dir))
+    return planning.prerequisites(workflows.numbered(flows), roles)
+
+
 @query()
 def replay_order(spark, sf_dir):
     return planning.replay_order(*dependency_graph(spark, sf_dir))

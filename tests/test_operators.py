@@ -353,6 +353,20 @@ def test_exploration(spark):
     assert {(r.id, r.status, r.updated_at) for r in jobs.collect()} == {("j1", "done", 9), ("j2", "queued", 5)}
 
 
+def test_exploration_prerequisites(spark):
+    pool = [(f"p{i:03}", "request", None, "/x/y", "GET", "unresolved", None, i) for i in range(150)]
+    loop = [(i, "request", None, "/z", "GET", "unresolved", None, 200 + k) for k, i in enumerate("ba")]
+    n = spark.createDataFrame(pool + loop, graph.NODE)
+    e = spark.createDataFrame([("a", "b", "token", 0.9, 1, 1), ("b", "a", "token", 0.9, 1, 2)], graph.EDGE)
+    comp = graph.components(n, e)
+    flows, roles = workflows.synthesize(n, e, comp)
+    flows = workflows.numbered(flows)
+    got = {(r.target_id, r.prerequisite) for r in planning.prerequisites(flows, roles).collect()}
+    # all of a pool; of a loop the first node
+    assert got == {("explore_wf_wf_1", "b")} | {("explore_wf_wf_2", f"p{i:03}") for i in range(150)}
+    assert {r.id: r.n_prerequisites for r in planning.workflow_targets(flows, roles).collect()} == {"explore_wf_wf_1": 1, "explore_wf_wf_2": 150}
+
+
 def test_replay_metrics(spark):
     replays = spark.createDataFrame([(1,), (0,), (1,), (1,)], "success int")
     m = summary.replay_metrics(replays, spark.range(2), spark.range(5)).first()
