@@ -88,6 +88,28 @@ def _positions(rows: DataFrame) -> DataFrame:
     return rows.select("node", "level", (F.row_number().over(Window.partitionBy("level").orderBy("o")) - 1).cast("long").alias("position"), "parent")
 
 
+def preorder_of(nodes: list[Node], edges: list[Edge], start: str | None = None, direction: str = "downstream") -> list[tuple]:
+    """(id, position) of a depth-first walk, edges in their order, on a stack of its own; from the first node if no start is given."""
+    out: dict[str, list[str]] = {}
+    for e in edges:
+        a, b = (e.source, e.target) if direction == "downstream" else (e.target, e.source)
+        out.setdefault(a, []).append(b)
+    todo, seen = [start if start is not None else nodes[0].id], {}
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen[at] = len(seen)
+            todo += reversed(out.get(at, ()))
+    return list(seen.items())
+
+
+def dfs(nodes: DataFrame, edges: DataFrame, comp: DataFrame, start: str | None = None, direction: str = "downstream") -> DataFrame:
+    """(component, id, position): depth-first walk in preorder from ``start``, or from the first node of every component."""
+    if start is not None:
+        comp = comp.join(comp.filter(F.col("id") == start).select("component"), "component", "left_semi")
+    return per_component(nodes, edges, comp, lambda n, e: preorder_of(n, e, start, direction), "id string, position int")
+
+
 def shortest_path(edges: DataFrame, source: str, target: str) -> list[str] | None:
     """Node ids of a shortest path, along the earliest edges; None if there is none. The path, not the walk, is collected."""
     if source == target:

@@ -401,6 +401,41 @@ def graph_shortest_path(spark, sf_dir):
     return spark.createDataFrame([("|".join(graph.shortest_path(V.frame(spark, V.EDGES, graph.EDGE), "login", "ws") or []),)], "path string")
 
 
+def walk_start(comp: DataFrame) -> str:
+    """The first node of the largest component; ids of log rows are numbers in the order of the log."""
+    top = comp.agg(F.max_by(F.struct("component", "first_seq"), F.struct("size", -F.col("first_seq"))).alias("c")).first()["c"]
+    return str(top["first_seq"])
+
+
+@query()
+def graph_bfs_tables(spark, sf_dir):
+    _, edges, comp = dependency_graph(spark, sf_dir)
+    return graph.bfs(edges, walk_start(comp)).select("node", "level", "position")
+
+
+@query()
+def graph_dfs(spark, sf_dir):
+    return graph.dfs(*dependency_graph(spark, sf_dir))
+
+
+@query()
+def graph_shortest_path_tables(spark, sf_dir):
+    _, edges, comp = dependency_graph(spark, sf_dir)
+    start = walk_start(comp)
+    last = graph.bfs(edges, start).agg(F.max_by("node", "position")).first()[0]
+    return spark.createDataFrame([("|".join(graph.shortest_path(edges, start, last) or []),)], "path string")
+
+
+@query()
+def clusters(spark, sf_dir):
+    return graph.clusters(*dependency_graph(spark, sf_dir))
+
+
+@query()
+def graph_metrics(spark, sf_dir):
+    return graph.metrics(*dependency_graph(spark, sf_dir))
+
+
 @query("SELECT * FROM (VALUES ('login', 'login|me'), ('poll', 'poll|ws')) AS t(start, chain)")
 def auth_chains_literal(spark, sf_dir):
     return graph.auth_chains(*literal_graph(spark)).select("start", "chain")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hearsay.functions import filters, tokens, urls
 from hearsay.operators import bundles, dependencies, graph, graphql, identity, ingest, planning, schema, summary, workflows
 from hearsay.operators.components import connected_components
+from hearsay.plans import catalog
 from hearsay.plans import vectors as V
 from hearsay.sources import observations, sinks
 from hearsay.streaming import endpoints as stream
@@ -353,6 +354,23 @@ def test_exploration(spark):
     assert {(r.id, r.status, r.updated_at) for r in jobs.collect()} == {("j1", "done", 9), ("j2", "queued", 5)}
 
 
+def test_dfs(spark):
+    n = spark.createDataFrame([(i, "request", None, None, "GET", None, None, k) for k, i in enumerate("abcdef")], graph.NODE)
+    pairs = ["ab", "ac", "bd", "da", "cd"]
+    e = spark.createDataFrame([(s, t, "token", 0.9, 1, k) for k, (s, t) in enumerate(pairs)], graph.EDGE)
+    comp = graph.components(n, e)
+
+    def order(**kw):
+        return [r.id for r in graph.dfs(n, e, comp, **kw).orderBy("position", "id").collect()]
+
+    assert order() == ["a", "e", "f", "b", "d", "c"]
+    assert order(start="c") == ["c", "d", "a", "b"] and order(start="d", direction="upstream") == ["d", "b", "a", "c"]
+
+
+def test_graph_queries_read_tables():
+    assert {"clusters", "graph_metrics", "graph_bfs_tables", "graph_dfs", "graph_shortest_path_tables"} <= set(catalog.QUERIES)
+
+
 def test_exploration_prerequisites(spark):
     pool = [(f"p{i:03}", "request", None, "/x/y", "GET", "unresolved", None, i) for i in range(150)]
     loop = [(i, "request", None, "/z", "GET", "unresolved", None, 200 + k) for k, i in enumerate("ba")]
