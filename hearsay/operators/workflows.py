@@ -26,8 +26,13 @@ def members(nodes: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def critical_path_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
-    """The longest path from an entry point; of equals the one along the earliest edges. Without a cycle every node's
-    longest tail is worked out once; with one, simple paths are searched."""
+    """The longest path from an entry point and its length; of equals the one along the earliest edges."""
+    return [r[:2] for r in marked_path_of(nodes, edges)]
+
+
+def marked_path_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
+    """The longest path, its length, and 1 if the search stopped before all paths were walked, so that a longer one may
+    exist. Without a cycle every node's longest tail is worked out once; with one, simple paths are searched."""
     ids = [n.id for n in nodes]
     inside, out, fed = set(ids), {}, set()
     for e in edges:
@@ -60,6 +65,7 @@ def critical_path_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
             tail[at] = [at, *best]
             state[at] = 2
     path: list[str] = []
+    stopped = False
     if not cyclic:
         for e in entries:
             if len(tail[e]) > len(path):
@@ -74,7 +80,8 @@ def critical_path_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
                 if len(p) > len(path):
                     path = p
                 stack += [(t, [*p, t], seen | {t}) for t in reversed(out.get(at, ())) if t not in seen]
-    return [("|".join(path), len(path))]
+            stopped = stopped or bool(stack)
+    return [("|".join(path), len(path), int(stopped))]
 
 
 def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +113,7 @@ def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[Dat
         "entrypoint": F.col("fed").isNull(), "auth": words | F.coalesce("auth_edge", F.lit(False)), "label": label, "method": method,
         "paged": has("limit=", "offset=", "page=", "cursor="), "unresolved": F.col("trust_state").eqNullSafe(F.lit("unresolved")),
     })
-    walked = per_component(nodes, edges, comp, critical_path_of, "path string, path_length int", least_size=2).select(F.concat(F.lit("c:"), F.col("component")).alias("group"), "path", "path_length")
+    walked = per_component(nodes, edges, comp, marked_path_of, "path string, path_length int, path_stopped int", least_size=2).select(F.concat(F.lit("c:"), F.col("component")).alias("group"), "path", "path_length", (F.col("path_stopped") == 1).alias("path_stopped"))
     inside = n.select("id", "group")
     looped = cycles(nodes, edges, comp.filter(F.col("size") > 1)).select(F.concat(F.lit("c:"), F.col("component")).alias("group")).distinct().withColumn("cyclic", F.lit(True))
     one_loop = edges.filter("source = target").select(F.col("source").alias("id")).join(inside, "id").select("group").distinct().withColumn("self", F.lit(True))
@@ -145,6 +152,7 @@ def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[Dat
     flows = g.select(
         "group", "wf_order", "type", "n_nodes", "n_entrypoints", "n_auth", F.array_join("critical_path", "|").alias("critical_path"), F.size("critical_path").alias("critical_length"), "n_optional",
         "cycle_participation", "confidence", "viability", "ambiguous_entrypoints", "excessive_fanout", "fragmented",
+        F.coalesce("path_stopped", F.lit(False)).alias("critical_path_stopped"),
     )
     on_path = flows.select("group", F.explode(F.split("critical_path", r"\|")).alias("id")).withColumn("critical", F.lit(True))
     # where every node is fed, the first one is the entry point

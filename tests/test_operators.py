@@ -354,6 +354,18 @@ def test_exploration(spark):
     assert {(r.id, r.status, r.updated_at) for r in jobs.collect()} == {("j1", "done", 9), ("j2", "queued", 5)}
 
 
+def test_stopped_search_is_marked(spark, monkeypatch):
+    ids = "abcdefghi"
+    nodes = [graph.Node(i, "request", None, None, "GET", None) for i in ids]
+    edges = [graph.Edge(a, b, "token", 1) for a in ids for b in ids if a != b]
+    assert workflows.marked_path_of(nodes[:3], [e for e in edges if e.source in "abc" and e.target in "abc"])[0][1:] == (3, 0)
+    monkeypatch.setattr(workflows, "MOST_STEPS", 50)
+    assert workflows.marked_path_of(nodes, edges)[0][2] == 1
+    n, e = V.frame(spark, V.NODES, graph.NODE), V.frame(spark, V.EDGES, graph.EDGE)
+    flows, _ = workflows.synthesize(n, e, graph.components(n, e))
+    assert {r.critical_path_stopped for r in flows.collect()} == {False}
+
+
 def test_dfs(spark):
     n = spark.createDataFrame([(i, "request", None, None, "GET", None, None, k) for k, i in enumerate("abcdef")], graph.NODE)
     pairs = ["ab", "ac", "bd", "da", "cd"]
