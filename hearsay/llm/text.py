@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of the counting operators: runs of anything but ASCII white space.
@@ -15,6 +15,31 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names for internal columns that no column in ``taken`` has, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(docs: DataFrame, added: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
+    """``docs`` less the columns that are named, in any case, like one that is to be added; those in ``keep`` are read,
+    so they must not be among them."""
+    lower = {a.lower() for a in added}
+    if bad := [k for k in keep if k.lower() in lower]:
+        raise ValueError(f"columns {bad} are read and would be replaced by results; rename them")
+    return docs.select(*[own(c) for c in docs.columns if c.lower() not in lower])
+
+
 def as_column(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
