@@ -32,8 +32,9 @@ from hearsay.llm.text import flat, fresh, own, slices, without
 from hearsay.runtime import cut
 
 MIN_WORDS = 50
-#: Keys of a join that are looked up as hot, and over how many parts the rows of each are dealt.
-HOT, SALTS = 1000, 64
+#: Rows of one key that a task of a join takes; where a key has more, the rows of the HOT most frequent keys are dealt
+#: over SALTS parts each.
+TASK_ROWS, HOT, SALTS = 4096, 1000, 64
 #: Lines to ``min_words`` where a segment has fewer words from a line on.
 NEVER = 2**31 - 1
 
@@ -44,9 +45,11 @@ def line_rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return lines.select("id", "t", "s", F.xxhash64("x").alias("a"), F.xxhash64(F.lit(0x5EED), "x").alias("b"), F.regexp_count("x", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w"))
 
 
-def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], deal_by: list[str]) -> DataFrame:
-    """Inner join with a table of distinct ``keys`` and their counts n in ``rows``. Rows of the most frequent keys are
-    dealt over SALTS parts each, so no task gets all rows of a hot key."""
+def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], deal_by: list[str], most: int | None = None) -> DataFrame:
+    """Inner join with a table of distinct ``keys`` and their counts n (``most`` of a key) in ``rows``; no task gets all
+    rows of a hot key."""
+    if (most if most is not None else _sizes(keyed)[1]) <= TASK_ROWS:
+        return rows.join(keyed, keys)
     hot = keyed.orderBy(F.desc("n"), *keys).limit(HOT).select(*keys, F.lit(True).alias("hot"))  # HOT rows
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*deal_by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("hot")
     salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
@@ -54,6 +57,12 @@ def meet(rows: DataFrame, keyed: DataFrame, keys: list[str], deal_by: list[str])
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
+def _sizes(keyed: DataFrame) -> tuple[int, int]:
+    """How many keys there are, and the greatest count of one."""
+    n, most = keyed.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    return n, most
+
+
 def segments(rows: DataFrame, min_words: int) -> DataFrame:
     """(id, t, s, a, b, w): segments of lines that are in ``rows`` twice or more, of ``min_words`` words or more."""
     seen = cut(rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -125,17 +134,19 @@ def doubled(lines: DataFrame) -> DataFrame:
     """(g, i, rest, need, r) of lines (g, i, a, b, rest, need): r[k] ranks the first 2^k lines from line i on, or all if
     fewer are left. Of the last level, equal ranks are equal suffixes."""
     names = ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "rank")
-    state = cut(meet(lines, names, ["a", "b"], ["g", "i"]).select("g", "i", "rest", "need", F.array("rank").alias("r")))
-    classes, longest = names.count(), state.agg(F.max("rest")).first()[0] or 0
+    classes, most = _sizes(names)
+    state = cut(meet(lines, names, ["a", "b"], ["g", "i"], most).select("g", "i", "rest", "need", F.array("rank").alias("r")))
+    longest = state.agg(F.max("rest")).first()[0] or 0
     half = 1
     while half < longest:
         # a segment's lines are at most a document's
         after = F.coalesce(F.lead(F.element_at("r", -1), half).over(Window.partitionBy("g").orderBy("i")), F.lit(-1))
         pairs = state.select("*", F.element_at("r", -1).alias("x"), after.alias("y"))
         names = ranked(pairs.groupBy("x", "y").agg(F.count("*").alias("n")), ["x", "y"], "rank")
-        if (now := names.count()) == classes:
+        now, most = _sizes(names)
+        if now == classes:
             break  # no class has parted, so none will
-        state = cut(meet(pairs, names, ["x", "y"], ["g", "i"]).select("g", "i", "rest", "need", F.concat("r", F.array("rank")).alias("r")))
+        state = cut(meet(pairs, names, ["x", "y"], ["g", "i"], most).select("g", "i", "rest", "need", F.concat("r", F.array("rank")).alias("r")))
         classes, half = now, 2 * half
     return state
 
