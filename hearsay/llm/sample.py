@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hearsay.llm.text import fresh
+
 
 def held_out(doc_id: str | Column) -> Column:
     """crc32 of the id as text leaves 1 modulo 3."""
@@ -23,5 +25,6 @@ def per_class(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
         # the share that holds `most` rows with room for chance
         share = min(1.0, (2 * most + 50) / n)
         passes = passes | (F.col(label).eqNullSafe(F.lit(value)) & (mark < int(share * (1 << 30))))
-    ranked = rows.filter(passes).withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(mark, key)))
-    return ranked.filter(F.col("_rank") <= most).drop("_rank")
+    (rank,) = fresh(rows.columns, "rank")
+    ranked = rows.filter(passes).withColumn(rank, F.row_number().over(Window.partitionBy(label).orderBy(mark, key)))
+    return ranked.filter(F.col(rank) <= most).drop(rank)

@@ -9,76 +9,79 @@ parent doesn't. Prefixes that don't fit at ``fine`` bits go on, they alone, with
 
 Defined results: a null or empty text weighs 0 bytes besides ``row_overhead``; equal rows have equal keys and stay
 together; a bucket of rows with one key can't be split, so it is a shard of its own marked ``oversized``; an empty
-table gives an empty directory.
+table gives an empty directory. Other columns pass through (those named like an added column are replaced).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.llm.text import fresh, own, without
 from hearsay.runtime import cut
 
 BITS = 60
 
 
-def with_key(docs: DataFrame, key_columns: list[str], text: str) -> DataFrame:
-    """Add _key (60-bit long) and _bytes."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_columns]
+def keys_of(docs: DataFrame, key_columns: list[str], text: str, row_overhead: int = 0) -> tuple[Column, Column]:
+    """(60-bit key, bytes) of a row."""
+    parts = [F.coalesce(own(c).cast("string"), F.lit("")) for c in key_columns]
     hexed = F.substring(F.md5(F.concat_ws("\x1f", *parts).cast("binary")), 1, 15)
-    return docs.withColumn("_key", F.conv(hexed, 16, 10).cast("long")).withColumn("_bytes", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
+    return F.conv(hexed, 16, 10).cast("long"), F.octet_length(F.coalesce(own(text), F.lit(""))).cast("long") + row_overhead
 
 
-def directory(keyed: DataFrame, limit: int, fine: int = 16, step: int = 12) -> DataFrame:
-    """The directory: one row per shard with depth, prefix (long), bytes, docs, oversized."""
+def directory(sized: DataFrame, limit: int, fine: int = 16, step: int = 12) -> DataFrame:
+    """The directory of rows (key, bytes): one row per shard with depth, prefix (long), bytes, docs, oversized."""
     found, first, depth = [], 0, min(fine, BITS)
-    left = keyed.select("_key", "_bytes")
+    left = sized.select("key", "bytes")
     while True:
         # rows of one prefix meet as sums made before the shuffle, however many they are
-        fine_sums = left.groupBy(F.shiftright("_key", BITS - depth).alias("p")).agg(F.sum("_bytes").alias("b"), F.count("*").alias("n"), F.min("_key").alias("k0"), F.max("_key").alias("k1"))
+        fine_sums = left.groupBy(F.shiftright("key", BITS - depth).alias("p")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"), F.min("key").alias("k0"), F.max("key").alias("k1"))
         levels = fine_sums.select("*", F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth"))
         sums = levels.groupBy("depth", F.expr(f"shiftright(p, {depth} - depth)").alias("prefix")).agg(F.sum("b").alias("bytes"), F.sum("n").alias("docs"), (F.min("k0") == F.max("k1")).alias("one_key"))
         sums = cut(sums.withColumn("fits", (F.col("bytes") <= limit) | F.col("one_key") | (F.col("depth") == BITS)))
-        parent = sums.filter(~F.col("fits")).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_up"))
-        shards = sums.filter("fits").withColumn("_up", F.shiftright("prefix", 1))
+        parent = sums.filter(~F.col("fits")).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
+        shards = sums.filter("fits").withColumn("up", F.shiftright("prefix", 1))
         at_root = shards.filter(F.col("depth") == first) if first == 0 else shards.limit(0)
-        found.append(shards.join(parent, ["depth", "_up"], "left_semi").unionByName(at_root).select("depth", "prefix", "bytes", "docs", (F.col("bytes") > limit).alias("oversized")))
+        found.append(shards.join(parent, ["depth", "up"], "left_semi").unionByName(at_root).select("depth", "prefix", "bytes", "docs", (F.col("bytes") > limit).alias("oversized")))
         over = sums.filter(~F.col("fits") & (F.col("depth") == depth)).select("prefix")
         if depth == BITS or over.isEmpty():
             break
-        left = left.withColumn("prefix", F.shiftright("_key", BITS - depth)).join(over, "prefix", "left_semi").select("_key", "_bytes")
+        left = left.withColumn("prefix", F.shiftright("key", BITS - depth)).join(over, "prefix", "left_semi").select("key", "bytes")
         first, depth = depth, min(depth + step, BITS)
     return reduce(DataFrame.unionByName, found)
 
 
-def assign(keyed: DataFrame, shards: DataFrame) -> DataFrame:
-    """Add shard (its bits as text), to every row; depths are few, prefixes are joined on equality."""
+def extendible_shards(docs: DataFrame, limit: int = 64 << 20, text: str = "text", key_columns: list[str] | None = None, row_overhead: int = 0, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows with shard (its bits as text), n_bytes and oversized; directory). Only keys and sizes are shuffled to find
+    the directory; rows then look up their shard by equality of prefixes, of one for each depth that shards have."""
+    docs = without(docs, ("shard", "n_bytes", "oversized"), (text, *(key_columns or ["doc_id"])))
+    key, size = keys_of(docs, key_columns or ["doc_id", text], text, row_overhead)
+    shards = cut(directory(docs.select(key.alias("key"), size.alias("bytes")), limit))
     depths = [r[0] for r in shards.select("depth").distinct().collect()] or [0]  # 61 at most
-    marks = shards.select(F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"), "oversized", F.expr("substring(lpad(conv(prefix, 10, 2), 64, '0'), 65 - depth, depth)").alias("shard"))
-    tries = keyed.withColumn("_try", F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("_key", BITS - d).alias("prefix")) for d in sorted(depths)]))
-    # the directory fits in memory by its size: one entry per limit of bytes; Spark broadcasts it below its threshold
-    leaf = tries.select("*", F.explode("_try").alias("_t")).select("*", F.col("_t.depth").alias("_depth"), F.col("_t.prefix").alias("_prefix"))
-    return leaf.join(marks, ["_depth", "_prefix"]).drop("_try", "_t", "_depth", "_prefix")
+    kept = [c for c in docs.columns if with_text or c != text]
+    key_, bytes_, tries_, depth_, prefix_ = fresh(docs.columns, "key", "bytes", "tries", "depth", "prefix")
+    keyed = docs.select(*map(own, kept), key.alias(key_), size.alias(bytes_))
+    tries = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright(key_, BITS - d).alias("prefix")) for d in sorted(depths)])
+    leaf = keyed.withColumn(tries_, F.explode(tries)).select(*map(own, kept), bytes_, F.col(tries_)["depth"].alias(depth_), F.col(tries_)["prefix"].alias(prefix_))
+    bits = F.expr("substring(lpad(conv(prefix, 10, 2), 64, '0'), 65 - depth, depth)")
+    # the directory has an entry for each ``limit`` of bytes; Spark broadcasts it below its threshold, by its size
+    marks = shards.select(F.col("depth").alias(depth_), F.col("prefix").alias(prefix_), "oversized", bits.alias("shard"))
+    out = leaf.join(marks, [depth_, prefix_]).select(*map(own, kept), "shard", F.col(bytes_).alias("n_bytes"), "oversized")
+    return out, shards
 
 
-def extendible_shards(docs: DataFrame, limit: int = 64 << 20, text: str = "text", key_columns: list[str] | None = None, row_overhead: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows with shard, bytes and oversized; directory). Only keys and sizes are shuffled, never texts."""
-    keyed = with_key(docs, key_columns or ["doc_id", text], text).withColumn("_bytes", F.col("_bytes") + row_overhead)
-    return keyed, cut(directory(keyed, limit))
-
-
-#: Bytes of text in a shard.
-OP9_LIMIT = 4 << 20
+#: Bytes of text in a shard: small, so that the query splits several levels deep on tables of a few megabytes as well.
+OP9_LIMIT = 256 << 10
 
 
 def op9_query(spark, sf_dir) -> DataFrame:
     from hearsay.runtime import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed, shards = extendible_shards(docs, OP9_LIMIT)
-    return assign(keyed.select("doc_id", "_key", "_bytes"), shards).select("doc_id", "shard", F.col("_bytes").alias("n_bytes"), "oversized")
+    return extendible_shards(docs, OP9_LIMIT, with_text=False)[0]
 
 
 OP9_SQL = f"""
