@@ -25,7 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
+from hearsay.llm.text import fresh, own, without
 from hearsay.runtime import cut
 
 #: Fixed value: the split pattern of byte-level BPE.
@@ -263,7 +265,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = 65_536, at_l
     """The most frequent words of all texts, ``most`` at the most, as the split pattern would cut them (with and without a
     space). The count from which words are taken comes from a histogram of counts, so that only words that are taken
     reach the driver; words of the last, only partly fitting step of the histogram aren't taken."""
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")).alias("w")).filter("w <> '' and length(w) <= 64")
+    words = docs.select(F.explode(F.split(F.coalesce(own(text), F.lit("")), r"\s+")).alias("w")).filter("w <> '' and length(w) <= 64")
     counted = cut(words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least).withColumn("step", F.floor(F.log2("n") * 64).cast("int")))
     steps = sorted(((r[0], r[1]) for r in counted.groupBy("step").count().collect()), reverse=True)  # 64 steps for each doubling
     total, least = 0, None
@@ -284,7 +286,8 @@ def make_lexicon(merges: Merges, words: list[str]) -> bytes:
     return compile_lexicon({w.encode(): merges.encode(w.encode()) for w in words if not w.startswith("\0")})
 
 
-_WORKER: dict[int, Encoder] = {}
+#: The encoder of a worker, by a digest of its tokenizer and lexicon.
+_WORKER: dict[str, Encoder] = {}
 
 
 def bpe_encode(docs: DataFrame, tokenizer_json: str, text: str = "text", lexicon_words: int = 65_536, emit: tuple[str, ...] = ("ids",)) -> DataFrame:
@@ -296,30 +299,29 @@ def bpe_encode(docs: DataFrame, tokenizer_json: str, text: str = "text", lexicon
     spark = docs.sparkSession
     kinds = {"ids": "array<int>", "n_tokens": "long", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     wanted = [k for k in kinds if k in emit]
-    docs = docs.drop(*[c for c in docs.columns if c in wanted])
+    docs = without(docs, wanted, (text,))
     with open(tokenizer_json, encoding="utf-8") as f:
         content = f.read()
     merges = Merges(content)
-    shared = spark.sparkContext.broadcast((merges, make_lexicon(merges, frequent_words(docs, text, lexicon_words))))
+    lexicon = make_lexicon(merges, frequent_words(docs, text, lexicon_words))
+    digest = hashlib.sha256(content.encode() + lexicon).hexdigest()
+    shared = spark.sparkContext.broadcast((merges, lexicon))
     keep_text = "text" in emit
     kept = [c for c in docs.columns if c != text or keep_text]
-    fed = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    schema = StructType(list(docs.select(*kept).schema.fields))
+    fed = docs.select(*map(own, kept), F.coalesce(own(text), F.lit("")).alias(fresh(docs.columns, "fed")[0]))
+    schema = StructType([docs.schema[c] for c in kept])
     for k in wanted:
         schema = schema.add(k, _parse_datatype_string(kinds[k]))
-    names, tag = schema.names, shared.id if hasattr(shared, "id") else 0
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((tag, id(shared)))
-        if key not in _WORKER:
+        if digest not in _WORKER:
             _WORKER.clear()
-            _WORKER[key] = Encoder(*shared.value)
-        coder = _WORKER[key]
+            _WORKER[digest] = Encoder(*shared.value)
+        coder = _WORKER[digest]
         for whole in batches:
             for b in by_bytes(whole):
-                ids = coder.encode(b.column("_text").to_pylist())
+                ids = coder.encode(b.column(b.num_columns - 1).to_pylist())
                 decoded = [coder.decode(x) for x in ids] if {"decoded", "decoded_sha256"} & set(wanted) else None
                 made = {
                     "ids": lambda: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))),
@@ -358,7 +360,8 @@ def bpe_decode(rows: DataFrame, tokenizer_json: str, ids: str = "ids", out: str
         for s in batches:
             yield pd.Series([None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace") for x in s])
 
-    return rows.withColumn(out, decode(ids))
+    rows = without(rows, (out,), (ids,))
+    return rows.withColumn(out, decode(own(ids)))
 
 
 def default_tokenizer() -> str:

@@ -1,11 +1,13 @@
 """Quality rules, line first, in DataFrame functions only.
 
-Every line is judged by itself: punctuation, navigation, boilerplate, symbols, capitals, repetition. Failing lines
-go; a document that loses more than ``max_lost`` of its characters, or fails the base rules, is rejected.
+Every line is judged by itself: punctuation, navigation, boilerplate (a phrase of page furniture in a line of at most
+``BOILERPLATE_LINE`` characters; a paragraph that has one stays), symbols, capitals, repetition. Failing lines go; a
+document that loses more than ``max_lost`` of its characters, or fails the base rules, is rejected.
 
 Defined results: a null or empty text has no words and no lines, so it fails the base rules (fewer than
-``min_words``); blank lines never fail; repeated rows are judged one by one; other columns of the input pass through
-(a column of the same name as one that is added is replaced); an empty table gives an empty table.
+``min_words``); blank lines never fail; of several rules that a line fails the first one is named; repeated rows are
+judged one by one; other columns of the input pass through (a column of the same name as one that is added is
+replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,15 +15,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.text import space_words
+from hearsay.llm.text import fresh, own, space_words, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture, lower case. Fixed values.
+#: Phrases of page furniture in English, French, German and Spanish, lower case. Fixed values.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "accept cookies",
     "click here", "read more", "sign up for our newsletter", "subscribe to our", "share on facebook", "share on twitter", "lorem ipsum",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "accepter les cookies", "cliquez ici", "lire la suite", "abonnez-vous à",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "klicken sie hier", "weiterlesen", "newsletter abonnieren",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies", "haga clic aquí", "leer más", "suscríbete a",
 )
+#: Characters of a line from which on such a phrase is taken as part of a paragraph, which stays.
+BOILERPLATE_LINE = 200
+
+
+def _one_of(phrases: tuple[str, ...]) -> str:
+    """A pattern of the phrases, by first letter, so that most places of a text are ruled out at once."""
+    by: dict[str, list[str]] = {}
+    for p in phrases:
+        by.setdefault(p[0], []).append(p[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ")"
 
 
 def _count(text: Column, keep: str) -> Column:
@@ -29,29 +44,34 @@ def _count(text: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{keep}]++", ""))
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    docs = without(docs, BASE, (text,))
+    w, ls, h, s, p = fresh((*docs.columns, *BASE), "w", "ls", "h", "s", "p")
+    t = F.coalesce(own(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.withColumn("_w", space_words(text)).withColumn("_lines", lines)
-    n = F.size("_w")
+    d = docs.withColumn(w, space_words(own(text))).withColumn(ls, lines)
+    n = F.size(w)
     # 64 hash bits of each 3-word window; windows of one document only are compared, with their first words.
-    d = d.withColumn("_h", F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))))
-    twice = F.size(F.array_distinct("_h")) < F.size("_h")
-    d = d.withColumn("_s", F.when(twice, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), F.get("_w", i).alias("w"), i.alias("i"))))))
+    d = d.withColumn(h, F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+    twice = F.size(F.array_distinct(h)) < F.size(h)
+    d = d.withColumn(s, F.when(twice, F.array_sort(F.transform(h, lambda v, i: F.struct(v.alias("h"), F.get(w, i).alias("w"), i.alias("i"))))))
 
     def same(x: Column, y: Column) -> Column:
         return F.coalesce((x["h"] == y["h"]) & (x["w"] == y["w"]), F.lit(False))
 
-    found = F.filter("_s", lambda x, i: same(x, F.get("_s", i - 1)) | same(x, F.get("_s", i + 1)))
-    d = d.withColumn("_p", F.sort_array(F.transform(found, lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+    found = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+    d = d.withColumn(p, F.sort_array(F.transform(found, lambda x: x["i"])))
+    covered = F.aggregate(F.transform(p, lambda q, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - q, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     return d.select(
-        *[c for c in docs.columns],
+        *map(own, docs.columns),
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         _count(t, "#*$%&|<>").cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
@@ -71,7 +91,7 @@ def line_fails(line: Column, words: Column) -> Column:
         .when((words >= 8) & ~line.rlike(r"[.!?,;:…。！？]"), "punctuation")
         .when((capitals > 12) & (letters >= 20) & (capitals * 10 > letters * 6), "capitals")  # 0.6 of 20 letters are 12
         .when((words >= 10) & (distinct * 4 < words), "repetition")
-        .when((F.length(line) <= 200) & F.lower(line).rlike("|".join(BOILERPLATE)), "boilerplate")
+        .when((F.length(line) <= BOILERPLATE_LINE) & F.lower(line).rlike(_one_of(BOILERPLATE)), "boilerplate")
     )
 
 
@@ -81,24 +101,25 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     Adds the base columns, n_lines, n_failed_lines, failed_rules (which rules hit), lost (share of characters in
     failed lines), base_failed, kept and clean_text. Nothing is shuffled: one pass, whole texts.
     """
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "failed_rules", "lost", "base_failed", "kept", "clean_text")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    added = (*BASE, "n_lines", "n_failed_lines", "failed_rules", "lost", "base_failed", "kept", "clean_text")
+    docs = without(docs, added, (text,))
+    judged, bad, share = fresh((*docs.columns, *added), "judged", "bad", "share")
     d = base_columns(docs, text)
-    counted = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    d = d.withColumn("_judged", F.transform(counted, lambda x: F.struct(x["line"].alias("line"), line_fails(x["line"], x["n"]).alias("rule"))))
-    d = d.withColumn("_bad", F.filter("_judged", lambda x: x["rule"].isNotNull()))
-    lost = F.aggregate("_bad", F.lit(0), lambda a, x: a + F.length(x["line"])) / F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))), F.lit(1))
-    d = d.withColumn("lost", lost)
+    t = F.coalesce(own(text), F.lit(""))
+    counted = F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    d = d.withColumn(judged, F.transform(counted, lambda x: F.struct(x["line"].alias("line"), line_fails(x["line"], x["n"]).alias("rule"))))
+    d = d.withColumn(bad, F.filter(judged, lambda x: x["rule"].isNotNull()))
+    d = d.withColumn(share, F.aggregate(bad, F.lit(0), lambda a, x: a + F.length(x["line"])) / F.greatest(F.length(t), F.lit(1)))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 100 * max_repeat * F.col("n_words"))
     return d.select(
-        *docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.size("_judged").cast("long").alias("n_lines"),
-        F.size("_bad").cast("long").alias("n_failed_lines"),
-        F.array_sort(F.array_distinct(F.transform("_bad", lambda x: x["rule"]))).alias("failed_rules"),
-        "lost",
+        *map(own, docs.columns), *BASE,
+        F.size(judged).cast("long").alias("n_lines"),
+        F.size(bad).cast("long").alias("n_failed_lines"),
+        F.array_sort(F.array_distinct(F.transform(bad, lambda x: x["rule"]))).alias("failed_rules"),
+        F.col(share).alias("lost"),
         base.alias("base_failed"),
-        (~base & (F.col("lost") <= max_lost)).alias("kept"),
-        F.array_join(F.transform(F.filter("_judged", lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n").alias("clean_text"),
+        (~base & (F.col(share) <= max_lost)).alias("kept"),
+        F.array_join(F.transform(F.filter(judged, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n").alias("clean_text"),
     )
 
 
@@ -123,7 +144,7 @@ m AS (SELECT doc_id, x, length(x) AS len, len(regexp_extract_all(x, '[^\x20\x09-
   length(regexp_replace(x, '\P{L}+', '', 'g')) AS letters, length(regexp_replace(x, '\P{Lu}+', '', 'g')) AS caps FROM l),
 f AS (SELECT *, CASE WHEN nw = 0 THEN false WHEN bars >= 3 AND bars * 4 >= nw THEN true WHEN sym * 2 > nw THEN true
   WHEN nw >= 8 AND NOT regexp_matches(x, '[.!?,;:…。！？]') THEN true WHEN letters >= 20 AND caps * 10 > letters * 6 THEN true
-  WHEN nw >= 10 AND nd * 4 < nw THEN true WHEN len <= 200 AND regexp_matches(lower(x), '@BOILER@') THEN true ELSE false END AS bad FROM m),
+  WHEN nw >= 10 AND nd * 4 < nw THEN true WHEN len <= @LONG@ AND regexp_matches(lower(x), '@BOILER@') THEN true ELSE false END AS bad FROM m),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_failed_lines, coalesce(sum(len) FILTER (bad), 0) AS lost_chars,
   count(*) FILTER (nw > 0) - count(DISTINCT x) FILTER (nw > 0) AS n_dup_lines FROM f GROUP BY doc_id),
 h AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(list_aggregate(ws, 'string_agg', '')) AS BIGINT) AS wc,
@@ -132,4 +153,4 @@ h AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(list_aggr
   CAST(g.lost_chars AS DOUBLE) / greatest(length(t), 1) AS lost FROM w JOIN g USING (doc_id) LEFT JOIN q USING (doc_id))
 SELECT doc_id, n_words, coalesce(wc, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   n_lines, n_failed_lines, lost, (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.3) AS kept FROM h
-""".replace("@BOILER@", "|".join(BOILERPLATE))
+""".replace("@BOILER@", "|".join(b.replace("'", "''") for b in BOILERPLATE)).replace("@LONG@", str(BOILERPLATE_LINE))

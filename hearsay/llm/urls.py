@@ -4,11 +4,12 @@ An entry is ``host/path``: it fits its host and all subdomains, where the url's
 (``com/fr/``, ``example.org/en/1``; the last piece of a path may end inside a segment). Deeper hosts beat shallower
 ones, then longer paths beat shorter ones; of an allow and a block entry for the same place, block wins.
 
-The trie is broadcast while it has at most ``max_broadcast_entries`` entries; beyond that the same decision is made
-by an equi-join of each url's candidate prefixes with the entries, which is shuffled and needs no memory bound.
+A trie that is broadcast has at most ``entries_per_pass`` entries; more entries take more passes over the urls, with one
+trie each, and the longest match of all passes wins.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule, so it gets the default
-verdict; repeated rows are judged one by one; an empty table or an empty rule set is allowed.
+verdict; repeated rows are judged one by one; an empty table or an empty rule set is allowed; other columns pass through
+(those named like an added column are replaced).
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.llm.text import fresh, own, without
+from hearsay.runtime import cut
+
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,45 +88,50 @@ def split_rule(rule: str) -> tuple[str, str]:
 
 
 def url_filter(
-    pages: DataFrame, allow: list[str], block: list[str], url: str = "url", default: str = ALLOW, max_broadcast_entries: int = 200_000
+    pages: DataFrame, allow: list[str], block: list[str], url: str = "url", default: str = ALLOW, entries_per_pass: int = 200_000
 ) -> DataFrame:
     """Add host, path, rule (null where none fits) and verdict to each row."""
     spark = pages.sparkSession
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict")])
-    judged = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    pages = without(pages, ("host", "path", "rule", "verdict"), (url,))
+    host_, path_, best_ = fresh(pages.columns, "host", "path", "best")
     entries = [(r, ALLOW) for r in allow] + [(r, BLOCK) for r in block]
-    if len(entries) > max_broadcast_entries:
-        rules = spark.createDataFrame([(*split_rule(r), r, v) for r, v in entries], "rule_host string, rule_path string, rule string, verdict string")
-        return by_join(judged, rules, default)
-    trie = spark.sparkContext.broadcast(HostTrie(entries))
-
-    @F.pandas_udf("rule string, verdict string")
-    def lookup(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    none = f"named_struct('rule', cast(null as string), 'verdict', '{default}', 'depth', cast(array(-1, -1, 0) as array<int>))"
+    judged = pages.select(*map(own, pages.columns), host_of(own(url)).alias(host_), path_of(own(url)).alias(path_)).withColumn(best_, F.expr(none))
+    last = None
+    for i in range(0, len(entries), entries_per_pass):
+        trie = spark.sparkContext.broadcast(HostTrie(entries[i : i + entries_per_pass]))
+        found = look_up(trie, default)(host_, path_)
+        if len(entries) <= entries_per_pass:
+            judged = judged.withColumn(best_, found)
+        else:
+            # one trie at a time: what is best so far is written before the next one is sent out
+            new = fresh(judged.columns, "new")[0]
+            judged = judged.withColumn(new, found).withColumn(best_, F.when(F.col(new)["depth"] > F.col(best_)["depth"], F.col(new)).otherwise(F.col(best_))).drop(new)
+            judged = cut(judged)
+            if last is not None:
+                last.unpersist()
+            last = trie
+    best = F.col(best_)
+    return judged.select(*map(own, pages.columns), F.col(host_).alias("host"), F.col(path_).alias("path"), best["rule"].alias("rule"), best["verdict"].alias("verdict"))
+
+
+def look_up(trie: Broadcast, default: str):
+    """A function of host and path columns: the entry that one trie finds, and its depth."""
+
+    @F.pandas_udf("rule string, verdict string, depth array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         find = trie.value.find
         for hosts, paths in batches:
-            got = [find(h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
-            yield pd.DataFrame(got, columns=["rule", "verdict"])
-
-    judged = judged.withColumn("_got", lookup("host", "path"))
-    return judged.select(*pages.columns, "host", "path", F.col("_got.rule").alias("rule"), F.col("_got.verdict").alias("verdict"))
-
-
-def by_join(judged: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataFrame:
-    """The same decision for rule sets of any size. Each distinct (host, path) gives its host suffixes times the path
-    lengths that rules have, joined on equality; no row meets a rule that doesn't fit it."""
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().collect()]  # at most as many as a path has characters
-    keys = judged.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.concat(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), F.array(F.lit("")))
-    prefixes = F.array_distinct(F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.when(F.length("path") >= n, F.substring("path", F.lit(1), n))), lambda x: x.isNotNull()))
-    cand = keys.withColumn("rule_host", F.explode(F.array_distinct(suffixes))).withColumn("rule_path", F.explode(prefixes))
-    won = (
-        cand.join(rules, ["rule_host", "rule_path"])
-        .groupBy("host", "path")
-        .agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule_host"), F.length("rule_path"), F.col("verdict") == BLOCK)).alias("_got"))
-    )
-    out = judged.join(won, ["host", "path"], "left")
-    return out.select(*judged.columns, F.col("_got.rule").alias("rule"), F.coalesce("_got.verdict", F.lit(default)).alias("verdict"))
+            got = [find(h, p) for h, p in zip(hosts, paths, strict=True)]
+            yield pd.DataFrame([(*g, depth_of(*g)) if g else (None, default, [-1, -1, 0]) for g in got], columns=["rule", "verdict", "depth"])
+
+    return run
+
+
+def depth_of(rule: str, verdict: str) -> list[int]:
+    """By what one fitting entry beats another: labels of the host, characters of the path, block."""
+    host, path = split_rule(rule)
+    return [len(host.split(".")) if host else 0, len(path), int(verdict == BLOCK)]
 
 
 OP4_ALLOW, OP4_BLOCK = ["org/", "com/fr/"], ["example.org/es/", "example.org/en/1", "com/de/"]

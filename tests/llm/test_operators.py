@@ -72,8 +72,8 @@ def test_urls(spark):
         ("http://org", "org", "", None, "allow"), ("ftp://u@b.org:1/#a/b", "u@b.org:1", "/", None, "allow"), ("a://b://c.com/fr/", "b:", "//c.com/fr/", None, "allow"), ("http:///com/fr/", "", "/com/fr/", None, "allow"),
     ]
     pages = spark.createDataFrame([(i, c[0], "clash") for i, c in enumerate(cases)], "page_id int, url string, rule string")
-    for bound in (100, 0):  # through the trie, and through the join
-        got = {r.page_id: r for r in urls.url_filter(pages, urls.OP4_ALLOW, urls.OP4_BLOCK, max_broadcast_entries=bound).collect()}
+    for bound in (100, 2):  # through one trie, and through three, one after another
+        got = {r.page_id: r for r in urls.url_filter(pages, urls.OP4_ALLOW, urls.OP4_BLOCK, entries_per_pass=bound).collect()}
         assert {i: tuple(got[i][c] for c in ("host", "path", "rule", "verdict")) for i in got} == {i: c[1:] for i, c in enumerate(cases)}
     assert urls.url_filter(empty(pages), [], []).count() == 0
 
@@ -95,17 +95,16 @@ def test_trie_against_brute_force():
 
 def test_sharding(spark, odd):
     d = spark.createDataFrame([(i, "t" * (i % 97)) for i in range(5000)] + [(7, "same" * 100)] * 40, "doc_id int, text string")
-    keyed, shards = sharding.extendible_shards(d, limit=2000)
-    got = sharding.assign(keyed, shards).toPandas()
+    out, shards = sharding.extendible_shards(d, limit=2000)
+    got = out.toPandas()
     assert len(got) == 5040
-    size = got.groupby("shard")._bytes.sum()
+    size = got.groupby("shard").n_bytes.sum()
     big = got[got.oversized].groupby("shard").text.nunique()
     assert (size[~size.index.isin(big.index)] <= 2000).all() and (big == 1).all()
     assert len(shards.collect()) == got.shard.nunique()
-    keyed, shards = sharding.extendible_shards(odd, limit=1000)
-    assert sharding.assign(keyed, shards).count() == odd.count()
-    keyed, shards = sharding.extendible_shards(empty(odd), limit=1000)
-    assert shards.count() == 0 and sharding.assign(keyed, shards).count() == 0
+    assert sharding.extendible_shards(odd, limit=1000)[0].count() == odd.count()
+    out, shards = sharding.extendible_shards(empty(odd), limit=1000)
+    assert shards.count() == 0 and out.count() == 0
 
 
 @pytest.fixture(scope="module")
