@@ -1,17 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A learned lexicon of insults (words and stems that are far likelier in toxic texts; a stem, written ``stem*``, stands for
-all words that begin with it, and is learned from texts that hold two different ones) joins seed lists of threats, targets, negations and reported speech. A scanner finds the
-lexicon's words in a text, of several that begin at one place the one of most evidence. Each clause with a hit is read
-once, from end to end however long it is, by the composition of three weighted transducers: one turns hits shortly after
-a negation into negated ones, one turns hits after a verb of reported speech or between quotation marks into reported
-ones, one turns insults into targeted ones if a target is anywhere in the clause. Matched clauses, by class, are what is
-scored; the weights of the classes are fitted on labelled rows.
-
-Learning uses a bounded sample of labelled rows (``rows_per_label``). Defined results: null and empty texts have no
-clause and get the score of no evidence; rows with a null label are never learned from; without labelled rows of both
-kinds the seeds and default weights are used; repeated rows are scored one by one; other columns pass through (those
-named like an added column are replaced).
+A lexicon of insults (seed words, and learned words and stems that are far likelier in toxic texts; a stem, written
+``stem*``, stands for all words that begin with it, and is learned from texts that hold two different ones) joins seed
+lists of threats, targets, negations and reported speech. A scanner finds the lexicon's words in a text, of several that
+begin at one place the one of most evidence. Each clause with a hit is read once, from end to end however long it is, by
+the composition of three weighted transducers: one turns hits shortly after a negation into negated ones, one turns hits
+after a verb of reported speech or between quotation marks into reported ones, one turns insults into targeted ones if a
+target is anywhere in the clause. What is scored are the matched clauses by class, against how many clauses the text
+has; the weights of the classes are fitted on labelled rows.
+
+Learning uses a bounded sample of labelled rows (``rows_per_label``), words of 3 to 40 letters, and at most
+``lexicon_size`` entries. Defined results: null and empty texts have no clause and get the score of no evidence; rows with
+a null label are never learned from; without labelled rows of both kinds the seeds and default weights are used; of
+entries that begin at one place with equal evidence the one whose match ends first counts; repeated rows are scored one
+by one; other columns pass through (those named like an added column are replaced).
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from hearsay.llm.sample import held_out, per_class
-from hearsay.runtime import cut
+from hearsay.llm.text import own, without
+from hearsay.runtime import cut, table
 
 # Seeds of the grammar, lower case; threats, negations and reported speech in English, French, German, Spanish.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -50,26 +54,29 @@ REPORTED = (
     "sagte", "sagt", "schrieb", "schreibt", "zitierte", "laut", "zufolge", "berichtete", "behauptete", "behauptet", "nannte", "angeblich",
     "dijo", "dice", "escribió", "escribe", "citó", "según", "informó", "afirmó", "afirma", "llamó", "supuestamente",
 )
-#: Classes of clauses, in the order of the weights; each feature is the logarithm of 1 plus the evidence of its clauses
-#: (of stems, targeted or not, which chance brings to long texts: the evidence in 100 words).
-CLASSES = ("insult", "targeted", "negated", "reported", "threat", "stem", "targeted_stem")
+#: Classes of clauses, in the order of the weights; each feature is the logarithm of 1 plus the evidence of its clauses, in
+#: texts of more than CLAUSES clauses that of CLAUSES of them on average.
+CLASSES = ("insult", "targeted", "negated", "reported", "threat")
+CLAUSES = 20
 #: Constant and weights by class before any row is seen; fitting starts from them and keeps them where rows say nothing.
-#: A lone insult without a pattern stays under REJECT by itself, and so does a lone stem in a text of more than a few words.
-DEFAULT = (-4.0, 2.0, 5.0, 1.0, 1.0, 5.0, 1.0, 1.5)
-#: Evidence (a logit) of seed words; learned words get that of the lower bound on their share of toxic texts.
-SEED = 3.0
+#: A lone insult without a pattern stays under REJECT by itself.
+DEFAULT = (-4.0, 2.0, 5.0, 1.0, 1.0, 5.0)
+#: Evidence (a logit) of seed words; learned words get that of the lower bound on their share of toxic texts, if it is at
+#: least LEAST of the greatest that is learned.
+SEED, LEAST = 3.0, 0.5
 
 #: Lengths of the stems that are tried.
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 
 ENDS = ".!?;:\n"
 CLAUSE_END = re.compile(f"[{ENDS}]")
+CLAUSE = re.compile(rf"[^\s{ENDS}][^{ENDS}]*")
 QUOTES = "\"“”«»„"
 TOKEN = re.compile(rf"[^\W_]+(?:['’][^\W_]+)?|[{QUOTES}]")
 #: Words after a negation that it still governs.
 NEAR = 4
 
-HITS = ("insult", "stem", "threat")
+HITS = ("insult", "threat")
 #: What a clause is read as: a mark before each hit, then words by what they are cues of.
 SYMBOLS = (*HITS, "word", "target", "negation", "reported", "quote")
 
@@ -167,15 +174,13 @@ def _target() -> Transducer:
         for x in (*SYMBOLS, "negated", "reported_hit"):
             if x == "target":
                 arcs[at, x] = [(1, x, 0)]
-            elif x in RAISED:
-                arcs[at, x] = [(1, RAISED[x], 0)] if at == 1 else [(2, RAISED[x], 0), (at, x, 1)]
+            elif x == "insult":
+                arcs[at, x] = [(1, "targeted", 0)] if at == 1 else [(2, "targeted", 0), (at, x, 1)]
             else:
                 arcs[at, x] = [(at, {"reported_hit": "reported"}.get(x, x), 0)]
     return Transducer(0, {0, 1}, arcs)
 
 
-#: Classes that a target raises, and into which.
-RAISED = {"insult": "targeted", "stem": "targeted_stem"}
 PATTERNS = _negation().over(_reported()).over(_target()).numbered()
 
 
@@ -199,9 +204,9 @@ class Grammar:
                 self._cues.setdefault(w, kind)
         self._scan = ahocorasick.Automaton()
         for w in {w.removesuffix("*") for w in self.lexicon}:
-            self._scan.add_word(w, (len(w), ("insult", self.lexicon.get(w, 0.0)), ("stem", self.lexicon.get(f"{w}*", 0.0))))
+            self._scan.add_word(w, (len(w), "insult", self.lexicon.get(w, 0.0), self.lexicon.get(f"{w}*", 0.0)))
         for w in THREATS:
-            self._scan.add_word(w, (len(w), ("threat", SEED), ("stem", 0.0)))
+            self._scan.add_word(w, (len(w), "threat", SEED, 0.0))
         if len(self._scan):
             self._scan.make_automaton()
 
@@ -212,12 +217,12 @@ class Grammar:
         low, best = text.lower(), {}
         if not len(self._scan):
             return []
-        for end, (n, word, stem) in self._scan.iter(low):
+        for end, (n, kind, word, stem) in self._scan.iter(low):
             start = end - n + 1
             if start and (low[start - 1].isalnum() or low[start - 1] == "_"):
                 continue
             goes_on = end + 1 < len(low) and (low[end + 1].isalnum() or low[end + 1] == "_")
-            kind, weight = stem if goes_on or stem[1] > word[1] else word
+            weight = stem if goes_on else max(stem, word)
             if weight > best.get(start, ("", 0.0, 0))[1]:
                 best[start] = kind, weight, end + 1
         out, hits, k = [], sorted((start, end, kind, weight) for start, (kind, weight, end) in best.items()), 0
@@ -251,12 +256,11 @@ class Grammar:
 
     def features(self, text: str, clauses: list[tuple] | None = None) -> list[float]:
         by = dict.fromkeys(CLASSES, 0.0)
-        for kind, weight, _, _ in self.clauses(text) if clauses is None else clauses:
+        found = self.clauses(text) if clauses is None else clauses
+        for kind, weight, _, _ in found:
             by[kind] += weight
-        share = 100 / (text.count(" ") + text.count("\n") + 1)
-        by["stem"] *= share
-        by["targeted_stem"] *= share
-        return [1.0, *(math.log1p(by[c]) for c in CLASSES)]
+        share = CLAUSES / max(CLAUSES, len(CLAUSE.findall(text))) if found else 1.0
+        return [1.0, *(math.log1p(by[c] * share) for c in CLASSES)]
 
     def score(self, text: str, clauses: list[tuple] | None = None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text, clauses), strict=True))
@@ -265,15 +269,17 @@ class Grammar:
 
 def _lexicon(table: DataFrame, bad: str, good: str, n_bad: int, n_good: int, size: int) -> dict[str, float]:
     """Words and stems that toxic texts have far oftener, with the logit of a lower bound (Wilson) on their share."""
-    found = dict.fromkeys(INSULTS, SEED)
+    learned: dict[str, float] = {}
     share = (F.col(bad) / n_bad) / (F.col(bad) / n_bad + (F.col(good) + 0.5) / n_good)
     top = table.filter(F.col(bad) >= max(3, math.ceil(0.002 * n_bad))).select("w", F.col(bad).alias("b"), F.col(good).alias("g"), share.alias("p"))
     for r in top.filter("p >= 0.9").orderBy(F.desc("b"), "w").limit(size).collect():
         n, p = r.b + r.g, r.p
         low = (p + 1.92 / n - 1.96 * math.sqrt(p * (1 - p) / n + 0.96 / n / n)) / (1 + 3.84 / n)
         if low > 0.55:
-            found[r.w] = max(found.get(r.w, 0.0), round(math.log(low / (1 - low)), 6))
-    return found
+            learned[r.w] = round(math.log(low / (1 - low)), 6)
+    least = LEAST * max((x for w, x in learned.items() if w not in INSULTS), default=0.0)
+    found = dict.fromkeys(INSULTS, SEED)
+    return found | {w: max(x, found.get(w, 0.0)) for w, x in learned.items() if x >= least}
 
 
 def _stems(words: DataFrame) -> DataFrame:
@@ -289,12 +295,12 @@ def learn(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
     The weights are fitted on a third of the sample with a lexicon of the other two, so that words that are in the
     lexicon by chance don't count as evidence; the lexicon that is returned is of the whole sample.
     """
-    good = rows.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(key, F.col(label).cast("int").alias("y"), text)
-    picked = cut(per_class(good, "y", key, rows_per_label).select("y", text, (F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(3)) > 0).alias("a")))
+    good = rows.filter(own(label).isin(0, 1) & own(text).isNotNull()).select(own(key).alias("key"), own(label).cast("int").alias("y"), own(text).alias("text"))
+    picked = cut(per_class(good, "y", "key", rows_per_label).select("y", "text", (F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(3)) > 0).alias("a")))
     totals = picked.agg(F.sum("y"), F.sum(1 - F.col("y")), F.sum(F.when(F.col("a"), F.col("y"))), F.sum(F.when(F.col("a"), 1 - F.col("y")))).first()
     if not all(totals):
         return Grammar(dict.fromkeys(INSULTS, SEED))
-    words = F.filter(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}']+")), lambda w: F.length(w).between(3, 40))
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}']+")), lambda w: F.length(w).between(3, 40))
     each = picked.withColumn("id", F.monotonically_increasing_id()).select("id", "y", "a", F.explode(words).alias("w"))
     counts = each.select("y", "a", "w").unionByName(_stems(each))
     in_a = F.col("a").cast("int")
@@ -310,7 +316,7 @@ def learn(rows: DataFrame, text: str = "text", label: str = "toxic", key: str =
             x = [g.features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = picked.filter("not a").select("y", text).mapInArrow(run, "y int, x array<double>").groupBy("y", "x").count().collect()  # at most the sample's rows
+    got = picked.filter("not a").select("y", "text").mapInArrow(run, "y int, x array<double>").groupBy("y", "x").count().collect()  # at most the sample's rows
     got = sorted((r[0], r[1], r[2]) for r in got)
     if got:
         grammar.weights = tuple(_fit(np.array([r[1] for r in got]), np.array([r[0] for r in got], float), np.array([r[2] for r in got], float)))
@@ -340,11 +346,8 @@ def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.3) -> lis
 
 def toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
     """Add score (0 to 1) and clauses (array of class, start, end: the matched parts) to every row; whole texts are read."""
-    added = ("score", "clauses")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    docs = without(docs, ("score", "clauses"), (text,))
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     schema = StructType(list(docs.schema.fields)).add("score", "double").add("clauses", _parse_datatype_string("array<struct<kind:string,start:int,end:int>>"))
     at = docs.columns.index(text)
@@ -368,8 +371,6 @@ REJECT = 0.7
 def learn_from(spark, docs: DataFrame, sf_dir: str, rows_per_label: int = 3000) -> Grammar:
     """The grammar of the labelled rows that are not held out. Ids are sampled before texts are looked up, so what is
     joined, and broadcast, is twice ``rows_per_label`` ids at most, and no text is shuffled."""
-    from hearsay.runtime import table
-
     labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select("doc_id"), "doc_id", "left_semi")
     ids = cut(per_class(labels, "toxic", "doc_id", rows_per_label))
@@ -377,8 +378,6 @@ def learn_from(spark, docs: DataFrame, sf_dir: str, rows_per_label: int = 3000)
 
 
 def op6_query(spark, sf_dir) -> DataFrame:
-    from hearsay.runtime import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, learn_from(spark, docs, sf_dir))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), F.size("clauses").alias("n_clauses"))

@@ -210,21 +210,107 @@ def test_grammar_languages_and_lone_words():
     for t in ("Je vais te tuer", "Ich werde dich töten", "Te voy a matar", "Voy a matarte"):
         assert kinds(t) == ["threat"] and g.score(t) > toxicity.REJECT, t
     assert g.score("Pure trash here.") < toxicity.REJECT and g.score("trash") < toxicity.REJECT < g.score("you trash")
-    assert kinds("they are brutish") == ["targeted_stem"] and kinds("a brutish thing") == ["stem"]
+    assert kinds("they are brutish") == ["targeted"] and kinds("a brutish thing") == ["insult"]
     assert g.score("one brutish thing seen") < toxicity.REJECT
     assert max(g.score(f"{w} {'word ' * n}") for w in toxicity.INSULTS for n in (0, 1, 10, 1000)) < toxicity.REJECT
 
 
+def _all_readings(parts, symbols):
+    """(cost, what is written at hits) of every path through transducers, one after another, by enumeration."""
+    def paths(t, state, k, given, out, cost):
+        if k == len(given):
+            if state in t.final:
+                yield cost, tuple(out)
+            return
+        for to, x, c in t.arcs.get((state, given[k]), ()):
+            yield from paths(t, to, k + 1, given, [*out, x], cost + c)
+
+    level = [(0, tuple(symbols))]
+    for t in parts:
+        level = [(c + d, out) for c, given in level for d, out in paths(t, t.start, 0, given, [], 0)]
+    hits = [k for k, x in enumerate(symbols) if x in toxicity.HITS]
+    return [(c, [out[k] for k in hits]) for c, out in level]
+
+
+def test_composition_against_all_paths():
+    rng = random.Random(8)
+    parts = [toxicity._negation(), toxicity._reported(), toxicity._target()]
+    for _ in range(400):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randint(1, 7))]
+        readings = _all_readings(parts, symbols)
+        least = min(c for c, _ in readings)
+        assert toxicity.PATTERNS.read(symbols) in [out for c, out in readings if c == least], symbols
+
+
+def _plain_score(g, text):
+    """The score by plain rules: each clause cut out, its words looked at one by one, no automaton and no transducer."""
+    import math
+    import re
+
+    by = dict.fromkeys(toxicity.CLASSES, 0.0)
+    low = text.lower()
+    clauses = [c for c in re.split(r"[.!?;:\n]", low) if c.strip()]
+    for clause in clauses:
+        marks = list(re.finditer(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”«»„]", clause))
+        words = [m[0].replace("’", "'") for m in marks]
+        hits = []
+        for m in re.finditer(r"(?<![\w])[^\W_]\w*", clause):
+            word, best = m[0], ("", 0.0)
+            for n in range(1, len(word) + 1):
+                stem = g.lexicon.get(word[:n] + "*", 0.0)
+                best = max(best, ("insult", max(stem, g.lexicon.get(word, 0.0) if n == len(word) else 0.0)), key=lambda b: b[1])
+            for t in toxicity.THREATS:
+                if clause.startswith(t, m.start()) and not clause[m.start() + len(t) : m.start() + len(t) + 1].isalnum() and toxicity.SEED > best[1]:
+                    best = ("threat", toxicity.SEED)
+            if best[1]:
+                hits.append((m.start(), *best))
+        for at, kind, weight in hits:
+            before = [k for k, m in enumerate(marks) if m.start() < at]
+            near = 0
+            for k in before:
+                negated = words[k] in toxicity.NEGATIONS or (k and f"{words[k - 1]} {words[k]}" in toxicity.NEGATIONS)
+                cue = words[k] in toxicity.TARGETS or words[k] in toxicity.REPORTED
+                near = toxicity.NEAR if negated and not cue else near if words[k] in toxicity.QUOTES else max(near - 1, 0)
+            quoted = any(words[k] in toxicity.QUOTES for k in before) and any(m[0] in toxicity.QUOTES for m in marks if m.start() > at)
+            if near:
+                kind = "negated"
+            elif quoted or any(words[k] in toxicity.REPORTED for k in before):
+                kind = "reported"
+            elif kind == "insult" and any(w in toxicity.TARGETS for w in words):
+                kind = "targeted"
+            by[kind] += weight
+    share = toxicity.CLAUSES / max(toxicity.CLAUSES, len(clauses))
+    z = g.weights[0] + sum(w * math.log1p(by[c] * share) for w, c in zip(g.weights[1:], toxicity.CLASSES, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_query_against_plain_rules(spark, sf_dir):
+    root = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text")
+    g = toxicity.learn_from(spark, docs, root)
+    got = {r.doc_id: r for r in toxicity.op6_query(spark, root).collect()}
+    for r in docs.collect():
+        want = _plain_score(g, r.text or "")
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (want >= 0.7), r.doc_id
+    rng = random.Random(9)
+    pool = [*toxicity.INSULTS, *toxicity.TARGETS, *toxicity.NEGATIONS, *toxicity.REPORTED, *toxicity.THREATS[:9], "«", "»", '"', ".", "!", "word", "other", "plain", "thing"]
+    for _ in range(500):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+        assert abs(g.score(text) - _plain_score(g, text)) < 1e-9, text
+
+
 def test_grammar_stems(spark):
     g = toxicity.Grammar({"brut*": 2.0, "brute": 3.0, "brutal*": 2.5})
-    assert [c[:2] for c in g.clauses("brute brutish brutally abrute brut")] == [("insult", 3.0), ("stem", 2.0), ("stem", 2.5), ("stem", 2.0)]
-    assert g.score("brutish brutally") > 0.7 > g.score("brutish " + "word " * 500)
+    assert [c[:2] for c in g.clauses("brute brutish brutally abrute brut")] == [("insult", 3.0), ("insult", 2.0), ("insult", 2.5), ("insult", 2.0)]
+    # matched clauses count against all clauses of a long text
+    few = "They are brutish. " * 3
+    assert g.score(few) > 0.7 > g.score(few + "A plain clause. " * 500)
     # any ending after the stem is bad; one word alone makes no stem
     bad = [(i, 1, f"here zorbi{chr(97 + i % 20)}{chr(97 + i % 17)}q and zorbi{chr(97 + i % 19)}{chr(97 + i % 13)}r with plimse") for i in range(60)]
     good = [(100 + i, 0, f"here are words {i} of a clean text") for i in range(60)]
     learned = toxicity.learn(spark.createDataFrame(bad + good, "doc_id int, toxic int, text string"))
     assert "zorbi*" in learned.lexicon and "plimse" in learned.lexicon and "plims*" not in learned.lexicon
-    assert learned.score("a zorbixyz") > 0.7 > learned.score("a plain text")
+    assert learned.score("a zorbixyz and zorbiabc") > 0.7 > max(learned.score("a plain text"), learned.score("a zorbixyz"))
 
 
 def test_line_dedup_against_brute_force(spark):
