@@ -401,12 +401,20 @@ def test_near_duplicates_odd(odd):
     assert neardup.near_duplicates(empty(odd)).count() == 0
 
 
-def _brute_bm25(index, words):
+def _bm25(items, segment=decontaminate.SEGMENT, k1=decontaminate.K1, b=decontaminate.B):
+    """A list of (item, its words before, segment, word -> share of the segment's score for itself), by the formula."""
+    import math
+
+    cuts = []
+    for k, (_, words, _) in enumerate(items):
+        n = -(-len(words) // segment)
+        cuts += [(k, i * len(words) // n, words[i * len(words) // n : (i + 1) * len(words) // n]) for i in range(n)]
+    df = Counter(w for _, _, s in cuts for w in set(s))
+    mean = sum(len(s) for _, _, s in cuts) / max(len(cuts), 1)
     out = []
-    have = set(words.tolist())
-    for s, (_, seg, _) in enumerate(index.segments):
-        score = sum(float(x[list(p).index(s)]) for w, p, x in zip(index.vocab.tolist(), index.postings, index.impacts, strict=True) if w in have and s in p)
-        out.append((s, score))
+    for k, before, s in cuts:
+        raw = {w: math.log1p((len(cuts) - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(s) / mean)) for w, n in Counter(s).items()}
+        out.append((k, before, s, {w: x / sum(raw.values()) for w, x in raw.items()}))
     return out
 
 
@@ -414,15 +422,78 @@ def test_wand_against_brute_force():
     rng = np.random.default_rng(1)
     items = [(i, rng.integers(0, 80, rng.integers(4, 60)).tolist(), 3) for i in range(60)]
     index = decontaminate.Index(items, block=4)
+    brute = {(items[k][0], before): shares for k, before, _, shares in _bm25(items)}
     for _ in range(60):
         words = np.unique(rng.integers(0, 90, 40))
         codes = np.unique(index.codes(words))
         codes = codes[codes < len(index.vocab)]
         for least in (0.3, 0.55):
-            got = index.search(codes, np.ones(index.blocks, bool), least)
-            want = [(s, x) for s, x in _brute_bm25(index, words) if x >= least]
-            assert sorted(s for s, _ in got) == sorted(s for s, _ in want)
-            assert all(abs(x - dict(want)[s]) < 1e-9 for s, x in got)
+            _, blocks = index.bounds(codes[None, :], np.ones((1, len(codes)), bool), least)
+            got = {(index.segments[s][0], index.around[s][1]): x for s, x in index.search(codes, set(blocks.tolist()), least)}
+            all_blocks = {(index.segments[s][0], index.around[s][1]): x for s, x in index.search(codes, set(range(index.blocks)), least)}
+            want = {at: sum(shares.get(w, 0.0) for w in words.tolist()) for at, shares in brute.items()}
+            want = {at: x for at, x in want.items() if x >= least}
+            assert set(got) == set(all_blocks) == set(want)
+            assert all(abs(x - want[at]) < 1e-9 for at, x in got.items())
+
+
+def _plain_words(text):
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+
+
+def _brute_decontaminate(docs, items):
+    """(doc, item) -> score, by comparing every window of every text with every segment."""
+    given = []
+    for i, t in items:
+        q, a = decontaminate.split_item(t)
+        given.append((i, [*_plain_words(q), *_plain_words(a)], len(_plain_words(q))))
+    segments = _bm25(given)
+    by_word = defaultdict(set)
+    for s, (*_, shares) in enumerate(segments):
+        for w in shares:
+            by_word[w].add(s)
+    out = {}
+    for doc, text in docs:
+        words = _plain_words(text)
+        stride = decontaminate.STRIDE
+        for k in range(max(-(-len(words) // stride) - 1, 1) if words else 0):
+            lo, hi = k * stride, min(k * stride + 2 * stride, len(words))
+            here = set(words[lo:hi])
+            for s in set().union(*(by_word[w] for w in here if w in by_word)):
+                item, before, seg, shares = segments[s]
+                if (score := sum(x for w, x in shares.items() if w in here)) < decontaminate.THRESHOLD:
+                    continue
+                name, all_words, q = given[item]
+                after = len(all_words) - before - len(seg)
+                around = words[max(lo - stride - before - before // 4, 0) : hi + stride + after + after // 4]
+                n = min(decontaminate.NGRAM, len(all_words))
+                grams = lambda ws: {tuple(ws[j : j + n]) for j in range(len(ws) - n + 1)}  # noqa: B023, E731
+                whole = [tuple(all_words[j : j + n]) for j in range(len(all_words) - n + 1)]
+                parts = (set(whole[: max(1, q - n + 1)]) if q else set(), set(whole[min(q, len(whole) - 1) :]) if q < len(all_words) else set())
+                there = grams(around)
+                if all(not p or len(p & there) / len(p) >= decontaminate.OVERLAP for p in parts):
+                    out[doc, name] = max(out.get((doc, name), 0.0), score)
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_decontamination_query_against_brute_force(spark, sf_dir, sf):
+    root = f"{sf_dir.rsplit('/', 1)[0]}/{sf}"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{root}/benchmark.parquet").filter("text is not null").collect()]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.op3_query(spark, root).collect()}
+    want = _brute_decontaminate(docs, items)
+    assert set(got) == set(want) and all(abs(x - want[k]) < 1e-9 for k, x in got.items())
+
+
+def test_decontamination_in_several_passes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    one = sorted(decontaminate.contaminated(docs, items).collect())
+    assert sorted(decontaminate.contaminated(docs, items, words_per_pass=700).collect()) == one
+    for words in (700, 1_000_000):
+        left = decontaminate.decontaminated(docs, items, words_per_pass=words)
+        assert sorted(left.collect(), key=str) == sorted(docs.join(spark.createDataFrame(sorted({(r.id,) for r in one}), "doc_id bigint"), "doc_id", "left_anti").collect(), key=str)
 
 
 def test_decontamination(spark, odd):
