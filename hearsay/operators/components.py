@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.runtime import cut
+from hearsay.runtime import cut, forget
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -33,10 +33,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     folder, so lost executors never replay earlier rounds. The rounds needed grow with the logarithm of the longest
     path; running out of ``most_rounds`` raises instead of giving a partial answer.
     """
-    now = cut(edges.select("u", "v").filter("u <> v").distinct())
+    given = cut(edges.select("u", "v").distinct())
+    now = given.filter("u <> v")
     seen = None
     for _ in range(most_rounds):
-        now = cut(_small_star(_large_star(now)))
+        now, before = cut(_small_star(_large_star(now))), now
+        forget(before)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen:
             break
@@ -45,5 +47,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-    loops = edges.filter("u = v").select(F.col("u").alias("node")).distinct().join(out, "node", "left_anti")
+    loops = given.filter("u = v").select(F.col("u").alias("node")).distinct().join(out, "node", "left_anti")
     return out.unionByName(loops.select("node", F.col("node").alias("component")))

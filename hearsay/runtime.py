@@ -14,13 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a temporary one if driver and executors are
+    one machine (tests); on a cluster that folder would not be shared, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         known = jsc.getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not jsc.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="hearsay-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,4 +37,15 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames; nothing that is still to be read may depend on them."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            spark = df.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
