@@ -9,26 +9,29 @@ on the full shingle sets. No row is made for each pair of a group, and none of i
    there; the others form the bucket anew, without the pivot, until no bucket has two members.
 3. Edges to pivots at ``OUTER`` or more, a distance wider than ``INNER`` by twice the threshold's distance or more, tie
    nodes into groups. By the triangle inequality of the Jaccard distance two linked members of a bucket are in one group.
-4. Groups are dealt into blocks by hash, pairs of blocks are verified exactly, each by one task in bounded memory; it
-   returns each node's number of links and a forest of links, not the pairs.
+4. Groups are parted into rings of set sizes, which links can't skip, and rings into blocks by hash. Pairs of blocks of
+   one ring or of two neighbours are verified exactly, each by one task in bounded memory; it returns each node's number
+   of links and a forest of links, not the pairs.
 5. Classes are the connected components of the links.
 
 Defined results: texts without a word (null, empty) have no shingle, so no link, and are classes of their own; rows that
-agree in words are copies, whatever their ids; the class id is the least document id in it (null if all are null).
+agree in words are copies, whatever their ids; the class id is the least document id in it (null if all are null); an
+empty table gives an empty result. Columns other than the id and the text play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.text import flat, mix, ngram_hashes, ngram_starts, slices, word_hashes
+from hearsay.llm.text import flat, mix, ngram_hashes, ngram_starts, own, slices, word_hashes
 from hearsay.operators.components import connected_components
-from hearsay.runtime import cut
+from hearsay.runtime import cut, forget
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
 INNER, OUTER = 0.4, 0.2
@@ -85,7 +88,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: int, rows: int, n
 
 def sketches(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int) -> DataFrame:
     """(id, t, c, bands): t is a hash of the text, c of its words (null without a word)."""
-    fed = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("t"), word_hashes(text).alias("w"))
+    fed = docs.select(own(key).alias("id"), F.xxhash64(own(text)).alias("t"), word_hashes(own(text)).alias("w"))
     fed = fed.withColumn("c", F.when(F.size("w") > 0, F.xxhash64("w")))
     schema = fed.selectExpr("id", "t", "c", "w as bands").schema
 
@@ -102,9 +105,9 @@ def sketches(docs: DataFrame, text: str, key: str, bands: int, rows: int, n: int
 def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str, key: str, n: int) -> DataFrame:
     """(c, s): the sorted shingle set of each node in ``nodes`` (t, id). Only the texts that are asked for are cut again,
     and of a text's copies only the row that stands for it is looked up, so copies are dealt by their ids."""
-    asked = nodes.select(F.col("t").alias("_t"), F.col("id").alias("_id"))
-    rows = docs.select(F.col(text).alias("x"), F.xxhash64(F.col(text)).alias("t"), F.col(key).alias("id"))
-    picked = rows.join(asked, (F.col("t") == F.col("_t")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    asked = nodes.select(F.col("t").alias("asked_t"), F.col("id").alias("asked_id"))
+    rows = docs.select(own(text).alias("x"), F.xxhash64(own(text)).alias("t"), own(key).alias("id"))
+    picked = rows.join(asked, (F.col("t") == F.col("asked_t")) & F.col("id").eqNullSafe(F.col("asked_id")), "left_semi")
     fed = picked.dropDuplicates(["t"]).select(word_hashes("x").alias("w")).withColumn("c", F.xxhash64("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,7 @@ def groups(sketch: DataFrame, docs: DataFrame, text: str, key: str, n: int) -> t
         return None
     stands = sketch.groupBy("c").agg(F.min(F.struct("t", "id")).alias("v")).join(met.select("c").distinct(), "c", "left_semi").select("v.t", "v.id")
     sets = cut(shingle_sets(docs, stands, text, key, n))
-    ties, known = [], None
+    ties, written = [], []
     for turn in range(ROUNDS + 1):
         pairs = met.filter("c <> pivot").select("c", "pivot").distinct()
         if turn == ROUNDS:
@@ -147,18 +150,20 @@ def groups(sketch: DataFrame, docs: DataFrame, text: str, key: str, n: int) -> t
             ties.append(pairs)
             break
         known = cut(jaccard(pairs, sets))
+        written.append(known)
         ties.append(known.filter(F.col("j") >= OUTER).select("c", "pivot"))
         far = known.filter(F.col("j") < INNER).select("c", "pivot")
         left = cut(met.join(far, ["c", "pivot"], "left_semi").select("c", "k"))
+        forget(met)
         if left.isEmpty():
             break
         met = pivoted(left)
+        forget(left)
         if met.isEmpty():
             break
-    edges = ties[0]
-    for x in ties[1:]:
-        edges = edges.unionByName(x)
-    return connected_components(edges.select(F.col("c").alias("u"), F.col("pivot").alias("v"))), sets
+    found = connected_components(reduce(DataFrame.unionByName, ties).select(F.col("c").alias("u"), F.col("pivot").alias("v")))
+    forget(met, *written)
+    return found, sets
 
 
 def _verify(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float):
@@ -214,13 +219,35 @@ def _verify(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np
     return links, forest
 
 
+def cells(member: DataFrame, threshold: float) -> DataFrame:
+    """Rows (component, r1, b1, r2, b2, first, c, size, s): members dealt into pairs of blocks.
+
+    Sets that are linked differ in size by the threshold at most, so members of a group are told apart by rings of sizes,
+    one the threshold apart from the next, and only meet members of their own ring and of the two beside it. ``first``
+    tells which of the two blocks a member is in.
+    """
+    ring = F.floor(F.log(F.size("s").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    m = member.withColumn("r", ring)
+    blocks = m.groupBy("component", "r").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    beside = blocks.select("component", (F.col("r") - 1).alias("r"), F.col("nb").alias("up")), blocks.select("component", (F.col("r") + 1).alias("r"), F.col("nb").alias("down"))
+    sizes = blocks.join(beside[0], ["component", "r"], "left").join(beside[1], ["component", "r"], "left")
+    m = m.join(sizes, ["component", "r"]).withColumn("b", F.pmod(F.xxhash64(F.lit(11), "c"), F.col("nb").cast("long")).cast("int"))
+
+    def pairs(n: str, r1: Column, b1, r2: Column, b2, first) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda o: F.struct(r1.alias("r1"), b1(o).alias("b1"), r2.alias("r2"), b2(o).alias("b2"), first(o).alias("first")))
+        return F.when(F.col(n).isNotNull(), each).otherwise(F.expr("cast(array() as array<struct<r1:int,b1:int,r2:int,b2:int,first:boolean>>)"))
+
+    r, b = F.col("r"), F.col("b")
+    own_ring = pairs("nb", r, lambda o: F.least(b, o), r, lambda o: F.greatest(b, o), lambda o: b <= o)
+    above = pairs("up", r, lambda o: b, r + 1, lambda o: o, lambda o: F.lit(True))
+    below = pairs("down", r - 1, lambda o: o, r, lambda o: b, lambda o: F.lit(False))
+    return m.select("component", "c", "size", "s", F.explode(F.concat(own_ring, above, below)).alias("x")).select("component", "x.*", "c", "size", "s")
+
+
 def verified(member: DataFrame, threshold: float) -> DataFrame:
     """(c, links, other): a row with the links of each node in each pair of blocks, and rows with forest edges."""
-    count = member.groupBy("component").agg(F.count("*").alias("n"))
-    m = member.join(count, "component").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    m = m.withColumn("b", F.pmod(F.xxhash64(F.lit(11), "c"), F.col("nb").cast("long")).cast("int"))
-    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select(F.xxhash64("component", F.least("b", "o"), F.greatest("b", "o")).alias("g"), "component", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "c", "size", "s")
+    cell = ["component", "r1", "b1", "r2", "b2"]
+    m = cells(member, threshold).withColumn("g", F.xxhash64(*cell)).select("g", *cell, "first", "c", "size", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -229,21 +256,21 @@ def verified(member: DataFrame, threshold: float) -> DataFrame:
         def done() -> tuple[list, list, list]:
             ids = np.array([h[0] for h in held], np.int64)
             sizes = np.array([h[1] for h in held], np.int64)
-            side = np.array([h[3] for h in held]) if key[2] != key[3] else None
+            side = np.array([h[3] for h in held]) if key[2:4] != key[4:6] else None
             links, forest = _verify(ids, sizes, [h[2] for h in held], side, threshold)
             return ids.tolist() + [u for u, _ in forest], links.tolist() + [0] * len(forest), [None] * len(ids) + [v for _, v in forest]
 
         out: tuple[list, list, list] = ([], [], [])
         for x in batches:
             values, offsets = flat(x.column("s"))
-            cols = [x.column(c).to_pylist() for c in ("g", "component", "lo", "hi", "c", "size", "b")]
-            for i, (g, comp, lo, hi, c, size, b) in enumerate(zip(*cols, strict=True)):
-                if (g, comp, lo, hi) != key:
+            cols = [x.column(c).to_pylist() for c in ("g", *cell, "first", "c", "size")]
+            for i, (*at, first, c, size) in enumerate(zip(*cols, strict=True)):
+                if tuple(at) != key:
                     if held:
                         for a, part in zip(out, done(), strict=True):
                             a.extend(part)
-                    held, key = [], (g, comp, lo, hi)
-                held.append((c, size, values[offsets[i] : offsets[i + 1]].copy(), b))
+                    held, key = [], tuple(at)
+                held.append((c, size, values[offsets[i] : offsets[i + 1]].copy(), first))
             if len(out[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in out], names=["c", "links", "other"])
                 out = ([], [], [])
@@ -253,30 +280,32 @@ def verified(member: DataFrame, threshold: float) -> DataFrame:
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in out], names=["c", "links", "other"])
 
-    dealt = m.repartition("g").sortWithinPartitions("g", "component", "lo", "hi")
+    dealt = m.repartition("g").sortWithinPartitions("g", *cell)
     return dealt.mapInArrow(run, "c bigint, links bigint, other bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """One row per document: id, t (hash of the text), class_id, node (hash of its words), copies (other documents of
-    the same words) and n_links (documents at the threshold or above, copies included)."""
+    """One row per document: id, t (hash of the text), class_id, class (a hash that only documents of the class share; null
+    without a word), node (hash of its words), copies (other documents of the same words) and n_links (documents at the
+    threshold or above, copies included)."""
     sketch = cut(sketches(docs, text, key, bands_for(threshold, rows, recall), rows, n))
     nodes = sketch.filter("c is not null").groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("least"))
     found = groups(sketch, docs, text, key, n)
     base = sketch.select("id", "t", "c")
     if found is None:
-        out = base.join(nodes, "c", "left").withColumn("links", F.lit(0).cast("long")).withColumn("class_least", F.col("least"))
+        out = base.join(nodes, "c", "left").withColumns({"links": F.lit(0).cast("long"), "class_least": F.col("least"), "component": F.col("c")})
     else:
         comp, sets = found
         member = comp.withColumnRenamed("node", "c").join(nodes, "c").join(sets, "c").select("component", "c", "size", "s")
         checked = cut(verified(member, threshold))
+        forget(sets)
         links = checked.groupBy("c").agg(F.sum("links").alias("links"))
         classes = connected_components(checked.filter("other is not null").select(F.col("c").alias("u"), F.col("other").alias("v")))
         tagged = nodes.join(classes.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left").withColumn("component", F.coalesce("component", "c"))
         least = tagged.groupBy("component").agg(F.min("least").alias("class_least"))
         out = base.join(tagged.join(least, "component"), "c", "left")
     return out.select(
-        "id", "t", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_least")).alias("class_id"), F.col("c").alias("node"),
+        "id", "t", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_least")).alias("class_id"), F.col("component").alias("class"), F.col("c").alias("node"),
         F.coalesce(F.col("size") - 1, F.lit(0)).alias("copies"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).alias("n_links"),
     )
 
