@@ -5,10 +5,11 @@ counts follow from the target recall at the threshold. Documents meet by the has
 on the full shingle sets. No row is made for each pair of a group, and none of its links is lost:
 
 1. Texts of equal word sequences are one node (its 64-bit hash), so exact copies cost one row.
-2. Each bucket's members are compared with its least member, the pivot. Members at Jaccard ``INNER`` or more are settled
-   there; the others form the bucket anew, without the pivot, until no bucket has two members.
-3. Edges to pivots at ``OUTER`` or more, a distance wider than ``INNER`` by twice the threshold's distance or more, tie
-   nodes into groups. By the triangle inequality of the Jaccard distance two linked members of a bucket are in one group.
+2. Each bucket's members are compared with its least member, the pivot. Members within twice the threshold's distance (at
+   Jaccard 0.6 for a threshold of 0.8) are settled there; the others form the bucket anew, without the pivot, until no
+   bucket has two members.
+3. Edges to pivots within three times the threshold's distance (0.4) tie nodes into groups. By the triangle inequality of
+   the Jaccard distance two linked members of a bucket are in one group.
 4. Groups are parted into rings of set sizes, which links can't skip, and rings into blocks by hash. Pairs of blocks of
    one ring or of two neighbours are verified exactly, each by one task in bounded memory; it returns each node's number
    of links and a forest of links, not the pairs.
@@ -34,7 +35,6 @@ from hearsay.operators.components import connected_components
 from hearsay.runtime import cut, forget
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
-INNER, OUTER = 0.4, 0.2
 BLOCK = 256
 ROUNDS = 8
 
@@ -128,7 +128,7 @@ def jaccard(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.join(left, "c").join(right, "pivot").select("c", "pivot", (both / (F.size("x") + F.size("y") - both)).alias("j"))
 
 
-def groups(sketch: DataFrame, docs: DataFrame, text: str, key: str, n: int) -> tuple[DataFrame, DataFrame] | None:
+def groups(sketch: DataFrame, docs: DataFrame, text: str, key: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame] | None:
     """(node, component) of nodes that may have links, and their shingle sets; None if no two texts meet."""
     nodes = sketch.filter("c is not null").groupBy("c").agg(F.min("bands").alias("bands"))
     buckets = nodes.select("c", F.explode("bands").alias("k"))
@@ -143,6 +143,7 @@ def groups(sketch: DataFrame, docs: DataFrame, text: str, key: str, n: int) -> t
     stands = sketch.groupBy("c").agg(F.min(F.struct("t", "id")).alias("v")).join(met.select("c").distinct(), "c", "left_semi").select("v.t", "v.id")
     sets = cut(shingle_sets(docs, stands, text, key, n))
     ties, written = [], []
+    settled, tied = (max(0.0, 1 - k * (1 - threshold) - 1e-9) for k in (2, 3))
     for turn in range(ROUNDS + 1):
         pairs = met.filter("c <> pivot").select("c", "pivot").distinct()
         if turn == ROUNDS:
@@ -151,8 +152,8 @@ def groups(sketch: DataFrame, docs: DataFrame, text: str, key: str, n: int) -> t
             break
         known = cut(jaccard(pairs, sets))
         written.append(known)
-        ties.append(known.filter(F.col("j") >= OUTER).select("c", "pivot"))
-        far = known.filter(F.col("j") < INNER).select("c", "pivot")
+        ties.append(known.filter(F.col("j") >= tied).select("c", "pivot"))
+        far = known.filter(F.col("j") < settled).select("c", "pivot")
         left = cut(met.join(far, ["c", "pivot"], "left_semi").select("c", "k"))
         forget(met)
         if left.isEmpty():
@@ -290,7 +291,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     threshold or above, copies included)."""
     sketch = cut(sketches(docs, text, key, bands_for(threshold, rows, recall), rows, n))
     nodes = sketch.filter("c is not null").groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-    found = groups(sketch, docs, text, key, n)
+    found = groups(sketch, docs, text, key, n, threshold)
     base = sketch.select("id", "t", "c")
     if found is None:
         out = base.join(nodes, "c", "left").withColumns({"links": F.lit(0).cast("long"), "class_least": F.col("least"), "component": F.col("c")})
