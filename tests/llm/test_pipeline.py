@@ -33,6 +33,38 @@ def test_stages_on_planted_cases(spark, sf_dir, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left["bpe"]
 
 
+def _tables(spark, path, docs, columns):
+    spark.createDataFrame(docs, columns).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "Who wrote it? It was william.")], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(100, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    same = "one text that is there with several ids and more than once"
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = [(None, None), (None, "null id"), (None, same), (3, same), (3, same), (4, same), (5, ""), (5, None), (6, "x" * 300_000), (7, base), (7, base.replace("w50", "v")), (8, base), (9, "   \n\n")]
+    clash = "score string, Clauses int, n_lines int, deleted string, t string, id string, class int, words int, other int, n int, row int"
+    rows = [(i, t, *("mine" if "string" in c else k for k, c in enumerate(clash.split(", ")))) for i, t in docs]
+    d = _tables(spark, tmp_path, rows, f"doc_id bigint, text string, {clash}")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        d = spark.read.parquet(f"{tmp_path}/{k}")
+    left = d.collect()
+    assert {(r.score, r.Clauses, r.row) for r in left} == {("mine", 1, 10)}
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in left)
+    assert kept == [(False, 3), (False, 5), (False, 5), (False, 6), (False, 7), (False, 9), (True, 0), (True, 0)]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 8
+
+
+def test_empty_tables(spark, tmp_path):
+    d = _tables(spark, tmp_path, [], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d, str(tmp_path)).count() == 0
+
+
 def test_registration():
     assert sorted(QUERIES, key=lambda x: int(x[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 10 and set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "bpe"]
