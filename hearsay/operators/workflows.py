@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 from hearsay.operators.graph import AUTH_EDGES, Edge, Node, cycles, per_component
 
-AUTH_WORDS, RISKY = ("login", "auth", "token", "logout"), ("DELETE", "PUT", "PATCH")
-#: Longest simple paths are searched by steps up to this number where a component has a cycle; acyclic ones have no limit.
-MOST_STEPS = 200_000
+# Words of a url that make a request an authentication boundary.
+AUTH_WORDS = ("login", "auth", "token", "logout")
+#: Steps of the search for longest paths inside one strongly connected set of nodes. The problem is exponential there; what
+#: ends at this bound is marked ``critical_path_stopped``. Everything outside such sets is exact without a search.
+MOST_STEPS = 2_000_000
 
 
 def members(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -30,57 +32,147 @@ def critical_path_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
     return [r[:2] for r in marked_path_of(nodes, edges)]
 
 
-def marked_path_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
-    """The longest path, its length, and 1 if the search stopped before all paths were walked, so that a longer one may
-    exist. Without a cycle every node's longest tail is worked out once; with one, simple paths are searched."""
+def strong_sets(ids: list[str], out: dict[str, list[str]]) -> list[list[str]]:
+    """Strongly connected sets of nodes, each after all sets that it leads to (Tarjan's algorithm on a stack of its own)."""
+    place: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    first_of: dict[str, int] = {}
+    inside: set[str] = set()
+    found: list[list[str]] = []
+    for root in ids:
+        if root in place:
+            continue
+        todo = [(root, 0)]
+        while todo:
+            at, k = todo.pop()
+            if k == 0:
+                place[at] = low[at] = len(place)
+                first_of[at] = len(held)
+                held.append(at)
+                inside.add(at)
+            for k in range(k, len(out[at])):  # noqa: B020
+                t = out[at][k]
+                if t not in place:
+                    todo += [(at, k + 1), (t, 0)]
+                    break
+                if t in inside:
+                    low[at] = min(low[at], place[t])
+            else:
+                if low[at] == place[at]:
+                    cut = first_of[at]
+                    found.append(held[cut:])
+                    inside.difference_update(held[cut:])
+                    del held[cut:]
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[at])
+    return found
+
+
+def longest_inside(start: str, out: dict[str, list[str]], members: list[str], tail: dict[str, int], most_steps: int | None = None) -> tuple[int, list[str], str | None, bool]:
+    """(length, path inside a strongly connected set, node outside that goes on, whether the search stopped) of the longest
+    simple path from ``start``; ``tail`` has the longest lengths from nodes of other sets. Paths are walked in the order
+    of edges, and left as soon as what can still be reached is no longer than what was found."""
+    number = {m: k for k, m in enumerate(members)}
+    near = [0] * len(members)
+    exits = [0] * len(members)
+    for m, k in number.items():
+        for t in out[m]:
+            if t in number:
+                near[k] |= 1 << number[t]
+            else:
+                exits[k] = max(exits[k], tail[t])
+    most_exit = max(exits)
+    by_exit = sorted((x, k) for k, x in enumerate(exits) if x)
+
+    def reach(at: int, seen: int) -> int:
+        """No path that goes on from ``at`` past the nodes in ``seen`` has more further nodes than this."""
+        got, new = 0, near[at] & ~seen
+        while new:
+            got |= new
+            next_ = 0
+            while new:
+                bit = new & -new
+                next_ |= near[bit.bit_length() - 1]
+                new ^= bit
+            new = next_ & ~seen & ~got
+        last = exits[at]
+        for x, k in reversed(by_exit):
+            if got >> k & 1:
+                last = max(last, x)
+                break
+        return got.bit_count() + last
+
+    best, path, outside = 1, [start], None
+    steps, walk, seen, todo = 0, [start], 1 << number[start], [iter(out[start])]
+    while todo:
+        t = next(todo[-1], None)
+        if t is None:
+            todo.pop()
+            seen &= ~(1 << number[walk.pop()])
+            continue
+        if t not in number:
+            if len(walk) + tail[t] > best:
+                best, path, outside = len(walk) + tail[t], list(walk), t
+            continue
+        k = number[t]
+        if seen >> k & 1:
+            continue
+        steps += 1
+        if most_steps is not None and steps > most_steps:
+            return best, path, outside, True
+        with_t = seen | 1 << k
+        if len(walk) + 1 > best:
+            best, path, outside = len(walk) + 1, [*walk, t], None
+        elif len(walk) + 1 + len(members) - with_t.bit_count() + most_exit <= best or len(walk) + 1 + reach(k, with_t) <= best:
+            continue
+        walk.append(t)
+        seen = with_t
+        todo.append(iter(out[t]))
+    return best, path, outside, False
+
+
+def marked_path_of(nodes: list[Node], edges: list[Edge], most_steps: int | None = MOST_STEPS) -> list[tuple]:
+    """The longest path, its length, and 1 if a search stopped at ``most_steps`` (None: never), so that a longer one may exist.
+
+    A path that leaves a strongly connected set never comes back, so longest paths are worked out set by set, those that
+    others lead to first: along single nodes by the length and next node of the best way on, and by a search only inside
+    sets of several nodes, from where they are entered. Memory is linear in the graph, but for the paths inside sets."""
     ids = [n.id for n in nodes]
-    inside, out, fed = set(ids), {}, set()
+    if not ids:
+        return []
+    inside = set(ids)
+    out: dict[str, list[str]] = {i: [] for i in ids}
+    fed = set()
     for e in edges:
-        out.setdefault(e.source, []).append(e.target)
         fed.add(e.target)
+        if e.source in inside and e.target in inside:
+            out[e.source].append(e.target)
     entries = [i for i in ids if i not in fed] or ids[:1]
-    tail: dict[str, list[str]] = {}
-    state: dict[str, int] = {}
-    cyclic = False
-    for root in entries:
-        stack = [(root, 0)]
-        while stack and not cyclic:
-            at, k = stack.pop()
-            nexts = [t for t in out.get(at, ()) if t in inside]
-            if k == 0:
-                if state.get(at) == 2:
-                    continue
-                state[at] = 1
-            if k < len(nexts):
-                stack.append((at, k + 1))
-                if state.get(nexts[k]) == 1:
-                    cyclic = True
-                elif state.get(nexts[k]) != 2:
-                    stack.append((nexts[k], 0))
-                continue
-            best: list[str] = []
-            for t in nexts:
-                if len(tail[t]) > len(best):
-                    best = tail[t]
-            tail[at] = [at, *best]
-            state[at] = 2
-    path: list[str] = []
+    sets = strong_sets(ids, out)
+    where = {m: k for k, members in enumerate(sets) for m in members}
+    entered = {t for s in ids for t in out[s] if where[s] != where[t]} | set(entries)
+    length: dict[str, int] = {}
+    way: dict[str, tuple[list[str], str | None]] = {}
     stopped = False
-    if not cyclic:
-        for e in entries:
-            if len(tail[e]) > len(path):
-                path = tail[e]
-    else:
-        steps = 0
-        for e in entries:
-            stack = [(e, [e], {e})]
-            while stack and steps < MOST_STEPS:
-                at, p, seen = stack.pop()
-                steps += 1
-                if len(p) > len(path):
-                    path = p
-                stack += [(t, [*p, t], seen | {t}) for t in reversed(out.get(at, ())) if t not in seen]
-            stopped = stopped or bool(stack)
+    for members in sets:
+        if len(members) == 1:
+            at, best, on = members[0], 0, None
+            for t in out[at]:
+                if t != at and length[t] > best:
+                    best, on = length[t], t
+            length[at], way[at] = best + 1, ([at], on)
+            continue
+        for at in members:
+            if at in entered:
+                length[at], walked, on, short = longest_inside(at, out, members, length, most_steps)
+                way[at], stopped = (walked, on), stopped or short
+    first = max(entries, key=lambda e: length[e])  # the first of equals
+    path: list[str] = []
+    at: str | None = first
+    while at is not None:
+        walked, at = way[at]
+        path += walked
     return [("|".join(path), len(path), int(stopped))]
 
 
