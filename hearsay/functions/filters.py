@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.urls import base_url, col, is_absolute, pathname
 
-ASSETS = r"(?i)\.(png|jpg|jpeg|gif|webp|css|woff2?|woff|ttf|eot|js|ico|svg|map)$"
+ASSETS = r"(?i)\.(png|jpg|jpeg|gif|webp|css|woff2?|woff|ttf|eot|js|ico|svg|map)\z"
 BODY_LIMIT, OFFLOAD_LIMIT = 1 << 20, 1 << 16
 
 # Parts of urls of third-party telemetry, and of paths that telemetry uses.
@@ -122,12 +122,13 @@ def session_valid(created_ms: str | Column, cookies: str | Column, storage_state
 
 def is_graphql_request(path: str | Column, body: str | Column) -> Column:
     """/graphql in the path, or a body whose every item has a query text or a persisted query."""
-    b = F.trim(col(body))
+    b = F.btrim(col(body), F.lit(" \t\r\n"))
     items = F.when(b.startswith("["), F.from_json(b, "array<string>")).when(b.startswith("{"), F.array(b))
-    asks = F.forall(
-        items,
-        lambda x: F.coalesce(F.get_json_object(x, "$.extensions.persistedQuery").isNotNull(), F.lit(False)) | F.coalesce((F.typeof(x) == "string") & F.get_json_object(x, "$.query").isNotNull(), F.lit(False)),
-    )
+
+    def text(x: Column) -> Column:
+        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(x), "$.query", "variant")) == "STRING"
+
+    asks = F.forall(items, lambda x: F.coalesce(F.get_json_object(x, "$.extensions.persistedQuery").isNotNull(), F.lit(False)) | F.coalesce(text(x), F.lit(False)))
     return col(path).rlike("(?i)/graphql") | F.coalesce((F.size(items) > 0) & asks, F.lit(False))
 
 

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from hearsay.functions.urls import UUID, col
 
 # Shapes of tokens.
-JWT = r"^[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]*$"
-UUID_VERSIONED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-ULID = r"(?i)^[0123456789ABCDEFGHJKMNPQRSTVWXYZ]{26}$"
-OBJECT_ID = r"(?i)^[0-9a-f]{24}$"
-HASH = r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
-BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
-EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
-IPV4 = r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"
+JWT = r"^[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]*\z"
+UUID_VERSIONED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
+ULID = r"(?i)^[0123456789ABCDEFGHJKMNPQRSTVWXYZ]{26}\z"
+OBJECT_ID = r"(?i)^[0-9a-f]{24}\z"
+HASH = r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\z"
+BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?\z"
+EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"
+IPV4 = r"^([0-9]{1,3}\.){3}[0-9]{1,3}\z"
 
 
 def string_format(value: str | Column) -> Column:
     """uuid, date, date-time, email, uri, ipv4 or null."""
     v = col(value)
     return (
-        F.when(v.rlike(f"^{UUID}$"), "uuid")
+        F.when(v.rlike(rf"^{UUID}\z"), "uuid")
         .when(v.rlike(ISO_DATE) & F.try_to_timestamp(v).isNotNull(), F.when(v.contains("T"), "date-time").otherwise("date"))
         .when(v.rlike(EMAIL), "email")
         .when(v.rlike("(?i)^https?://"), "uri")
@@ -34,12 +34,12 @@ def string_format(value: str | Column) -> Column:
 def charset(value: str | Column) -> Column:
     v = col(value)
     return (
-        F.when(v.rlike("^[0-9]+$"), "numeric")
-        .when(v.rlike("^[a-z]+$"), "alpha_lower")
-        .when(v.rlike("^[A-Z]+$"), "alpha_upper")
-        .when(v.rlike("^[A-Za-z]+$"), "alpha")
-        .when(v.rlike("(?i)^[0-9a-f]+$"), "hex")
-        .when(v.rlike("(?i)^[0-9a-z]+$"), "alphanumeric")
+        F.when(v.rlike(r"^[0-9]+\z"), "numeric")
+        .when(v.rlike(r"^[a-z]+\z"), "alpha_lower")
+        .when(v.rlike(r"^[A-Z]+\z"), "alpha_upper")
+        .when(v.rlike(r"^[A-Za-z]+\z"), "alpha")
+        .when(v.rlike(r"(?i)^[0-9a-f]+\z"), "hex")
+        .when(v.rlike(r"(?i)^[0-9a-z]+\z"), "alphanumeric")
         .otherwise("mixed")
     )
 
@@ -51,7 +51,7 @@ def distinct_characters(value: str | Column) -> Column:
 def entropy(value: str | Column) -> Column:
     v = col(value)
     kinds, n = distinct_characters(v), F.length(v)
-    return F.when((n < 8) | (kinds < 5) | (v.rlike("^[0-9]+$") & (n < 10)), "low").when((kinds >= 16) & (n >= 20), "high").otherwise("medium")
+    return F.when((n < 8) | (kinds < 5) | (v.rlike(r"^[0-9]+\z") & (n < 10)), "low").when((kinds >= 16) & (n >= 20), "high").otherwise("medium")
 
 
 def delimiters(value: str | Column) -> Column:
@@ -79,7 +79,7 @@ def token_class(value: str | Column, hint: str | Column = "") -> Column:
         return F.lit(float(x))
 
     base64 = F.array_contains(encoding_hints(v), "base64")
-    numeric = v.rlike("^[0-9]+$")
+    numeric = v.rlike(r"^[0-9]+\z")
     cookie = h.contains("cookie") | h.contains("session")
     cursor = h.contains("cursor") | h.contains("after") | h.contains("before")
     def kind(name: str, modifier: Column) -> Column:

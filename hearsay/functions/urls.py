@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 #: A path segment that stands for a value: uuid, object id, number, long hex, or any token of 20 characters or more.
-DYNAMIC = rf"^(?:{UUID}|[0-9a-fA-F]{{24}}|[0-9]+|[0-9a-fA-F]{{12,}}|[A-Za-z0-9_-]{{20,}})$"
+DYNAMIC = rf"^(?:{UUID}|[0-9a-fA-F]{{24}}|[0-9]+|[0-9a-fA-F]{{12,}}|[A-Za-z0-9_-]{{20,}})\z"
 #: scheme, authority, path, query of an absolute URL.
 _ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?"
 
@@ -27,12 +27,12 @@ def scheme(url: str | Column) -> Column:
 def authority(url: str | Column) -> Column:
     """Host with a port that isn't the scheme's own, lower case, without user names."""
     raw = F.lower(F.regexp_replace(_empty_to_null(F.regexp_extract(col(url), _ABSOLUTE, 2)), "^.*@", ""))
-    own = F.when(scheme(url).isin("http", "ws"), ":80$").when(scheme(url).isin("https", "wss"), ":443$").otherwise("$^")
+    own = F.when(scheme(url).isin("http", "ws"), r":80\z").when(scheme(url).isin("https", "wss"), r":443\z").otherwise("$^")
     return F.regexp_replace(raw, own, F.lit(""))
 
 
 def hostname(url: str | Column) -> Column:
-    return F.regexp_replace(authority(url), r":[0-9]+$", "")
+    return F.regexp_replace(authority(url), r":[0-9]+\z", "")
 
 
 def is_absolute(url: str | Column) -> Column:
@@ -109,10 +109,10 @@ def normalize_path(path: str | Column) -> Column:
     """Canonical path: no query, no trailing slash, ids as ``:id``. Neighbouring numbers fold every other time, as one
     replacement consumes the slash between them."""
     p = F.regexp_replace(col(path), r"(?s)\?.*$", "")
-    p = F.regexp_replace(p, r"/$", "")
+    p = F.regexp_replace(p, r"/\z", "")
     p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
     p = F.regexp_replace(p, rf"(?i)/{UUID}", "/:id")
-    p = F.regexp_replace(p, r"/[0-9]+$", "/:id")
+    p = F.regexp_replace(p, r"/[0-9]+\z", "/:id")
     return F.regexp_replace(p, r"/[0-9]+/", "/:id/")
 
 
@@ -134,11 +134,11 @@ def in_scope(link_host: Column, target_host: Column, subdomains: bool | Column)
 
 #: Names by class; tested in this order, whole name, any case.
 PARAMETER_NAMES = (
-    ("pagination", r"^(page|offset|skip|from|start|cursor|after|before)$"),
-    ("pagination", r"^(limit|per_page|pageSize|page_size|size|count|take|first|last)$"),
-    ("sorting", r"^(sort|sort_by|order_by|order|sortBy|orderBy|direction|sort_order)$"),
-    ("filter", r"^(q|query|search|filter|keyword|keywords|where|find)$"),
-    ("field_selection", r"^(fields|select|include|exclude|expand|embed|populate|projection)$"),
+    ("pagination", r"^(page|offset|skip|from|start|cursor|after|before)\z"),
+    ("pagination", r"^(limit|per_page|pageSize|page_size|size|count|take|first|last)\z"),
+    ("sorting", r"^(sort|sort_by|order_by|order|sortBy|orderBy|direction|sort_order)\z"),
+    ("filter", r"^(q|query|search|filter|keyword|keywords|where|find)\z"),
+    ("field_selection", r"^(fields|select|include|exclude|expand|embed|populate|projection)\z"),
 )
 
 
@@ -148,7 +148,7 @@ def parameter_class(name: str | Column, value: str | Column) -> Column:
     for kind, pattern in PARAMETER_NAMES:
         out = F.coalesce(out, F.when(name.rlike("(?i)" + pattern), kind))
     by_value = (
-        F.when(value.rlike(f"^(?:{UUID})$"), "identifier")
+        F.when(value.rlike(rf"^(?:{UUID})\z"), "identifier")
         .when(value.rlike(r"^\d{4}-\d{2}-\d{2}") & F.try_to_timestamp(value).isNotNull(), "temporal")
         .when(value.isin("true", "false"), "boolean")
         .otherwise("unknown")

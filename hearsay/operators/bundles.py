@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from hearsay.functions import urls
 from hearsay.functions.filters import is_auth_route
+from hearsay.operators.ingest import endpoint_id
 
 # What calls, sockets and routes look like.
 CALL = r"(?i)(?:fetch|axios\.(get|post|put|delete|patch)?)\s*\(\s*[\"'`](/[a-zA-Z0-9\-/_]+)[\"'`]"
@@ -80,6 +81,22 @@ def as_observations(found: DataFrame) -> DataFrame:
     )
 
 
+def as_endpoints(found: DataFrame) -> DataFrame:
+    """REST and GraphQL endpoints of scripts as rows of the endpoint inventory: the url is the template, the base url empty."""
+    rows = as_observations(found).withColumn("endpoint_id", endpoint_id(F.col("method"), F.col("url"), F.lit("")))
+    first = F.min_by(F.struct("provenance", "is_graphql"), F.struct("seq", "provenance")).alias("v")
+    out = rows.groupBy("endpoint_id", "method", F.col("url").alias("path_template"), "base_url").agg(F.count("*").alias("observation_count"), first, F.min("seq").alias("seq"))
+    return out.select("endpoint_id", "method", "path_template", "base_url", "observation_count", "v.*", "seq")
+
+
+def static_nodes(found: DataFrame) -> DataFrame:
+    """Graph nodes static_<endpoint id> of what scripts call; ``graph.add_nodes`` puts them with the others."""
+    return as_endpoints(found).select(
+        F.concat(F.lit("static_"), "endpoint_id").alias("id"), F.when(F.col("is_graphql"), "graphql_operation").otherwise("request").alias("type"), F.col("path_template").alias("url"),
+        F.lit(None).cast("string").alias("path"), "method", F.lit(None).cast("string").alias("trust_state"), "provenance", (F.col("seq") + (1 << 42)).alias("seq"),
+    )
+
+
 # --- pages
 
 

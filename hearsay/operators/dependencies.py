@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hearsay.functions import filters, tokens
+from hearsay.functions.json_text import parsed
 from hearsay.functions.urls import query_parameters
 
 #: Shortest value that is a candidate is one longer than this.
@@ -35,7 +34,7 @@ def walk(x, path: str) -> list[tuple[str, str]]:
 
 
 def json_tokens(body: Column, root: str) -> Column:
-    """The walk over a JSON text; text that isn't JSON is one string."""
+    """The walk over a JSON text; text that isn't JSON, or is nested deeper than ``parsed`` allows, is one string."""
 
     @F.pandas_udf(TOKENS)
     def run(s: pd.Series) -> pd.Series:
@@ -43,7 +42,7 @@ def json_tokens(body: Column, root: str) -> Column:
             if text is None:
                 return []
             try:
-                x = json.loads(text)
+                x = parsed(text)
             except ValueError:
                 x = text
             return [{"path": p, "value": v} for p, v in walk(x, root)]

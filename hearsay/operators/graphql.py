@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.functions import filters
+from hearsay.functions.json_text import parsed
 from hearsay.operators.ingest import graphql_id
 
 _TOKEN = re.compile(r'[\s,﻿]+|#[^\n\r]*|(?P<block>"""(?:\\"""|[\s\S])*?""")|(?P<string>"(?:\\.|[^"\\\n\r])*")|(?P<spread>\.\.\.)|(?P<name>[_A-Za-z][_0-9A-Za-z]*)|(?P<number>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<sign>[!$&()\[\]{}:=@|])')
@@ -188,7 +190,7 @@ def extract(body: str | Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         def one(text):
             try:
-                x = json.loads(text) if text else None
+                x = parsed(text) if text else None
             except ValueError:
                 return []
             return operations_of(x) if isinstance(x, (dict, list)) else []
@@ -205,6 +207,13 @@ def graphql_operations(rows: DataFrame, body: str = "request_body") -> tuple[Dat
     return good.withColumn("gql_id", graphql_id(F.col("operation_name"), F.col("document"))), x.filter("error is not null").select(*[c for c in rows.columns if c != body], F.lit("graphql").alias("kind"), F.col("error").alias("message"))
 
 
+def subscription_operations(frames: DataFrame, payload: str = "payload_text") -> tuple[DataFrame, DataFrame]:
+    """(operations with gql_id, diagnostics) in WebSocket frames that start or carry a subscription: what their payload asks."""
+    text = F.col(payload)
+    asks = frames.filter(F.coalesce(filters.looks_json(text), F.lit(False)) & filters.is_graphql_subscription(text))
+    return graphql_operations(asks.withColumn(payload, F.get_json_object(text, "$.payload")), payload)
+
+
 def upsert_operations(ops: DataFrame) -> DataFrame:
     """One row for each gql_id: the first."""
     cols = [c for c in ops.columns if c not in ("gql_id",)]
@@ -216,11 +225,14 @@ def breakdown(ops: DataFrame) -> DataFrame:
 
 
 def recover_persisted(payloads: DataFrame, known: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(recovered operations, diagnostics) of JSON payloads (id, pos, payload); ``known`` has (hash, document, seq).
+    """(recovered operations, diagnostics) of JSON payloads (id, payload), each an object or a batch of them; pos is the
+    place in the batch. ``known`` has (hash, document, seq).
 
     The last registration of a hash counts. The join is left to Spark, which broadcasts known queries where they are small.
     """
     p = F.col(payload)
+    batch = F.when(F.btrim(p, F.lit(" \t\r\n")).startswith("["), F.from_json(p, "array<string>")).otherwise(F.array(p))
+    payloads = payloads.select(*[c for c in payloads.columns if c not in (payload, "pos")], F.posexplode(batch).alias("pos", payload))
     name = F.nullif(F.get_json_object(p, "$.operationName"), F.lit(""))
     apollo = F.nullif(F.get_json_object(p, "$.extensions.persistedQuery.sha256Hash"), F.lit(""))
     relay = F.coalesce(F.nullif(F.get_json_object(p, "$.id"), F.lit("")), F.nullif(F.get_json_object(p, "$.doc_id"), F.lit("")))

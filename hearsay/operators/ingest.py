@@ -32,6 +32,11 @@ def with_ids(log: DataFrame) -> DataFrame:
     return out.withColumn("endpoint_id", endpoint_id(F.col("method"), F.col("path_template"), F.col("base_url")))
 
 
+def of_session(rows: DataFrame, session: str | None) -> DataFrame:
+    """Rows of one session; all rows where none is named. Every reader of the log takes what this gives."""
+    return rows if session is None else rows.filter(F.col("session_id") == session)
+
+
 def pair_requests(events: DataFrame) -> DataFrame:
     """Request and response events (kind, url, method, ts, seq, post_data, trace_id) to responses with the request that
     was waiting: the latest before it on the same url and method, unless another response has taken it."""
@@ -61,8 +66,17 @@ def dedup_requests(log: DataFrame) -> DataFrame:
     """One row for each request id, over all sessions: what was asked stays as first seen, what was answered as last."""
     rows = log if "request_id" in log.columns else with_ids(log)
     first, last = [c for c in FIRST if c in rows.columns], [c for c in LAST if c in rows.columns]
-    g = rows.groupBy("request_id").agg(F.min_by(F.struct(*first), "seq").alias("f"), F.max_by(F.struct(*last), "seq").alias("l"), F.min("seq").alias("seq"), F.count("*").alias("observations"))
-    return g.select("request_id", *[F.col(f"f.{c}") for c in first], *[F.col(f"l.{c}") for c in last], "seq", "observations")
+    g = rows.groupBy("request_id").agg(F.min_by(F.struct(*first), "seq").alias("f"), F.max_by(F.struct(*last), "seq").alias("l"), F.min("seq").alias("seq"), F.max("seq").alias("last_seq"), F.count("*").alias("observations"))
+    return g.select("request_id", *[F.col(f"f.{c}") for c in first], *[F.col(f"l.{c}") for c in last], "seq", "last_seq", "observations")
+
+
+def merged_requests(both: DataFrame) -> DataFrame:
+    """Partial results of ``dedup_requests`` as one, for upserts of the request table: rows need seq and last_seq."""
+    first, last = [c for c in FIRST if c in both.columns], [c for c in LAST if c in both.columns]
+    g = both.groupBy("request_id").agg(
+        F.min_by(F.struct(*first), "seq").alias("f"), F.max_by(F.struct(*last), "last_seq").alias("l"), F.min("seq").alias("seq"), F.max("last_seq").alias("last_seq"), F.sum("observations").alias("observations")
+    )
+    return g.select("request_id", *[F.col(f"f.{c}") for c in first], *[F.col(f"l.{c}") for c in last], "seq", "last_seq", "observations")
 
 
 def endpoints(log: DataFrame, provenance: Column | None = None) -> DataFrame:

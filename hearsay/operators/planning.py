@@ -170,5 +170,28 @@ def update_job(jobs: DataFrame, job: str, status: str, now_ms: int) -> DataFrame
     return jobs.withColumns({"status": F.when(hit, status).otherwise(F.col("status")), "updated_at": F.when(hit, F.lit(now_ms)).otherwise(F.col("updated_at"))})
 
 
+def replay_events(outcomes: DataFrame, job: str, provenance: str, now_ms: int) -> DataFrame:
+    """Events of a job, from outcomes (original_request_id, replay_request_id, status_code, success, latency_ms). The id is
+    a hash of what the event says, so recording it again after a failure gives the same row."""
+    who = F.sha2(F.concat_ws(":", F.lit(job), F.col("original_request_id"), F.coalesce("replay_request_id", F.lit("")), F.lit(str(now_ms))), 256)
+    return outcomes.select(
+        who.alias("id"), F.lit(job).alias("job_id"), "original_request_id", "replay_request_id", F.col("status_code").cast("int").alias("status_code"),
+        F.coalesce(F.col("success"), F.lit(False)).cast("int").alias("success"), F.col("latency_ms").cast("bigint").alias("latency_ms"), F.lit(now_ms).cast("bigint").alias("captured_at"), F.lit(provenance).alias("provenance"),
+    )
+
+
+def replay_dependencies(found: DataFrame) -> DataFrame:
+    """Stored form of dependencies (source_id, target_id, dependency_type, confidence, further columns): the further columns
+    are the evidence, as JSON, null where there are none. The id is a hash of the first three; confidence is 1 if null."""
+    own = ("source_id", "target_id", "dependency_type", "confidence")
+    more = [c for c in found.columns if c not in own]
+    evidence = F.to_json(F.struct(*more)) if more else F.lit(None).cast("string")
+    confidence = F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in found.columns else F.lit(1.0)
+    return found.select(
+        F.sha2(F.concat_ws(":", "source_id", "target_id", "dependency_type"), 256).alias("id"), F.col("source_id").alias("source_request_id"), F.col("target_id").alias("target_request_id"),
+        "dependency_type", confidence.alias("confidence"), evidence.alias("evidence"),
+    )
+
+
 def dependencies_of(edges: DataFrame, target: str) -> DataFrame:
     return edges.filter(F.col("target") == target)

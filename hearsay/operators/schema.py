@@ -11,10 +11,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.functions.json_text import parsed
 from hearsay.functions.tokens import EMAIL, IPV4, ISO_DATE
 from hearsay.functions.urls import UUID, path_parameters
 
-_FORMATS = [(re.compile(f"^{UUID}$"), "uuid"), (re.compile(ISO_DATE), ""), (re.compile(EMAIL), "email"), (re.compile("^https?://", re.IGNORECASE), "uri"), (re.compile(IPV4), "ipv4")]
+
+
+def _python(pattern: str, flags: int = 0) -> re.Pattern:
+    """A pattern of column expressions for Python, which writes the end of a text otherwise."""
+    return re.compile(pattern.replace(r"\z", r"\Z"), flags | re.ASCII)
+
+
+_FORMATS = [(_python(rf"^{UUID}\z"), "uuid"), (_python(ISO_DATE), ""), (_python(EMAIL), "email"), (_python("^https?://", re.IGNORECASE), "uri"), (_python(IPV4), "ipv4")]
 
 
 def _is_date(s: str) -> bool:
@@ -78,13 +86,14 @@ def shown(fragment: dict) -> dict:
 
 
 def fragment_of(body: str | Column) -> Column:
-    """Fragment of each JSON text that holds an object or an array, as JSON; else null."""
+    """Fragment of each JSON text that holds an object or an array, as JSON; else null, as for JSON that is nested deeper
+    than ``parsed`` allows."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(text):
             try:
-                x = json.loads(text) if text is not None else None
+                x = parsed(text) if text is not None else None
             except ValueError:
                 return None
             return json.dumps(infer(x)) if isinstance(x, (dict, list)) else None
@@ -133,8 +142,11 @@ def response_schemas(rows: DataFrame, stored: DataFrame | None = None, slices: i
     return out.join(own.select("endpoint_id").distinct(), "endpoint_id", "left_anti").unionByName(own)
 
 
-def operations(eps: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each (path template, method): the operation as JSON. The last endpoint of a method stays."""
+def operations(eps: DataFrame, schemas: DataFrame, only_approved: bool = False) -> DataFrame:
+    """One row for each (path template, method): the operation as JSON. The last endpoint of a method stays; with
+    ``only_approved`` endpoints count whose status is "approved" (none where they have no status)."""
+    if only_approved:
+        eps = eps.filter(F.col("status") == "approved") if "status" in eps.columns else eps.limit(0)
     last = eps.groupBy("path_template", F.lower("method").alias("method")).agg(F.max_by(F.struct("endpoint_id", "observation_count", "provenance", *[c for c in ("tag",) if c in eps.columns]), F.struct("seq", "endpoint_id")).alias("e"))
     by_status = schemas.groupBy("endpoint_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("status", "fragment")))).alias("answers"))
     rows = last.select("path_template", "method", "e.*", F.to_json(path_parameters("path_template")).alias("params")).join(by_status, "endpoint_id", "left")

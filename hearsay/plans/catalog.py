@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from hearsay.functions import filters, tokens, urls
 from hearsay.operators import bundles, dependencies, graph, graphql, identity, ingest, planning, schema, summary, workflows
 from hearsay.plans import vectors as V
-from hearsay.runtime import cut, shared_dir, table
-from hearsay.sources.observations import observations, stream_log  # noqa: F401
-from hearsay.sources.sinks import write_table  # noqa: F401
+from hearsay.runtime import cut, once, shared_dir, table
+from hearsay.sources.observations import observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,7 +311,10 @@ def found_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.resolve(found_endpoints(spark, sf_dir))
+    def build_registry() -> tuple[DataFrame]:
+        return (identity.resolve(found_endpoints(spark, sf_dir)),)
+
+    return once(spark, sf_dir, ("events", "pages"), build_registry)[0]
 
 
 @query(f"{FOUND} SELECT canonical_id, canonical_path, canonical_method, provenance_set, confidence, protocol, origin, merged, trust_state FROM registry")
@@ -364,11 +366,21 @@ def stats_row(spark, sf_dir):
 
 
 def dependency_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, components) of the dependencies that are kept, written once and read by what follows."""
-    log = dependency_log(spark, sf_dir)
-    edges = cut(dependencies.numbered_edges(dependencies.persisted(dependency_table(spark, sf_dir), 0.2)[0]))
-    nodes, edges = graph.from_tables(log.select("id", "url", "path", "method", "seq"), None, edges)
-    return nodes, edges, cut(graph.components(nodes, edges))
+    """(nodes, edges, components) of the dependencies that are kept, written once and read by what follows. The threshold is
+    LEAST here, as hardly any dependency of these tables reaches the default of 0.5: popular values score low."""
+
+    def build_dependency_graph() -> tuple[DataFrame, DataFrame, DataFrame]:
+        log = dependency_log(spark, sf_dir)
+        edges = cut(dependencies.numbered_edges(dependencies.persisted(dependency_table(spark, sf_dir), LEAST)[0]))
+        nodes, edges = graph.from_tables(log.select("id", "url", "path", "method", "seq"), None, edges)
+        edges = cut(edges)
+        return nodes, edges, graph.components(nodes, edges)
+
+    return once(spark, sf_dir, ("events",), build_dependency_graph)
+
+
+#: Confidence from which on a dependency of the tables is an edge.
+LEAST = 0.2
 
 
 EDGE_SQL = f"{DEPS.replace('WITH', 'WITH RECURSIVE', 1)}, edge AS (SELECT source_id AS s, target_id AS t, dependency_type FROM dep WHERE confidence >= 0.2::DOUBLE)"
@@ -505,7 +517,7 @@ y AS (SELECT 'explore_route_family_' || array_to_string(string_split(canonical_p
 
 @query(f"{FOUND}, {_X1} SELECT * FROM x WHERE priority > 0 UNION ALL SELECT * FROM y")
 def exploration_targets(spark, sf_dir):
-    r = cut(registry(spark, sf_dir))
+    r = registry(spark, sf_dir)
     both = planning.endpoint_targets(r).unionByName(planning.family_targets(r))
     return both.select("id", "priority", "type", "safety")
 
@@ -514,7 +526,7 @@ def exploration_targets(spark, sf_dir):
 def exploration_plan(spark, sf_dir):
     nodes, edges, comp = dependency_graph(spark, sf_dir)
     flows, roles = workflows.synthesize(nodes, edges, comp)
-    return planning.exploration_plan(cut(registry(spark, sf_dir)), nodes, comp, workflows.numbered(flows), roles)
+    return planning.exploration_plan(registry(spark, sf_dir), nodes, comp, workflows.numbered(flows), roles)
 
 
 @query()
@@ -590,7 +602,7 @@ def summary_row(spark, sf_dir):
     flows, _ = workflows.synthesize(nodes, edges, comp)
     ops, _ = graphql.graphql_operations(V.frame(spark, V.GRAPHQL, "seq int, request_body string"))
     eps = ingest.endpoints(log)
-    return summary.as_json(summary.summarize(ingest.dedup_requests(log), eps, ops, cut(registry(spark, sf_dir)), cut(flows), graph.auth_chains(nodes, edges, comp)))
+    return summary.as_json(summary.summarize(ingest.dedup_requests(log), eps, ops, registry(spark, sf_dir), cut(flows), graph.auth_chains(nodes, edges, comp)))
 
 
 # --- streaming
@@ -601,10 +613,10 @@ def streaming_endpoint_counts(spark, sf_dir):
     import uuid
 
     from hearsay.sources.observations import from_events
-    from hearsay.streaming.endpoints import endpoint_stream
+    from hearsay.streaming.endpoints import endpoint_stream, read_endpoints
 
     root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     known = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(known).option("maxFilesPerTrigger", 64).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     endpoint_stream(from_events(events), root, f"{root}/_checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/endpoints").select("endpoint_id", "method", "path_template", "observation_count", "first_seen_at", "last_seen_at")
+    return read_endpoints(spark, root).select("endpoint_id", "method", "path_template", "observation_count", "first_seen_at", "last_seen_at")

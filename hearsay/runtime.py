@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,23 @@ def forget(*frames: DataFrame) -> None:
             spark = df.sparkSession
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_ONCE: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, names: tuple[str, ...], build: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """What ``build`` makes of tables ``names``, written once for a session and read by all queries that need it. It is made
+    again if a table has changed since, or if what was written is gone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def status(path: str):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        return fs.getFileStatus(p) if fs.exists(p) else None
+
+    found = [status(f"{sf_dir}/{n}.parquet") for n in names]
+    key = (spark.sparkContext.applicationId, build.__qualname__, sf_dir, *((x.getModificationTime(), x.getLen()) for x in found if x))
+    if key not in _ONCE or not all(status(df._cut_path) for df in _ONCE[key]):
+        _ONCE[key] = tuple(df if hasattr(df, "_cut_path") else cut(df) for df in build())
+    return _ONCE[key]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.operators.ingest import endpoints, with_ids
-from hearsay.sources.sinks import merge_table
+from hearsay.sources.sinks import merge_table, read_merged
 
 #: How late an observation may be: the widest bucket of temporal scores.
 LATE = "2 minutes"
@@ -24,22 +25,23 @@ def merged(both: DataFrame) -> DataFrame:
 
 
 def endpoint_stream(log: DataFrame, root: str, checkpoint: str, name: str = "endpoints", trigger: dict | None = None):
-    """Keep an endpoint table in step with a stream. Each batch is aggregated and merged with the stored table; a batch
-    that is replayed after a failure is known by its number and not counted twice."""
+    """Keep an endpoint table in step with a stream (``read_endpoints`` reads it). Each batch is aggregated and added as one
+    part that has the stream's and the batch's number in its name, so a batch that is replayed after a failure, at whatever
+    point, counts once."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_{name}-batches/{number}")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            return
-        merge_table(spark, root, name, endpoints(with_ids(batch)), ["endpoint_id"], merged)
-        fs.create(path).close()
+        merge_table(batch.sparkSession, root, name, endpoints(with_ids(batch)), merged, f"{stream}-{number}")
 
     w = log.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def read_endpoints(spark: SparkSession, root: str, name: str = "endpoints") -> DataFrame:
+    """The endpoint table that ``endpoint_stream`` keeps."""
+    return read_merged(spark, root, name, merged)
+
+
 def endpoint_counts(log: DataFrame) -> DataFrame:
     """Running counts for each endpoint, for any sink with complete or update mode."""
     rows = with_ids(log)
