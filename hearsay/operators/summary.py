@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.tokens import percent
@@ -64,8 +64,14 @@ def summarize(requests: DataFrame, eps: DataFrame, operations: DataFrame, regist
     n = lambda df, name: df.agg(F.count("*").alias(name))
     one = n(requests, "total_requests").crossJoin(n(eps, "total_endpoints")).crossJoin(n(operations, "graphql_operations")).crossJoin(n(flows, "workflows_discovered")).crossJoin(n(chains, "auth_chains"))
     one = one.crossJoin(registry_counts(registry, ws_sessions))
-    families = route_families(registry).agg(F.to_json(F.array_sort(F.collect_list(F.struct(-F.col("n"), "route")))).alias("top_route_families"))
-    types = flows.groupBy("type").count().agg(F.to_json(F.array_sort(F.collect_list(F.struct(-F.col("count"), "type")))).alias("workflow_types"))
+
+    def counted(name: str, n: str) -> Column:
+        """[{name, count}] as JSON, the most frequent first."""
+        rows = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("k"), F.col(name).alias("v"))))
+        return F.to_json(F.transform(rows, lambda x: F.struct(x["v"].alias(name), (-x["k"]).alias("count"))))
+
+    families = route_families(registry).agg(counted("route", "n").alias("top_route_families"))
+    types = flows.groupBy("type").count().agg(counted("type", "count").alias("workflow_types"))
     via = {v: F.count_if(F.col("viability") == f"{v} replay" if " " not in v else F.col("viability") == v) for v in ("high-risk", "unresolved")}
     replay = flows.agg(
         F.count_if(F.col("viability") == "safely replayable").alias("safely_replayable"), F.count_if(F.col("viability") == "partially replayable").alias("partially_replayable"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions import filters, tokens, urls
 from hearsay.operators import bundles, dependencies, graph, graphql, identity, ingest, planning, schema, summary, workflows
+from hearsay.plans import graph_sql as G
 from hearsay.plans import vectors as V
 from hearsay.runtime import cut, once, shared_dir, table
 from hearsay.sources.observations import observations
@@ -43,7 +44,7 @@ PAGES = """p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+
 u AS (SELECT page_id, url, s AS protocol, s || '://' || host AS base_url, host, CASE WHEN raw = '' THEN '/' ELSE raw END AS path, CASE WHEN length(q) > 1 THEN q END AS query_raw FROM p)"""
 _TRIM = "CASE WHEN starts_with(regexp_replace(path, '/$', ''), '/') THEN regexp_replace(path, '/$', '') ELSE '/' || regexp_replace(path, '/$', '') END"
 NORMAL = f"regexp_replace(regexp_replace(regexp_replace({_TRIM}, '/[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}', '/:id', 'g'), '/[0-9]+$', '/:id'), '/[0-9]+/', '/:id/', 'g')"
-FOUND = f"""WITH {EVENTS}, {PAGES},
+FOUND_PARTS = f"""{PAGES},
 found AS (SELECT seq, method, url, path, 'network' AS provenance, 1.0::DOUBLE AS confidence, 'https' AS protocol, 'https://api.example.com' AS origin FROM obs
   UNION ALL SELECT 1000000000 + page_id, 'GET', url, path, CASE page_id % 4 WHEN 0 THEN 'static_bundle' WHEN 1 THEN 'inferred_route' WHEN 2 THEN 'persisted_query' ELSE 'imported' END,
   CASE WHEN page_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END, protocol, base_url FROM u),
@@ -53,6 +54,7 @@ reg AS (SELECT method || '#' || canonical_path AS canonical_id, canonical_path,
   max(confidence) AS confidence, coalesce(arg_max(protocol, seq) FILTER (protocol IN ('https', 'wss')), arg_min(protocol, seq) FILTER (protocol <> 'unknown'), 'unknown') AS protocol,
   arg_min(origin, seq) AS origin, count(*) AS merged, min(seq) AS seq FROM canon GROUP BY method, canonical_path),
 registry AS (SELECT *, CASE r WHEN 3 THEN 'observed' WHEN 2 THEN 'discovered' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS trust_state FROM reg)"""
+FOUND = f"WITH {EVENTS}, {FOUND_PARTS}"
 DEPS = f"""WITH {EVENTS},
 item AS (SELECT seq, session_id, captured_at // 10000 AS at, event_type, 'item_' || lpad(k, 5, '0') AS src, 'item_' || lpad(CAST(seq % 100 AS VARCHAR), 5, '0') AS tgt FROM obs WHERE response_status BETWEEN 200 AND 399),
 freq AS (SELECT src, count(*) AS n FROM item GROUP BY src),
@@ -398,6 +400,9 @@ def graph_reachability(spark, sf_dir):
     return graph.reachable(edges, roots).groupBy("root").agg(F.count("*").alias("n_reached"))
 
 
+GRAPH_SQL = f"{EDGE_SQL}, {G.NODES}"
+
+
 def literal_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges = V.frame(spark, V.NODES, graph.NODE), V.frame(spark, V.EDGES, graph.EDGE)
     return nodes, edges, cut(graph.components(nodes, edges))
@@ -419,18 +424,18 @@ def walk_start(comp: DataFrame) -> str:
     return str(top["first_seq"])
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.BFS} {G.BFS_ROWS}")
 def graph_bfs_tables(spark, sf_dir):
     _, edges, comp = dependency_graph(spark, sf_dir)
     return graph.bfs(edges, walk_start(comp)).select("node", "level", "position")
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.DFS}")
 def graph_dfs(spark, sf_dir):
     return graph.dfs(*dependency_graph(spark, sf_dir))
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.BFS}, {G.SHORTEST}")
 def graph_shortest_path_tables(spark, sf_dir):
     _, edges, comp = dependency_graph(spark, sf_dir)
     start = walk_start(comp)
@@ -438,12 +443,12 @@ def graph_shortest_path_tables(spark, sf_dir):
     return spark.createDataFrame([("|".join(graph.shortest_path(edges, start, last) or []),)], "path string")
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.CLUSTERS}")
 def clusters(spark, sf_dir):
     return graph.clusters(*dependency_graph(spark, sf_dir))
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.CHAINS}, {G.METRICS}")
 def graph_metrics(spark, sf_dir):
     return graph.metrics(*dependency_graph(spark, sf_dir))
 
@@ -453,7 +458,7 @@ def auth_chains_literal(spark, sf_dir):
     return graph.auth_chains(*literal_graph(spark)).select("start", "chain")
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.CHAINS} SELECT component, start, CAST(length AS INTEGER) AS length, chain FROM chains")
 def auth_chains(spark, sf_dir):
     return graph.auth_chains(*dependency_graph(spark, sf_dir))
 
@@ -468,7 +473,7 @@ def clusters_literal(spark, sf_dir):
     return graph.clusters(*literal_graph(spark)).select("kind", "size", "members")
 
 
-@query("SELECT CAST(8 AS BIGINT) AS node_count, CAST(6 AS BIGINT) AS edge_count, 9::DOUBLE / 4 * 0 + (4 + 2 + 1 + 1)::DOUBLE / 4 AS average_chain_depth, CAST(2 AS BIGINT) AS auth_chain_count, CAST(2 AS BIGINT) AS cycle_count, CAST(4 AS BIGINT) AS connected_components, 6::DOUBLE / (8::DOUBLE * 7) AS graph_density")
+@query("SELECT CAST(8 AS BIGINT) AS node_count, CAST(6 AS BIGINT) AS edge_count, (4 + 2 + 1 + 1)::DOUBLE / 4 AS average_chain_depth, CAST(2 AS BIGINT) AS auth_chain_count, CAST(2 AS BIGINT) AS cycle_count, CAST(4 AS BIGINT) AS connected_components, 6::DOUBLE / (8::DOUBLE * 7) AS graph_density")
 def graph_metrics_literal(spark, sf_dir):
     return graph.metrics(*literal_graph(spark))
 
@@ -481,7 +486,7 @@ def graph_size(spark, sf_dir):
     return one.withColumn("graph_density", F.col("edge_count") / (n * (n - 1)))
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.UNIFIED}".replace("@NORMAL@", NORMAL))
 def unify_graph(spark, sf_dir):
     nodes, edges, _ = dependency_graph(spark, sf_dir)
     n, e = identity.unify_graph(nodes, edges)
@@ -492,7 +497,7 @@ def unify_graph(spark, sf_dir):
 # --- workflows and plans
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.FLOWS} {G.FLOW_ROWS}")
 def workflow_models(spark, sf_dir):
     flows, _ = workflows.synthesize(*dependency_graph(spark, sf_dir))
     return flows.drop("wf_order")
@@ -504,7 +509,7 @@ def workflow_counts_literal(spark, sf_dir):
     return workflows.counts(flows)
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.FLOWS} {G.FLOW_COUNTS}")
 def workflow_type_counts(spark, sf_dir):
     flows, _ = workflows.synthesize(*dependency_graph(spark, sf_dir))
     return workflows.counts(flows)
@@ -522,20 +527,20 @@ def exploration_targets(spark, sf_dir):
     return both.select("id", "priority", "type", "safety")
 
 
-@query()
+@query(f"{GRAPH_SQL}, {FOUND_PARTS}, {G.FLOWS} {G.PLAN}")
 def exploration_plan(spark, sf_dir):
     nodes, edges, comp = dependency_graph(spark, sf_dir)
     flows, roles = workflows.synthesize(nodes, edges, comp)
     return planning.exploration_plan(registry(spark, sf_dir), nodes, comp, workflows.numbered(flows), roles)
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.FLOWS} {G.PREREQUISITES}")
 def exploration_prerequisites(spark, sf_dir):
     flows, roles = workflows.synthesize(*dependency_graph(spark, sf_dir))
     return planning.prerequisites(workflows.numbered(flows), roles)
 
 
-@query()
+@query(f"{GRAPH_SQL}, {G.REPLAY}")
 def replay_order(spark, sf_dir):
     return planning.replay_order(*dependency_graph(spark, sf_dir))
 
@@ -555,7 +560,10 @@ def schema_inference(spark, sf_dir):
     return schema.response_schemas(log.select("endpoint_id", "response_status", "response_body", "seq"))
 
 
-@query()
+@query(f"""{INVENTORY}, o AS (SELECT endpoint_id, CAST(response_status AS INTEGER) AS status FROM ids GROUP BY ALL),
+a AS (SELECT endpoint_id, string_agg('"' || status || '": {{"description": "Response for status ' || status || '", "content": {{"application/json": {{"schema": {{"type": "object", "properties": {{"k": {{"type": "integer"}}}}, "required": ["k"]}}}}}}}}', ', ' ORDER BY status) AS r FROM o GROUP BY endpoint_id)
+SELECT path_template, lower(method) AS method, '{{"responses": {{' || r || '}}, ' || CASE WHEN observation_count < 3 THEN '"x-low-confidence": true, "x-observations": ' || observation_count || ', ' ELSE '' END
+  || '"x-source": "network", "parameters": [{{"name": "' || regexp_extract(path_template, '[{{]([^}}]*)', 1) || '", "in": "path", "required": true, "schema": {{"type": "string"}}}}]}}' AS operation FROM inv JOIN a USING (endpoint_id)""")
 def openapi_operations(spark, sf_dir):
     log = ingest.with_ids(observations(spark, sf_dir))
     schemas = schema.response_schemas(log.select("endpoint_id", "response_status", "response_body", "seq"))
@@ -580,22 +588,31 @@ def bundle_endpoints(spark, sf_dir):
     return found.select("file_name", "method", "url", "offset", "type", "confidence", "provenance", "extraction_method")
 
 
-@query(
-    f"WITH {PAGES}, h AS (SELECT u.page_id, regexp_replace(u.url, '#.*$', '') AS source, base_url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1))) AS href FROM u JOIN pages ON pages.page_id = u.page_id) "
-    "SELECT DISTINCT source, CASE WHEN href LIKE 'http://%' OR href LIKE 'https://%' THEN regexp_replace(href, '#.*$', '') ELSE base_url || regexp_replace(href, '#.*$', '') END AS target FROM h"
+LINKS = (
+    f"WITH {PAGES}, h AS (SELECT u.page_id, regexp_replace(u.url, '#.*$', '') AS source, base_url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1))) AS href FROM u JOIN pages ON pages.page_id = u.page_id), "
+    "links AS (SELECT DISTINCT source, CASE WHEN href LIKE 'http://%' OR href LIKE 'https://%' THEN regexp_replace(href, '#.*$', '') ELSE base_url || regexp_replace(href, '#.*$', '') END AS target FROM h)"
 )
+
+
+@query(f"{LINKS} SELECT * FROM links")
 def page_links(spark, sf_dir):
     return bundles.page_links(table(spark, sf_dir, "pages").select("url", "html"))
 
 
-@query()
+@query(f"""{LINKS}, ok AS (SELECT source, target, lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS host, lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1)) AS path FROM links),
+st AS (SELECT min(source) AS url FROM links),
+e AS (SELECT source, target FROM ok, st WHERE host = lower(regexp_extract(st.url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AND NOT regexp_matches(path, '/login|/signin|/sign-in|/logout|/signout|/register|/signup|/auth|/oauth|/sso|/challenge|/captcha')),
+one AS (SELECT url, row_number() OVER (ORDER BY url) AS position FROM (SELECT DISTINCT target AS url FROM e, st WHERE source = st.url AND target <> st.url) ORDER BY url LIMIT 49),
+two AS (SELECT target AS url, min(position) AS p FROM e JOIN one ON one.url = e.source WHERE target NOT IN (SELECT url FROM one) AND target <> (SELECT url FROM st) GROUP BY target)
+SELECT url, 0 AS depth, CAST(0 AS BIGINT) AS position FROM st UNION ALL SELECT url, 1, position FROM one
+UNION ALL SELECT url, 2, position FROM (SELECT url, (SELECT count(*) FROM one) + row_number() OVER (ORDER BY p, url) AS position FROM two) WHERE position < 50""")
 def crawl(spark, sf_dir):
     links = cut(bundles.page_links(table(spark, sf_dir, "pages").select("url", "html")))
     start = links.agg(F.min("source")).first()[0]
     return bundles.crawl(links, start)
 
 
-@query()
+@query(f"{GRAPH_SQL}, {FOUND_PARTS}, {G.FLOWS}, {G.CHAINS}, {G.SUMMARY}".replace("@GRAPHQL@", str(len(V.GRAPHQL_OUT))))
 def summary_row(spark, sf_dir):
     log = ingest.with_ids(observations(spark, sf_dir))
     nodes, edges, comp = dependency_graph(spark, sf_dir)

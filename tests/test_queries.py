@@ -5,8 +5,6 @@ import pytest
 from hearsay.plans import catalog
 from tests.compare import duck, rows
 
-HEAVY = {"exploration_plan", "workflow_type_counts", "summary_row", "unify_graph"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -18,7 +16,7 @@ def test_against_sql(spark, sf_dir, con, name):
     assert rows(catalog.QUERIES[name](spark, sf_dir).toPandas()) == rows(con.execute(catalog.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
