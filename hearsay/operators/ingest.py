@@ -37,16 +37,25 @@ def of_session(rows: DataFrame, session: str | None) -> DataFrame:
     return rows if session is None else rows.filter(F.col("session_id") == session)
 
 
-def pair_requests(events: DataFrame) -> DataFrame:
+def pair_requests(events: DataFrame, slices: int = 256) -> DataFrame:
     """Request and response events (kind, url, method, ts, seq, post_data, trace_id) to responses with the request that
-    was waiting: the latest before it on the same url and method, unless another response has taken it."""
-    w = Window.partitionBy("url", "method").orderBy("seq")
-    seen = events.withColumn("req", F.last(F.when(F.col("kind") == "request", F.struct("ts", "seq", "post_data", "trace_id")), ignorenulls=True).over(w))
-    taken = seen.withColumn("n", F.count(F.when(F.col("kind") == "response", 1)).over(Window.partitionBy("url", "method", "req.seq").orderBy("seq")))
-    own = F.col("n") == 1
-    return taken.filter("kind = 'response'").select(
-        "seq", "url", "method", F.col("ts").alias("responded_at"), F.when(own, F.col("req.ts")).alias("requested_at"),
-        F.when(own, F.col("req.post_data")).alias("post_data"), F.when(own, F.col("req.trace_id")).alias("trace_id"), F.when(own, F.col("ts") - F.col("req.ts")).alias("response_time_ms"),
+    was waiting: the latest before it on the same url and method, unless another response has taken it.
+
+    So a response has a request just if the event before it, of its url and method, is one. Events are looked at in slices
+    of the log, each with the last event of its url and method before it, so a hot url is many tasks."""
+    ends = events.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    part = F.floor((F.col("seq") - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1)).alias("slice")
+    e = events.crossJoin(F.broadcast(ends)).select("seq", "kind", "url", "method", "ts", "post_data", "trace_id", part)  # one row of ends
+    event = F.struct("kind", "ts", "post_data", "trace_id")
+    last = e.groupBy("url", "method", "slice").agg(F.max_by(event, "seq").alias("v"))
+    before = last.withColumn("handed", F.lag("v").over(Window.partitionBy("url", "method").orderBy("slice"))).drop("v")  # a row for each slice
+    first = e.groupBy("url", "method", "slice").agg(F.min("seq").alias("seq")).join(before, ["url", "method", "slice"]).select("url", "method", "seq", "handed")
+    seen = e.withColumn("prev", F.lag(event).over(Window.partitionBy("url", "method", "slice").orderBy("seq")))
+    seen = seen.join(first, ["url", "method", "seq"], "left").withColumn("prev", F.coalesce("prev", "handed"))
+    own = F.col("prev.kind").eqNullSafe(F.lit("request"))
+    return seen.filter("kind = 'response'").select(
+        "seq", "url", "method", F.col("ts").alias("responded_at"), F.when(own, F.col("prev.ts")).alias("requested_at"),
+        F.when(own, F.col("prev.post_data")).alias("post_data"), F.when(own, F.col("prev.trace_id")).alias("trace_id"), F.when(own, F.col("ts") - F.col("prev.ts")).alias("response_time_ms"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from hearsay.functions.json_text import parsed
 from hearsay.functions.tokens import EMAIL, IPV4, ISO_DATE
 from hearsay.functions.urls import UUID, path_parameters
+from hearsay.runtime import cut
 
 
 
@@ -103,45 +105,98 @@ def fragment_of(body: str | Column) -> Column:
     return run(body)
 
 
-def response_schemas(rows: DataFrame, stored: DataFrame | None = None, slices: int = 64) -> DataFrame:
-    """(endpoint_id, status, fragment, samples) of rows (endpoint_id, response_status, response_body, seq).
+def _fold(parts: list[tuple[str, int]]) -> dict | None:
+    """Fragments, each merged so many times or until another merge changes nothing, in order."""
+    acc = None
+    for text, times in parts:
+        x = json.loads(text)
+        for _ in range(times):
+            new = x if acc is None else merge(acc, x)
+            if new == acc:
+                break
+            acc = new
+    return acc
 
-    The merge depends on order, so it is folded in order. What is folded are runs of equal fragments, found in slices of an
-    endpoint's time line, so an endpoint with a third of all rows and one shape is a few rows. A run is merged until
-    another merge changes nothing. Stored merged schemas (endpoint_id, status, fragment) win.
-    """
+
+def _in_order(f: DataFrame, slices: int) -> DataFrame:
+    """(endpoint_id, status, fragment) of rows (endpoint_id, status, seq, fragment), folded row by row: for endpoints
+    whose types conflict, where every further row may change the result. What is folded are runs of equal fragments,
+    found in slices of the log and then streamed in order, with their hashes for their texts."""
     from pyspark.sql.window import Window
 
-    f = rows.filter(F.coalesce(F.col("response_status"), F.lit(0)) != 0).select("endpoint_id", F.col("response_status").alias("status"), "seq", fragment_of("response_body").alias("fragment"))
-    f = f.filter(F.col("fragment").isNotNull())
-    count = f.groupBy("endpoint_id", "status").agg(F.count("*").alias("samples"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    cut_at = F.least(F.lit(slices - 1), F.floor((F.col("seq") - F.col("lo")) * slices / F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))))
-    s = f.join(count.drop("samples"), ["endpoint_id", "status"]).withColumn("slice", cut_at)
+    ends = f.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    part = F.floor((F.col("seq") - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1))
+    rows = f.crossJoin(F.broadcast(ends)).select("endpoint_id", "status", "seq", F.xxhash64("fragment").alias("x"), part.alias("slice"))  # one row of ends
     whole = Window.partitionBy("endpoint_id", "status", "slice")
     w = whole.orderBy("seq")
-    s = s.withColumns({"before": F.lag("fragment").over(w), "n": F.row_number().over(w), "all": F.count("*").over(whole)})
-    changes = s.filter(~F.col("before").eqNullSafe(F.col("fragment")))
-    changes = changes.withColumn("times", F.coalesce(F.lead("n").over(w), F.col("all") + 1) - F.col("n"))
+    s = rows.withColumns({"before": F.lag("x").over(w), "n": F.row_number().over(w), "all": F.count("*").over(whole)}).filter(~F.col("before").eqNullSafe(F.col("x")))
+    runs = s.withColumn("times", F.coalesce(F.lead("n").over(w), F.col("all") + 1) - F.col("n")).select("endpoint_id", "status", "seq", "x", "times", F.lit(None).cast("string").alias("fragment"))
+    texts = f.groupBy("endpoint_id", "status", "fragment").count().select("endpoint_id", "status", F.lit(-1).cast("long").alias("seq"), F.xxhash64("fragment").alias("x"), F.lit(0).cast("long").alias("times"), "fragment")
+    dealt = runs.unionByName(texts).repartition("endpoint_id", "status").sortWithinPartitions("endpoint_id", "status", F.col("fragment").isNull(), "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, acc, known = None, None, {}
+        out: list[tuple] = []
+        for b in batches:
+            for endpoint, status, _, x, times, text in b.itertuples(index=False):
+                if (endpoint, status) != key:
+                    if key is not None:
+                        out.append((*key, json.dumps(acc)))
+                    key, acc, known = (endpoint, status), None, {}
+                if isinstance(text, str):
+                    known[x] = json.loads(text)
+                    continue
+                for _ in range(times):
+                    new = known[x] if acc is None else merge(acc, known[x])
+                    if new == acc:
+                        break
+                    acc = new
+            if out:
+                yield pd.DataFrame(out, columns=["endpoint_id", "status", "fragment"])
+                out = []
+        if key is not None:
+            yield pd.DataFrame([(*key, json.dumps(acc))], columns=["endpoint_id", "status", "fragment"])
+
+    return dealt.mapInPandas(run, "endpoint_id string, status int, fragment string")
+
+
+def response_schemas(rows: DataFrame, stored: DataFrame | None = None, slices: int = 256) -> DataFrame:
+    """(endpoint_id, status, fragment, samples) of rows (endpoint_id, response_status, response_body, seq).
+
+    The merge depends on order. Where no types conflict, it does so only by when each different fragment first came, and a
+    fragment that came twice changes nothing any more; so different fragments are counted first, combined before the
+    shuffle, and an endpoint with a third of all rows is a row for each shape that it has. Endpoints whose types
+    conflict (oneOf in the result) are folded row by row. Stored merged schemas (endpoint_id, status, fragment) win.
+    """
+    f = rows.filter(F.coalesce(F.col("response_status"), F.lit(0)) != 0).select("endpoint_id", F.col("response_status").cast("int").alias("status"), "seq", fragment_of("response_body").alias("fragment"))
+    f = f.filter(F.col("fragment").isNotNull())
+    shapes = cut(f.groupBy("endpoint_id", "status", "fragment").agg(F.count("*").alias("n"), F.min("seq").alias("first")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        acc = None
-        for text, times in pdf.sort_values("seq")[["fragment", "times"]].itertuples(index=False):
-            x = json.loads(text)
-            for _ in range(times):
-                new = x if acc is None else merge(acc, x)
-                if new == acc:
-                    break
-                acc = new
-        return pd.DataFrame([(pdf.endpoint_id.iloc[0], pdf.status.iloc[0], json.dumps(acc))], columns=["endpoint_id", "status", "fragment"])
-
-    out = changes.select("endpoint_id", "status", "seq", "fragment", "times").groupBy("endpoint_id", "status").applyInPandas(fold, "endpoint_id string, status int, fragment string")
-    out = out.join(count.select("endpoint_id", "status", "samples"), ["endpoint_id", "status"])
+        acc = _fold([(text, min(n, 2)) for text, n in pdf.sort_values("first")[["fragment", "n"]].itertuples(index=False)])
+        text = json.dumps(acc)
+        return pd.DataFrame([(pdf.endpoint_id.iloc[0], pdf.status.iloc[0], text, has_choice(acc), pdf.n.sum())], columns=["endpoint_id", "status", "fragment", "conflict", "samples"])
+
+    folded = cut(shapes.groupBy("endpoint_id", "status").applyInPandas(fold, "endpoint_id string, status int, fragment string, conflict boolean, samples long"))
+    out = folded.filter("not conflict").select("endpoint_id", "status", "fragment", "samples")
+    clash = folded.filter("conflict").select("endpoint_id", "status", "samples")
+    if not clash.isEmpty():
+        some = f.join(clash.select("endpoint_id", "status"), ["endpoint_id", "status"], "left_semi")
+        out = out.unionByName(_in_order(some, slices).join(clash, ["endpoint_id", "status"]).select("endpoint_id", "status", "fragment", "samples"))
     if stored is None:
         return out
     own = stored.select("endpoint_id", "status", "fragment", F.lit(0).cast("long").alias("samples"))
     return out.join(own.select("endpoint_id").distinct(), "endpoint_id", "left_anti").unionByName(own)
 
 
+def has_choice(fragment: dict) -> bool:
+    """Whether a oneOf is anywhere in a fragment."""
+    if "oneOf" in fragment:
+        return True
+    inner = [*fragment.get("properties", {}).values(), *([fragment["items"]] if "items" in fragment else [])]
+    return any(map(has_choice, inner))
+
+
 def operations(eps: DataFrame, schemas: DataFrame, only_approved: bool = False) -> DataFrame:
     """One row for each (path template, method): the operation as JSON. The last endpoint of a method stays; with
     ``only_approved`` endpoints count whose status is "approved" (none where they have no status)."""

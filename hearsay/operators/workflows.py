@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hearsay.operators.graph import AUTH_EDGES, Edge, Node, cycles, per_component
+from hearsay.runtime import numbered as in_order
 
 # Words of a url that make a request an authentication boundary.
 AUTH_WORDS = ("login", "auth", "token", "logout")
@@ -265,9 +266,7 @@ def _first(rows: DataFrame, name: str, k: int = 5) -> DataFrame:
 
 def numbered(flows: DataFrame) -> DataFrame:
     """Workflows with their running id wf_1, wf_2 and so on: components first, then the pools, as first seen."""
-    # the order over all workflows needs one sequence; they are far fewer than requests
-    w = Window.orderBy("wf_order")
-    return flows.withColumn("id", F.concat(F.lit("wf_"), F.row_number().over(w)))
+    return in_order(flows, ["wf_order"], "wf_number").withColumn("id", F.concat(F.lit("wf_"), F.col("wf_number"))).drop("wf_number")
 
 
 def counts(flows: DataFrame) -> DataFrame:

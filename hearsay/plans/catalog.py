@@ -570,6 +570,112 @@ def openapi_operations(spark, sf_dir):
     return schema.operations(ingest.endpoints(log), schemas)
 
 
+def shaped_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with bodies of four shapes by turns: a plain one, one with a text, and two with a date or another text."""
+    log = ingest.with_ids(observations(spark, sf_dir))
+    k, turn = F.get_json_object("response_body", "$.k").cast("int"), F.col("seq") % 4
+    text, plain = F.struct(k.alias("k"), F.lit("abc").alias("v")), F.struct(F.lit("plain").alias("t"), k.alias("k"))
+    body = F.when(turn == 0, F.to_json(F.struct(k.alias("k")))).when(turn == 1, F.to_json(text)).when(turn == 2, F.to_json(F.struct(k.alias("k"), F.lit("2024-01-01").alias("t")))).otherwise(F.to_json(plain))
+    # one method has dates alone
+    return log.withColumn("response_body", F.when((F.col("method") == "PUT") & (turn == 3), F.to_json(F.struct(F.lit("2024-02-02").alias("t"), k.alias("k")))).otherwise(body))
+
+
+@query(f"""WITH {EVENTS}, key AS (SELECT endpoint_id, method, response_status AS status, seq, unnest(CASE seq % 4 WHEN 0 THEN ['k'] WHEN 1 THEN ['k', 'v'] WHEN 2 THEN ['k', 't'] ELSE ['t', 'k'] END) AS name, generate_subscripts(CASE seq % 4 WHEN 0 THEN ['k'] WHEN 1 THEN ['k', 'v'] WHEN 2 THEN ['k', 't'] ELSE ['t', 'k'] END, 1) AS i FROM ids),
+prop AS (SELECT endpoint_id, any_value(method) AS method, status, name, count(*) AS n, min(seq * 10 + i) AS first, count(DISTINCT seq % 4) AS kinds, min(seq % 4) AS turn FROM key GROUP BY endpoint_id, status, name),
+said AS (SELECT *, CASE name WHEN 'k' THEN '{{"type": "integer"}}' WHEN 'v' THEN '{{"type": "string"}}' ELSE CASE WHEN method = 'PUT' OR (kinds = 1 AND turn = 2) THEN '{{"type": "string", "format": "date"}}' ELSE '{{"type": "string"}}' END END AS type FROM prop),
+total AS (SELECT endpoint_id, response_status AS status, count(*) AS samples FROM ids GROUP BY ALL)
+SELECT endpoint_id, CAST(status AS INTEGER) AS status, '{{"type": "object", "properties": {{' || string_agg('"' || name || '": ' || type, ', ' ORDER BY first) || '}}, "required": [' || string_agg('"' || name || '"', ', ' ORDER BY first) FILTER (n = samples) || ']}}' AS fragment, samples
+FROM said JOIN total USING (endpoint_id, status) GROUP BY endpoint_id, status, samples""")
+def schema_merging(spark, sf_dir):
+    return schema.response_schemas(shaped_log(spark, sf_dir).select("endpoint_id", "response_status", "response_body", "seq"))
+
+
+@query(f"{INVENTORY} SELECT path_template, lower(method) AS method FROM inv WHERE observation_count % 2 = 0")
+def approved_operations(spark, sf_dir):
+    eps = inventory(spark, sf_dir).withColumn("status", F.when(F.col("observation_count") % 2 == 0, "approved").otherwise("new"))
+    log = ingest.with_ids(observations(spark, sf_dir))
+    schemas = schema.response_schemas(log.select("endpoint_id", "response_status", "response_body", "seq"))
+    return schema.operations(eps, schemas, only_approved=True).select("path_template", "method")
+
+
+@query(V.sql(V.GRAPHQL_IDS, "gql_id string, operation_type string, seq int"))
+def graphql_upserts(spark, sf_dir):
+    ops, _ = graphql.graphql_operations(V.frame(spark, [*V.GRAPHQL, (8, V.GRAPHQL[0][1])], "seq int, request_body string"))
+    return graphql.upsert_operations(ops).select("gql_id", "operation_type", "seq")
+
+
+@query("SELECT * FROM (VALUES ('query', CAST(4 AS BIGINT)), ('mutation', 1), ('subscription', 1)) AS t(operation_type, n)")
+def graphql_breakdown(spark, sf_dir):
+    return graphql.breakdown(graphql.graphql_operations(V.frame(spark, V.GRAPHQL, "seq int, request_body string"))[0])
+
+
+@query(V.sql(V.IS_GRAPHQL, "path string, body string, asks boolean"))
+def graphql_requests(spark, sf_dir):
+    v = V.frame(spark, [x[:2] for x in V.IS_GRAPHQL], "path string, body string")
+    return v.select("path", "body", filters.is_graphql_request("path", "body").alias("asks"))
+
+
+@query(V.sql(V.SUBSCRIPTIONS_OUT, "id int, operation_type string, operation_name string, complexity int"))
+def ws_subscription_operations(spark, sf_dir):
+    ops, _ = graphql.subscription_operations(V.frame(spark, V.SUBSCRIPTIONS, "id int, payload_text string"))
+    return ops.select("id", "operation_type", "operation_name", "complexity")
+
+
+@query(V.sql(V.BATCHES_OUT, "id int, pos int, operation_name string, query_hash string, confidence double"))
+def persisted_batches(spark, sf_dir):
+    got, _ = graphql.recover_persisted(V.frame(spark, V.BATCHES, "id int, payload string"), V.frame(spark, V.KNOWN, "hash string, document string, seq int"))
+    return got.select("id", "pos", "operation_name", "query_hash", "confidence")
+
+
+@query("SELECT 'static_' || substr(sha256(concat_ws(':', method, url, '')), 1, 32) AS id, type, url, method, provenance FROM (VALUES ('GET', '/api/users', 'request', 'static_bundle'), ('POST', '/api/login', 'request', 'static_bundle'), ('GET', '/graphql', 'graphql_operation', 'static_bundle'), ('PUT', '/api/save', 'request', 'static_bundle'), ('GET', '/v2/a', 'request', 'source_map')) AS t(method, url, type, provenance)")
+def script_nodes(spark, sf_dir):
+    found = bundles.bundle_endpoints(V.frame(spark, V.BUNDLES, "file_name string, source_code string, is_source_map boolean"))
+    nodes = graph.add_nodes(V.frame(spark, [], graph.NODE), bundles.static_nodes(found))
+    return nodes.select("id", "type", "url", "method", "provenance")
+
+
+@query(f"WITH {EVENTS} SELECT sha256(concat_ws(':', 'job', CAST(seq AS VARCHAR), '', '1000')) AS id, 'job' AS job_id, CAST(seq AS VARCHAR) AS original_request_id, CAST(response_status AS INTEGER) AS status_code, CAST(response_status < 400 AS INTEGER) AS success, response_time_ms AS latency_ms, CAST(1000 AS BIGINT) AS captured_at, 'replay' AS provenance FROM obs")
+def replay_event_rows(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    done = o.select(F.col("seq").cast("string").alias("original_request_id"), F.lit(None).cast("string").alias("replay_request_id"), F.col("response_status").alias("status_code"), (F.col("response_status") < 400).alias("success"), F.col("response_time_ms").alias("latency_ms"))
+    return planning.replay_events(done, "job", "replay", 1000).drop("replay_request_id")
+
+
+@query(f"{DEPS} SELECT sha256(concat_ws(':', source_id, target_id, dependency_type)) AS id, source_id AS source_request_id, target_id AS target_request_id, dependency_type, confidence FROM dep")
+def replay_dependency_rows(spark, sf_dir):
+    return planning.replay_dependencies(dependency_table(spark, sf_dir)).drop("evidence")
+
+
+@query(f"WITH {EVENTS}, o AS (SELECT count(*) AS n, count(*) FILTER (response_status < 400) AS s FROM obs) SELECT n AS total_events, s AS successful_events, CAST(2 AS BIGINT) AS total_jobs, n AS total_dependencies, s / n * 100 AS success_rate FROM o")
+def replay_metrics_row(spark, sf_dir):
+    o = observations(spark, sf_dir).select((F.col("response_status") < 400).cast("int").alias("success"))
+    return summary.replay_metrics(o, planning.new_jobs(spark, ["a", "b"], 1), o)
+
+
+@query(f"WITH {EVENTS} SELECT count(*) AS n, count(DISTINCT request_id) AS requests FROM ids WHERE session_id = (SELECT min(session_id) FROM ids)")
+def session_requests(spark, sf_dir):
+    log = ingest.with_ids(observations(spark, sf_dir))
+    one = ingest.of_session(log, log.agg(F.min("session_id")).first()[0])
+    return one.agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("requests"))
+
+
+@query(
+    "WITH s AS (SELECT conv_id, string_agg('event: ' || role || chr(10) || 'data: ' || regexp_replace(text, '[\\s]+', ' ', 'g'), chr(10) || chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations WHERE text IS NOT NULL AND trim(regexp_replace(text, '[\\s]+', ' ', 'g')) <> '' AND role IS NOT NULL GROUP BY conv_id) "
+    "SELECT conv_id AS stream_id, CAST(least(strlen(body), 1048576) AS BIGINT) AS byte_count, strlen(body) > 1048576 AS truncated, n AS event_count FROM s"
+)
+def sse_roll_up(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"\s+", " ")).filter("text is not null and trim(text) <> '' and role is not null")
+    line = F.concat(F.lit("event: "), F.col("role"), F.lit("\ndata: "), F.col("text"))
+    rows = c.groupBy(F.col("conv_id").alias("stream_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("response_body"))
+    return ingest.sse_streams(rows, ingest.parse_sse(rows))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN 2000 ELSE strlen(text) END AS kept_bytes FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+def body_cap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
+    return d.select("doc_id", F.octet_length(filters.capped_body("text", 2000)).cast("long").alias("kept_bytes"))
+
+
 @query(V.sql(V.GRAPHQL_OUT, "seq int, operation_type string, operation_name string, complexity int, has_fragments boolean, is_persisted_query boolean, fragments string"))
 def graphql_operations(spark, sf_dir):
     ops, _ = graphql.graphql_operations(V.frame(spark, V.GRAPHQL, "seq int, request_body string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,6 +30,10 @@ def sql(rows: list[tuple], schema: str) -> str:
     return f"SELECT * FROM (VALUES {body}) AS t({', '.join(c for c, _ in cols)})"
 
 
+def gql_id(name: str | None, document: str) -> str:
+    return hashlib.sha256(f"gql:{name or ''}:{document}".encode()).hexdigest()[:32]
+
+
 UUID = "123e4567-e89b-12d3-a456-426614174000"
 PATHS = [
     ("/users/123", "/users/{userId}"),
@@ -104,6 +110,21 @@ GRAPHQL_OUT = [
     (1, "query", "Me", 3, False, False, ""), (2, "mutation", "Up", 2, False, False, ""), (3, "query", None, 1, False, False, ""), (3, "subscription", "S", 3, True, False, "F"),
     (5, "query", "P", 0, False, True, ""), (7, "query", "B", 3, True, False, ""),
 ]
+GRAPHQL_IDS = [
+    (gql_id(None, "{ a }"), "query", 3), (gql_id("Me", "query Me { me { id name } }"), "query", 1), (gql_id("S", "subscription S { s { ...F } } fragment F on T { x y: z }"), "subscription", 3),
+    (gql_id("Up", "mutation Up($a: Int = 1) { up(a: $a) @skip(if: false) { ok } }"), "mutation", 2), (gql_id("P", ""), "query", 5), (gql_id("B", "query A { a } query B { b ... on T { c } }"), "query", 7),
+]
+IS_GRAPHQL = [
+    ("/GraphQL", None, True), ("/x", None, False), ("/x", '{"query":"{ a }"}', True), ("/x", '{"query":5}', False), ("/x", '{"query":{"a":1}}', False), ("/x", '{"query":""}', True), ("/x", "[]", False),
+    ("/x", ' [{"query":"{ a }"}, {"extensions":{"persistedQuery":{"sha256Hash":"h"}}}]', True), ("/x", '[{"query":"{ a }"}, {"q":1}]', False), ("/x", "not json", False), ("/x", '{"query":null}', False),
+]
+SUBSCRIPTIONS = [
+    (1, '{"type":"subscribe","id":"1","payload":{"query":"subscription S { a b }"}}'), (2, '{"type":"start","payload":{"query":"{ x }","operationName":"Q"}}'), (3, '{"type":"next","payload":{"data":{"a":1}}}'),
+    (4, '{"type":"ping"}'), (5, '{"type":"subscribe","payload":{"query":"subscription {"}}'), (6, "plain"), (7, '{"type":"SUBSCRIBE","payload":[{"query":"query One { a }"},{"query":"mutation Two { b }"}]}'),
+]
+SUBSCRIPTIONS_OUT = [(1, "subscription", "S", 2), (2, "query", "Q", 1), (7, "query", "One", 1), (7, "mutation", "Two", 1)]
+BATCHES = [(1, '[{"operationName":"A","extensions":{"persistedQuery":{"sha256Hash":"h1"}}},{"id":"r9","operationName":"B"},{"doc_id":"r2"},{"query":"{ a }"}]'), (2, ' {"id":"h1"}'), (3, "[]"), (4, "[broken")]
+BATCHES_OUT = [(1, 0, "A", "h1", 1.0), (1, 1, "B", "r9", 0.8), (1, 2, None, "r2", 1.0), (2, 0, None, "h1", 1.0)]
 PERSISTED = [
     (1, '{"operationName":"GetUser","extensions":{"persistedQuery":{"sha256Hash":"h1"}}}'), (2, '{"operationName":"Feed","id":"r1"}'), (3, '{"doc_id":"r2","variables":{"a":1}}'),
     (4, '{"extensions":{"persistedQuery":{"sha256Hash":"h9"}}}'), (5, '{"operationName":"Lost"}'), (6, '{"query":"{ a }"}'),

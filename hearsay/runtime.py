@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,22 @@ def forget(*frames: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``df`` with a running number from 1 in the order of ``by``: sorted by range over machines, counted in each range, and
+    moved on by how many rows the ranges before have; no task sees all rows."""
+    at = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    sizes = sorted((r[0], r[1]) for r in at.groupBy(part.alias("part")).count().collect())  # one row for each range
+    before, upto = [], 0
+    for k, n in sizes:
+        before.append((k, upto))
+        upto += n
+    spark = df.sparkSession
+    moved = spark.createDataFrame(before, "numbered_part bigint, numbered_before bigint")
+    out = at.withColumn("numbered_part", part).join(F.broadcast(moved), "numbered_part")
+    return out.withColumn(name, F.col("numbered_before") + F.expr(f"{name} & 8589934591") + 1).drop("numbered_part", "numbered_before")
+
+
 _ONCE: dict[tuple, tuple[DataFrame, ...]] = {}
 
 
