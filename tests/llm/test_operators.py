@@ -333,6 +333,39 @@ def test_line_dedup_against_brute_force(spark):
         assert got[i].text == "\n".join(x for k, x in enumerate(lines) if k not in marks[i]) and got[i].n_deleted == len(marks[i])
 
 
+def _segments(spark, segs):
+    """Segments of numbered lines as the table that the suffix array is made of."""
+    return spark.createDataFrame([(g, list(s), list(s), [1] * len(s)) for g, s in enumerate(segs)], "g long, a array<long>, b array<long>, w array<long>")
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_array_against_brute_force(spark, parts):
+    rng = random.Random(6)
+    segs = [[rng.randint(1, 3) for _ in range(rng.randint(1, 12))] for _ in range(25)]
+    segs += [segs[0], segs[0][2:], segs[1] + segs[2], [5] * 20]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sa = linededup.suffix_array(linededup.doubled(linededup.suffixes(_segments(spark, segs), 1)))
+        rows_ = sorted(sa.collect(), key=lambda r: r.m)
+        found = {(r.g, r.i): r.n for r in linededup.earlier_prefixes(sa).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.part for r in rows_}) >= min(parts, 2)
+    tail = lambda r: segs[r.g][r.i :]
+    common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    # lines rank by hash numbers, which here are the lines themselves; equal suffixes stand by place
+    assert [(r.g, r.i) for r in rows_] == [(g, i) for _, g, i in sorted((s[i:], g, i) for g, s in enumerate(segs) for i in range(len(s)))]
+    for r, q in zip(rows_, rows_[1:], strict=False):
+        assert q.lcp == common(tail(r), tail(q))
+    for g, s in enumerate(segs):
+        for i in range(len(s)):
+            best = max((common(s[i:], t[j:]) for h, t in enumerate(segs) for j in range(len(t)) if (h, j) < (g, i)), default=0)
+            assert found.get((g, i), 0) == best, (g, i)
+
+
 def test_line_dedup_odd(odd):
     got = linededup.line_dedup(odd.withColumn("deleted", F.lit("clash"))).collect()
     assert len(got) == odd.count() and {r.n_lines for r in got if r.text is None and r.doc_id == 0} == {0}
@@ -380,6 +413,35 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(wrong) <= 0.02 * len(texts)  # the target recall leaves room for a pair at the threshold
 
 
+def test_near_duplicates_query_against_brute_force(spark, sf_dir):
+    root = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in neardup.op5_query(spark, root).collect()}
+    have = defaultdict(set)  # shingle -> documents
+    sets = []
+    for k, (_, t) in enumerate(docs):
+        w = _plain_words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        for x in sets[-1]:
+            have[x].add(k)
+    parent, links = list(range(len(docs))), [0] * len(docs)
+
+    def root_of(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b in set().union(*(have[x] for x in s)) - {a} if s else ():
+            n = len(s & sets[b])
+            if n >= 0.8 * (len(s) + len(sets[b]) - n):
+                links[a] += 1
+                x, y = sorted((root_of(a), root_of(b)), key=lambda k: docs[k][0])
+                parent[y] = x
+    for k, (i, _) in enumerate(docs):
+        assert (got[i].n_links, got[i].class_id) == (links[k], docs[root_of(k)][0]), i
+
+
 def test_block_verification_against_brute_force():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))) for _ in range(40)]
@@ -441,6 +503,72 @@ def _plain_words(text):
     return [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
 
 
+@pytest.mark.parametrize("case", ["lower", "upper"])
+def test_columns_that_clash(spark, sf_dir, case):
+    """Columns of any name that operators use inside, or add, in either case: they pass through or are replaced, and all
+    results are those without them."""
+    names = """id t s w a b h p ls judged bad share host path best new rule verdict words rank key label y score clauses lang_pred margin rejected ok fed
+        ids n_tokens ids_sha256 decoded shard n_bytes oversized tries depth prefix bytes gone spans hash n lines deleted n_lines n_deleted n_words word_chars n_symbols n_dup_lines n_repeat_words failed_rules lost
+        kept clean_text base_failed n_failed_lines class node c x q m g i item question answer _text _w _bad _got _key _bytes _t _id _o""".split()
+    names = [x.upper() if case == "upper" else x for x in names]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(60).cache()
+    wide = docs.select("*", *[F.lit(f"mine {x}").alias(x) for x in names])
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    wide_pages = pages.select("*", *[F.lit("mine").alias(x) for x in names])
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    known = docs.filter("lang is not null")
+    d = langid.learn_dictionaries(known)
+    assert langid.learn_dictionaries(known.select("*", *[F.lit("mine").alias(x) for x in names])) == d
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, toxicity.SEED))
+    tok = bpe.default_tokenizer()
+    runs = {
+        "op1": (lambda x: licenses.license_scan(x), docs, wide), "op2": (lambda x: langid.identify(x, d), docs, wide), "op3": (lambda x: decontaminate.contaminated(x, items), docs, wide),
+        "op3 in place": (lambda x: decontaminate.decontaminated(x, items), docs, wide), "op4": (lambda x: urls.url_filter(x, urls.OP4_ALLOW, urls.OP4_BLOCK, entries_per_pass=3), pages, wide_pages),
+        "op5": (lambda x: neardup.near_duplicates(x), docs, wide), "op6": (lambda x: toxicity.toxicity(x, g), docs, wide), "op7": (lambda x: linededup.line_dedup(x, min_words=5), docs, wide),
+        "op8": (lambda x: quality.quality_rules(x), docs, wide), "op9": (lambda x: sharding.extendible_shards(x, 5000)[0], docs, wide),
+        "op10": (lambda x: bpe.bpe_encode(x, tok, emit=("text", "ids", "n_tokens", "decoded", "ids_sha256")), docs, wide),
+    }
+    for name, (run, plain, more) in runs.items():
+        want, got = run(plain), run(more)
+        lower = [c.lower() for c in got.columns]
+        assert len(set(lower)) == len(lower), name
+        left = [x for x in names if x in got.columns and x not in want.columns]
+        assert got.select(want.columns).exceptAll(want).count() == 0 == want.exceptAll(got.select(want.columns)).count(), name
+        if left:
+            assert got.filter(" or ".join(f"`{x}` not like 'mine%'" for x in left)).count() == 0, name
+        added = {c.lower() for c in want.columns} - {c.lower() for c in plain.columns}
+        if name not in ("op1", "op3", "op5"):
+            assert {x.lower() for x in names} - added == {x.lower() for x in left}, name
+
+
+def test_ties(spark, odd):
+    """Equal scores are decided as the docstrings say."""
+    same = {"b": b"words that are alike", "a": b"words that are alike"}
+    assert langid.identify(odd.filter("doc_id = 8"), same).first().lang_pred == "a"
+    notes = {"z": "one two three four", "y": "one two three four"}
+    found = licenses.license_scan(odd.filter("doc_id = 8"), templates=notes).collect()
+    assert {r.license for r in found} == {"y"}
+    item = spark.createDataFrame([(1, "the first question here is long. its answer is short")], "item_id int, text string")
+    twice = spark.createDataFrame([(1, "the first question here is long. its answer is short " + "x " * 300 + "the first question here is long. its answer is short")], "doc_id int, text string")
+    assert [r.first_word for r in decontaminate.contaminated(twice, item).collect()] == [0]
+    g = toxicity.Grammar({"ab": 2.0, "ab*": 2.0})
+    assert [c[:2] for c in g.clauses("ab")] == [("insult", 2.0)]
+
+
+def test_encoder_of_another_tokenizer(spark, tmp_path):
+    """A worker that has one tokenizer in its memory takes another one for another call."""
+    with open(bpe.default_tokenizer(), encoding="utf-8") as f:
+        model = json.load(f)
+    model["model"]["merges"] = model["model"]["merges"][:200]
+    small = tmp_path / "small.json"
+    small.write_text(json.dumps(model), encoding="utf-8")
+    d = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog " * 3)], "doc_id int, text string")
+    tokenizers = pytest.importorskip("tokenizers")
+    for path in (bpe.default_tokenizer(), str(small), bpe.default_tokenizer()):
+        want = tokenizers.Tokenizer.from_file(path).encode(d.first().text, add_special_tokens=False).ids
+        assert bpe.bpe_encode(d, path).first().ids == want
+
+
 def _brute_decontaminate(docs, items):
     """(doc, item) -> score, by comparing every window of every text with every segment."""
     given = []
@@ -543,17 +671,85 @@ def test_licenses(spark, odd):
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(empty(odd)).count() == 0
 
 
+def _full_table(a, b):
+    """The best local alignment by the whole table: (score, matched), +2 a match, -1 a gap or a substitution."""
+    best = (0, 0)
+    score = [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            hit = a[i - 1] == b[j - 1]
+            s, k = score[i - 1][j - 1]
+            here = (s + (2 if hit else -1), k + hit)
+            for s, k in (score[i - 1][j], score[i][j - 1]):
+                if s - 1 > here[0]:
+                    here = (s - 1, k)
+            score[i][j] = here if here[0] > 0 else (0, 0)
+            if score[i][j][0] > best[0]:
+                best = score[i][j]
+    return best
+
+
 def test_alignment_against_full_table():
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        a, b = rng.integers(0, 6, 12), rng.integers(0, 6, 14)
-        best = np.zeros((13, 15), int)
-        for i in range(12):
-            for j in range(14):
-                best[i + 1, j + 1] = max(0, best[i, j] + (2 if a[i] == b[j] else -1), best[i, j + 1] - 1, best[i + 1, j] - 1)
-        matched, first, last = licenses.align(a, b, 0, band=20)
-        n = len(a) - matched
-        assert (best.max() > 0) == (matched > 0) and 0 <= first <= last < 14 and n >= 0
+    for _ in range(300):
+        a, b = rng.integers(0, 5, rng.integers(1, 14)), rng.integers(0, 5, rng.integers(1, 20))
+        score, matched, first, last = licenses.align(a, b, -len(a), len(b))
+        assert (score, matched) == _full_table(a.tolist(), b.tolist())
+        if score:  # the span alone gives as much
+            assert licenses.align(a, b[first : last + 1], -len(a), len(b))[0] == score and 0 <= first <= last < len(b)
+        # a band never finds more, and one that has the best path finds it
+        narrow = licenses.align(a, b, -2, 3)
+        assert narrow[0] <= score
+
+
+def test_short_templates(spark):
+    d = spark.createDataFrame([(1, "a BSD license here and a bsd LICENSE there"), (2, "bsd"), (3, "GPL"), (4, "a gpl")], "doc_id int, text string")
+    got = licenses.license_scan(d, templates={"bsd": "BSD License", "gpl": "GPL", "none": "?!"}).collect()
+    assert sorted((r.id, r.license, r.first_word) for r in got) == [(1, "bsd", 1), (1, "bsd", 6), (3, "gpl", 0), (4, "gpl", 1)]
+    assert all(r.coverage == 1.0 for r in got)
+
+
+def _brute_licenses(docs, least=0.7):
+    """(doc, license, matched words) by alignment of every template with every whole text, without fingerprints or bands."""
+    code = {}
+    number = lambda text: np.array([code.setdefault(w, len(code)) for w in _plain_words(text)], np.int64)
+    templates = {k: number(v) for k, v in licenses.TEMPLATES.items()}
+    out = set()
+    for doc, text in docs:
+        words, spans = number(text), []
+        for name, t in templates.items():
+            todo = [(0, len(words))]
+            while todo:  # the best place, then what is left on both sides
+                a, z = todo.pop()
+                if not np.isin(words[a:z], t).any():
+                    continue
+                _, matched, first, last = licenses.align(t, words[a:z], -len(t), z - a)
+                if matched / len(t) >= least:
+                    spans.append((-matched, name, a + first, a + last))
+                    todo += [(a, a + first), (a + last + 1, z)]
+        taken = []
+        for matched, name, first, last in sorted(spans):
+            if all(last < a or first > z for a, z in taken):
+                taken.append((first, last))
+                out.add((doc, name, -matched))
+    return out
+
+
+def test_license_query_against_full_alignment(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {(r.doc_id, r.license, r.matched) for r in licenses.op1_query(spark, sf_dir).collect()}
+    assert got == _brute_licenses(docs) and got
+    rng = random.Random(7)
+    planted = []
+    for k, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for edits in (0, 2, 8):  # words left out, put in and put for others
+            words = text.split()
+            for _ in range(edits if len(words) > 40 else 0):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [f"new{rng.randint(0, 99)}"]])
+            planted.append((100 * k + edits, f"some words before {k} " + " ".join(words) + " and after it, " + " ".join(f"f{i}" for i in range(40))))
+    found = {(r.id, r.license, r.matched) for r in licenses.license_scan(spark.createDataFrame(planted, "doc_id int, text string")).collect()}
+    assert found == _brute_licenses(planted) and len({f[1] for f in found}) == len(licenses.TEMPLATES)
 
 
 def test_winnowing_guarantee():
