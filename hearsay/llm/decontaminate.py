@@ -120,6 +120,7 @@ class Index:
         key = word[order].astype(np.int64) * max(self.blocks, 1) + self.posting // block
         self.block_key, first = np.unique(key, return_index=True)
         self.block_max = np.maximum.reduceat(self.impact, first) if len(key) else np.empty(0)
+        self.block_of = self.block_key % max(self.blocks, 1)
         self.block_starts = np.searchsorted(self.block_key, np.arange(len(self.vocab) + 1) * max(self.blocks, 1))
         # the last one is for words that are in no item
         self.most = np.zeros(len(self.vocab) + 1)
@@ -150,28 +151,37 @@ class Index:
     def bounds(self, words: np.ndarray, used: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, block) of the blocks in which a query may reach the threshold, for rows of words (``used``: which count).
 
-        Words of a query that together stay under the threshold can't carry a segment alone, so only the lists of the
-        others, which are the rarer words' short ones, are gone through; each block found is then bounded by all words.
+        Of a query's words, those of the smallest greatest impacts that together stay under half of the threshold are
+        only counted by these; the others, which are the rarer words with short lists, are summed by block. What may
+        reach the threshold so is bounded once more, by the block of all words.
         """
         most = np.where(used, self.most[words], 0.0)
         order = np.argsort(most, axis=1, kind="stable")
         rising = np.cumsum(np.take_along_axis(most, order, axis=1), axis=1)
-        needed = np.empty_like(used)
-        np.put_along_axis(needed, order, rising >= threshold - 1e-6, axis=1)
-        q, col = np.nonzero(needed & used)
-        w = words[q, col]
-        n = self.block_starts[w + 1] - self.block_starts[w]
-        at = ranges(self.block_starts[w], n)
-        pairs = np.unique(np.repeat(q, n) * self.blocks + self.block_key[at] % self.blocks)
-        keep = []
+        summed = np.empty_like(used)
+        np.put_along_axis(summed, order, rising >= threshold / 2, axis=1)
+        summed &= used
+        rest = np.where(summed, 0.0, most).sum(axis=1)
+        found = []
+        step = max(16, (1 << 22) // max(self.blocks, 1))  # queries at a time, so that sums take bounded memory
+        for lo in range(0, len(words), step):
+            q, col = np.nonzero(summed[lo : lo + step])
+            w = words[lo : lo + step][q, col]
+            n = self.block_starts[w + 1] - self.block_starts[w]
+            at = ranges(self.block_starts[w], n)
+            rows = min(step, len(words) - lo)
+            sums = np.bincount(np.repeat(q, n) * self.blocks + self.block_of[at], self.block_max[at], rows * self.blocks)
+            some = np.flatnonzero((sums > 0) & (sums + np.repeat(rest[lo : lo + rows], self.blocks) >= threshold - 1e-6))
+            found.append(some + lo * self.blocks)
+        pairs, keep = np.concatenate(found) if found else np.empty(0, np.int64), []
         for some in np.array_split(pairs, max(1, -(-len(pairs) // 65_536))):
             q, block = some // self.blocks, some % self.blocks
             key = words[q].astype(np.int64) * self.blocks + block[:, None]
             place = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
             reach = np.where(used[q] & (self.block_key[place] == key), self.block_max[place], 0.0).sum(axis=1)
             keep.append(some[reach >= threshold - 1e-6])
-        found = np.concatenate(keep)
-        return found // self.blocks, found % self.blocks
+        kept = np.concatenate(keep)
+        return kept // self.blocks, kept % self.blocks
 
     def search(self, words: np.ndarray, blocks: set[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all segments of the given blocks that score the threshold or more."""
