@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hearsay import runtime
 from hearsay.functions import filters, tokens, urls
 from hearsay.operators import bundles, dependencies, graph, graphql, identity, ingest, planning, schema, summary, workflows
 from hearsay.operators.components import connected_components
@@ -276,6 +277,56 @@ def test_response_schemas_keep_order(spark):
     assert json.loads(got.fragment) == want and got.samples == len(parts)
 
 
+def test_response_schemas_without_conflicts(spark):
+    """Shapes are folded once each; the result is that of all rows in order, with empty objects and nulls too."""
+    rng = random.Random(10)
+    shapes = ['{"a":1}', '{"a":null,"c":{}}', '{"b":"2024-01-01","a":2}', '{"b":"x","c":{"d":[]}}', '{"c":{"d":[{"e":1}]}}', '{"c":{"d":[{"f":"z"},{"e":2}]}}', '{"c":{}}', "{}"]
+    rows, wants = [], {}
+    for e in range(40):
+        bodies = [rng.choice(rng.sample(shapes, rng.randint(1, 4))) for _ in range(rng.randint(1, 12))]
+        want = schema.infer(json.loads(bodies[0]))
+        for b in bodies[1:]:
+            want = schema.merge(want, schema.infer(json.loads(b)))
+        wants[f"e{e}"] = (json.dumps(want), len(bodies))
+        rows += [(f"e{e}", 200, i, b) for i, b in enumerate(bodies)]
+    got = schema.response_schemas(spark.createDataFrame(rows, "endpoint_id string, response_status int, seq long, response_body string")).collect()
+    assert {r.endpoint_id: (r.fragment, r.samples) for r in got} == wants
+
+
+def test_deep_json(spark):
+    deep = '{"token":"abcdefghijkl","x":' + "[" * 100_000 + "]" * 100_000 + "}"
+    fine = '{"a":' * 150 + '"a value of some length"' + "}" * 150
+    d = spark.createDataFrame([(1, deep), (2, fine), (3, "[" * 200_000), (4, '{"s":"' + "[{" * 500 + '"}')], "id int, body string")
+    got = {r.id: r for r in d.select("id", schema.fragment_of("body").alias("f"), dependencies.json_tokens(F.col("body"), "b").alias("t"), graphql.extract("body").alias("g")).collect()}
+    assert got[1].f is None and got[3].f is None and got[2].f is not None and json.loads(got[4].f)["properties"] == {"s": {"type": "string"}}
+    assert [t.path for t in got[1].t] == ["b"] and got[2].t[0].value == "a value of some length" and got[1].g == []
+
+
+def test_last_newlines(spark):
+    for v in ("1.2.3.4\n", "2024-01-02\n", "a@b.co\n", f"{V.UUID}\n"):
+        assert one(spark, tokens.string_format(F.lit(v)))[0] is None and schema.infer(v) == {"type": "string"}
+    r = one(spark, urls.is_dynamic(F.lit("123\n")), tokens.charset(F.lit("123\n")), tokens.token_class(F.lit("507f1f77bcf86cd799439011\n"))["type"])
+    assert r[0] is False and r[1] == "mixed" and r[2] != "mongo_object_id"
+
+
+def test_pairing_against_a_loop(spark):
+    rng = random.Random(13)
+    rows, waiting, want = [], {}, {}
+    for seq in range(800):
+        at = ("hot" if rng.random() < 0.6 else f"u{rng.randint(0, 5)}", rng.choice(["GET", "POST"]))
+        if rng.random() < 0.5:
+            rows.append((seq, "request", *at, seq * 10, f"p{seq}", None))
+            waiting[at] = seq
+        else:
+            rows.append((seq, "response", *at, seq * 10, None, None))
+            got = waiting.pop(at, None)
+            want[seq] = (None, None) if got is None else (f"p{got}", (seq - got) * 10)
+    d = spark.createDataFrame(rows, "seq long, kind string, url string, method string, ts long, post_data string, trace_id string")
+    for slices in (1, 16, 256):
+        assert {r.seq: (r.post_data, r.response_time_ms) for r in ingest.pair_requests(d, slices).collect()} == want
+    assert ingest.pair_requests(d.limit(0)).count() == 0
+
+
 def test_openapi_document(spark):
     eps = spark.createDataFrame([("e1", "GET", "/users/{userId}", 5, "network", 1), ("e2", "POST", "/users", 1, None, 2)], "endpoint_id string, method string, path_template string, observation_count long, provenance string, seq long")
     schemas = spark.createDataFrame([("e1", 200, '{"type": "object", "properties": {"id": {}}}', 1), ("e1", 404, '{"type": "object"}', 1)], "endpoint_id string, status int, fragment string, samples long")
@@ -354,16 +405,58 @@ def test_exploration(spark):
     assert {(r.id, r.status, r.updated_at) for r in jobs.collect()} == {("j1", "done", 9), ("j2", "queued", 5)}
 
 
-def test_stopped_search_is_marked(spark, monkeypatch):
-    ids = "abcdefghi"
-    nodes = [graph.Node(i, "request", None, None, "GET", None) for i in ids]
-    edges = [graph.Edge(a, b, "token", 1) for a in ids for b in ids if a != b]
-    assert workflows.marked_path_of(nodes[:3], [e for e in edges if e.source in "abc" and e.target in "abc"])[0][1:] == (3, 0)
-    monkeypatch.setattr(workflows, "MOST_STEPS", 50)
-    assert workflows.marked_path_of(nodes, edges)[0][2] == 1
-    n, e = V.frame(spark, V.NODES, graph.NODE), V.frame(spark, V.EDGES, graph.EDGE)
-    flows, _ = workflows.synthesize(n, e, graph.components(n, e))
-    assert {r.critical_path_stopped for r in flows.collect()} == {False}
+def _longest(ids, pairs):
+    """The longest path from an entry by plain recursion over all simple paths, the earliest edges first."""
+    out = {}
+    for x, y in pairs:
+        out.setdefault(x, []).append(y)
+    fed = {y for _, y in pairs}
+
+    def go(at, seen):
+        if at in seen:
+            return []
+        best = []
+        for t in out.get(at, ()):
+            if len(tail := go(t, seen | {at})) > len(best):
+                best = tail
+        return [at, *best]
+
+    best = []
+    for e in [i for i in ids if i not in fed] or ids[:1]:
+        if len(path := go(e, frozenset())) > len(best):
+            best = path
+    return best
+
+
+def _graph(ids, pairs):
+    return [graph.Node(i, "request", None, None, "GET", None) for i in ids], [graph.Edge(x, y, "token", 1) for x, y in pairs]
+
+
+def test_critical_paths_against_recursion():
+    rng = random.Random(12)
+    for _ in range(600):
+        ids = [f"n{i}" for i in range(rng.randint(1, 8))]
+        pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(rng.randint(0, 14))]
+        want = _longest(ids, pairs)
+        assert workflows.marked_path_of(*_graph(ids, pairs), None) == [("|".join(want), len(want), 0)]
+
+
+def test_critical_paths_of_large_components():
+    clique, tail = [f"c{i}" for i in range(13)], [f"t{i}" for i in range(60)]
+    pairs = [("s", "c0"), *((x, y) for x in clique for y in clique if x != y), ("c3", "t0"), *zip(tail, tail[1:], strict=False)]
+    path, length, stopped = workflows.marked_path_of(*_graph(["s", *clique, *tail], pairs))[0]
+    assert length == 74 and not stopped and path.startswith("s|c0|") and path.endswith("|c3|" + "|".join(tail))
+    assert workflows.marked_path_of(*_graph(["s", *clique, *tail], pairs), 5)[0][2] == 1  # a search that ends is marked
+    chain = [f"x{i}" for i in range(20_000)]
+    assert workflows.marked_path_of(*_graph(chain, list(zip(chain, chain[1:], strict=False))))[0][1:] == (20_000, 0)
+    assert workflows.marked_path_of(*_graph(chain[:3000], [*zip(chain, chain[1:3000], strict=False), (chain[2999], chain[0])]))[0][1:] == (3000, 0)
+
+
+def test_numbers_over_ranges(spark):
+    d = spark.range(5000).select((F.xxhash64("id") % 1000).alias("v"), "id")
+    got = runtime.numbered(d, ["v", "id"], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 5001)) and [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
+    assert runtime.numbered(d.limit(0), ["v"], "n").count() == 0
 
 
 def test_dfs(spark):
@@ -418,6 +511,36 @@ def test_sinks(spark, tmp_path):
     assert json.loads("".join(r.value for r in spark.read.text(f"{tmp_path}/spec").collect())) == {"openapi": "3.0.3"}
 
 
+def test_merged_tables_count_each_batch_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "MOST_PARTS", 3)
+    merge = lambda both: both.groupBy("k").agg(F.sum("n").alias("n"))
+    add = lambda k, n, batch: sinks.merge_table(spark, str(tmp_path), "t", spark.createDataFrame([(k, n)], "k string, n long"), merge, batch)
+    read = lambda: {r.k: r.n for r in sinks.read_merged(spark, str(tmp_path), "t", merge).collect()}
+    for k in range(8):
+        add("a", 1, f"s-{k}")
+        add("a", 1, f"s-{k}")  # played again after it was finished
+        assert read() == {"a": k + 1}
+    assert len(list((tmp_path / "t").iterdir())) <= 4
+    # a batch that was cut short before Spark marked it finished doesn't count, and is written again
+    broken = tmp_path / "t" / "add-000000000008-s-8"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert read() == {"a": 8}
+    add("a", 5, "s-8")
+    assert read() == {"a": 13}
+    # so does a rewrite that was cut short: the parts that it would stand for are still there
+    (tmp_path / "t" / "all-000000000009-s-9").mkdir()
+    assert read() == {"a": 13}
+
+
+def test_merged_requests(spark, sf_dir):
+    log_ = ingest.with_ids(observations.observations(spark, sf_dir))
+    whole = ingest.dedup_requests(log_)
+    parts = [ingest.dedup_requests(log_.filter(F.col("seq") % 3 == k)) for k in range(3)]
+    got = ingest.merged_requests(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    assert got.select(whole.columns).exceptAll(whole).count() == 0 == whole.exceptAll(got.select(whole.columns)).count()
+
+
 def test_har(spark, tmp_path):
     e = {"startedDateTime": "2024-01-01T00:00:00Z", "time": 12.4, "request": {"method": "GET", "url": "https://a.com/u/1?x=1", "headers": [{"name": "Cookie", "value": "a=b"}]}, "response": {"status": 200, "headers": [], "content": {"text": "{}"}}}
     (tmp_path / "a.har").write_text(json.dumps({"log": {"entries": [e, e]}}))
@@ -432,7 +555,7 @@ def test_stream_equals_batch_over_several_batches(spark, sf_dir, tmp_path):
     log_ = observations.from_events(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
     stream.endpoint_stream(log_, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     cols = ["endpoint_id", "observation_count", "first_seen_at", "last_seen_at"]
-    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/endpoints").select(*cols).collect()}
+    got = {tuple(r) for r in stream.read_endpoints(spark, f"{tmp_path}/out").select(*cols).collect()}
     assert got == {tuple(r) for r in ingest.endpoints(ingest.with_ids(observations.from_events(events))).select(*cols).collect()}
 
 
