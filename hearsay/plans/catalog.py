@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from hearsay.operators import bundles, dependencies, graph, graphql, identity, i
 from hearsay.plans import graph_sql as G
 from hearsay.plans import vectors as V
 from hearsay.runtime import cut, once, shared_dir, table
+from hearsay.sources import sinks
 from hearsay.sources.observations import observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,7 +542,7 @@ def exploration_prerequisites(spark, sf_dir):
     return planning.prerequisites(workflows.numbered(flows), roles)
 
 
-@query(f"{GRAPH_SQL}, {G.REPLAY}")
+@query(f"{GRAPH_SQL}, {G.REPLAY} SELECT * FROM place")
 def replay_order(spark, sf_dir):
     return planning.replay_order(*dependency_graph(spark, sf_dir))
 
@@ -728,13 +730,141 @@ def summary_row(spark, sf_dir):
     return summary.as_json(summary.summarize(ingest.dedup_requests(log), eps, ops, registry(spark, sf_dir), cut(flows), graph.auth_chains(nodes, edges, comp)))
 
 
+# --- stores and files
+
+
+def _fresh_root(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    f"WITH {EVENTS} SELECT request_id, arg_min(method, seq) AS method, arg_max(captured_at, seq) AS captured_at, CAST(arg_max(response_status, seq) AS INTEGER) AS response_status, count(*) AS observations FROM ids GROUP BY request_id"
+)
+def request_upserts(spark, sf_dir):
+    """The request table kept by upserts of four batches, one of them played twice."""
+    log, root = ingest.with_ids(observations(spark, sf_dir)), _fresh_root(spark, "requests")
+    for k in (0, 1, 1, 2, 3):
+        sinks.merge_table(spark, root, "requests", ingest.dedup_requests(log.filter(F.col("seq") % 4 == k)), ingest.merged_requests, f"batch-{k}")
+    return sinks.read_merged(spark, root, "requests", ingest.merged_requests).select("request_id", "method", "captured_at", "response_status", "observations")
+
+
+@query("SELECT page_id, sha256(html) AS digest, strlen(html) > 1500 AS stored FROM pages")
+def object_store(spark, sf_dir):
+    rows, objects = ingest.offload_bodies(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "response", limit=1500)
+    root = _fresh_root(spark, "objects")
+    for _ in range(2):
+        path = sinks.write_objects(objects, root)
+    back = ingest.read_bodies(rows, spark.read.parquet(path), "html")
+    return back.select("page_id", F.sha2("html", 256).alias("digest"), F.col("html_path").isNotNull().alias("stored"))
+
+
+@query(f"WITH {EVENTS} SELECT strftime(to_timestamp(captured_at / 1000), '%Y-%m-%d') AS day, count(*) AS n FROM obs GROUP BY 1")
+def event_log_days(spark, sf_dir):
+    rows = observations(spark, sf_dir).select("captured_at", "url")
+    path = sinks.write_event_log(summary.events_log(rows, "capture"), _fresh_root(spark, "log"))
+    return spark.read.json(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(f"{INVENTORY} SELECT '3.0.3' AS openapi, CAST(count(DISTINCT path_template) AS INTEGER) AS paths, CAST(0 AS INTEGER) AS errors FROM inv")
+def openapi_file(spark, sf_dir):
+    log, path = ingest.with_ids(observations(spark, sf_dir)), _fresh_root(spark, "openapi")
+    schemas = schema.response_schemas(log.select("endpoint_id", "response_status", "response_body", "seq"))
+    spec = schema.openapi(schema.operations(ingest.endpoints(log), schemas), "https://api.example.com")
+    sinks.write_openapi(spec, spark, path)
+    text = spark.read.text(path, wholetext=True)
+    found = F.size(F.json_object_keys(F.get_json_object("value", "$.paths")))
+    return text.select(F.get_json_object("value", "$.openapi").alias("openapi"), found.alias("paths"), F.lit(len(schema.validate(spec))).alias("errors"))
+
+
+# --- further parts of the graph and of plans
+
+
+@query(f"{GRAPH_SQL}, kept AS (SELECT id FROM comp WHERE CAST(id AS BIGINT) % 3 <> 0), live AS (SELECT s, t FROM edge2 WHERE s IN (SELECT id FROM kept) AND t IN (SELECT id FROM kept)) SELECT (SELECT count(*) FROM kept) AS nodes, (SELECT count(*) FROM live) AS edges, (SELECT count(*) FROM (SELECT s FROM edge2 UNION SELECT t FROM edge2 UNION SELECT id FROM kept)) AS completed")
+def graph_edits(spark, sf_dir):
+    """Nodes are taken out with their edges, then edges bring back the nodes that they need, and the rest are put in again."""
+    nodes, edges, _ = dependency_graph(spark, sf_dir)
+    gone = nodes.filter(F.col("id").cast("long") % 3 == 0).select("id")
+    left, live = graph.remove_nodes(nodes, edges, gone)
+    whole = graph.complete(graph.add_nodes(left, left.limit(5)), edges)
+    return left.agg(F.count("*").alias("nodes")).crossJoin(live.agg(F.count("*").alias("edges"))).crossJoin(whole.agg(F.count("*").alias("completed")))
+
+
+@query(f"{GRAPH_SQL}, sink AS (SELECT DISTINCT t FROM edge2 WHERE t NOT IN (SELECT s FROM edge2)), up(a, b) AS (SELECT t, t FROM sink UNION SELECT up.a, edge2.s FROM up JOIN edge2 ON edge2.t = up.b) SELECT a AS root, count(*) AS n_reached FROM up GROUP BY a")
+def graph_upstream(spark, sf_dir):
+    _, edges, _ = dependency_graph(spark, sf_dir)
+    sinks_ = edges.select(F.col("target").alias("id")).distinct().join(edges.select(F.col("source").alias("id")), "id", "left_anti")
+    return graph.reachable(edges, sinks_, "upstream").groupBy("root").agg(F.count("*").alias("n_reached"))
+
+
+@query(f"{GRAPH_SQL}, deep(id, n) AS (SELECT id, 0 FROM comp WHERE id NOT IN (SELECT t FROM edge2) UNION SELECT edge2.t, n + 1 FROM deep JOIN edge2 ON edge2.s = deep.id) SELECT id, CAST(max(n) AS INTEGER) AS level FROM deep GROUP BY id")
+def replay_levels(spark, sf_dir):
+    nodes, edges, _ = dependency_graph(spark, sf_dir)
+    return planning.replay_levels(nodes, edges)
+
+
+@query(f"{GRAPH_SQL}, {G.REPLAY}, auth AS (SELECT s, string_agg(t, '|' ORDER BY k) AS targets FROM edge2 WHERE dependency_type = 'token' GROUP BY s) SELECT component, id, position, targets AS auth_targets, 'default' AS replay_group FROM place LEFT JOIN auth ON auth.s = id")
+def replay_plan(spark, sf_dir):
+    return planning.replay_plan(*dependency_graph(spark, sf_dir)).select("component", "id", "position", "auth_targets", "replay_group")
+
+
+@query("SELECT * FROM (VALUES ('explore_disconnected_region', 'disconnected_region', 75, '{\"nodesCount\":1}')) AS t(id, type, priority, metadata)")
+def disconnected_region(spark, sf_dir):
+    nodes, _, comp = literal_graph(spark)
+    return planning.disconnected_target(nodes, comp).select("id", "type", "priority", "metadata")
+
+
+@query(f"{FOUND}, z AS (SELECT canonical_id AS id, CASE trust_state WHEN 'unresolved' THEN 40 WHEN 'discovered' THEN 30 ELSE 50 END - CASE WHEN canonical_method IN ('DELETE', 'PUT', 'PATCH') THEN 20 WHEN canonical_method = 'POST' THEN 5 ELSE 0 END - 15 * (seq % 5) AS priority, seq % 5 AS failures FROM registry WHERE trust_state <> 'observed' AND NOT (trust_state = 'discovered' AND confidence < 0.6)) SELECT id, CAST(priority AS INTEGER) AS priority FROM z WHERE failures <= 3 AND priority > 0")
+def exploration_after_failures(spark, sf_dir):
+    r = registry(spark, sf_dir)
+    failed = r.select(F.col("canonical_id").alias("target_id"), F.explode(F.sequence(F.lit(1), (F.col("seq") % 5).cast("int") + 1)).alias("i"), (F.col("seq") % 5).alias("n")).filter("i <= n")
+    return planning.endpoint_targets(r, failed).select("id", "priority")
+
+
+# --- further functions
+
+
+@query(
+    rf"WITH {_WORDS}, d AS (SELECT DISTINCT v FROM w), x AS (SELECT v, length(v) AS n, CASE WHEN regexp_full_match(v, '[0-9]+') THEN 'numeric' WHEN regexp_full_match(v, '[a-z]+') THEN 'alpha_lower' WHEN regexp_full_match(v, '[A-Z]+') THEN 'alpha_upper' WHEN regexp_full_match(v, '[A-Za-z]+') THEN 'alpha' "
+    r"WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN 'hex' WHEN regexp_full_match(v, '[0-9a-zA-Z]+') THEN 'alphanumeric' ELSE 'mixed' END AS charset FROM d), "
+    r"y AS (SELECT n, charset, array_to_string(list_sort(list_distinct(regexp_extract_all(v, '[-_.:|]'))), '') AS delimiters, CASE WHEN n >= 16 AND charset NOT IN ('numeric', 'hex') AND regexp_full_match(v, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') THEN 'base64;' ELSE '' END || "
+    r"CASE WHEN regexp_full_match(v, '[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]*') THEN 'base64url;' ELSE '' END AS hints FROM x) SELECT charset, delimiters, hints, count(*) AS n, CAST(sum(n) AS BIGINT) AS characters FROM y GROUP BY ALL"
+)
+def token_metadata(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select(F.explode(F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), "")).alias("v")).distinct()
+    m = w.select(tokens.token_metadata("v").alias("m"))
+    hints = F.array_join(F.transform("m.encoding_hints", lambda x: F.concat(x, F.lit(";"))), "")
+    g = m.groupBy(F.col("m.charset").alias("charset"), F.array_join(F.array_sort("m.delimiters"), "").alias("delimiters"), hints.alias("hints"))
+    return g.agg(F.count("*").alias("n"), F.sum("m.length").cast("long").alias("characters"))
+
+
+@query(f"{INVENTORY} SELECT path_template, array_to_string(regexp_extract_all(path_template, '[{{]([^}}]+)[}}]', 1), ',') AS names FROM inv")
+def template_parameters(spark, sf_dir):
+    return inventory(spark, sf_dir).select("path_template", F.array_join(urls.path_parameters("path_template"), ",").alias("names"))
+
+
+@query("SELECT * FROM (VALUES ('PHPSESSIONID', true), ('sid', false), ('x-Auth', true), ('jwt_', true), ('csrfToken', true), ('', false)) AS t(name, auth)")
+def auth_cookies(spark, sf_dir):
+    names = V.frame(spark, [("PHPSESSIONID",), ("sid",), ("x-Auth",), ("jwt_",), ("csrfToken",), ("",)], "name string")
+    return names.select("name", filters.is_auth_cookie("name").alias("auth"))
+
+
+@query("SELECT * FROM (VALUES ('c'), ('d'), ('e')) AS t(id)")
+def deleted_sessions(spark, sf_dir):
+    return ingest.delete_sessions(V.frame(spark, V.SESSIONS, "id string, created_at bigint, label string, cookies string, storage_state string"), "main").select("id")
+
+
+@query("SELECT * FROM (VALUES (1, 'Named', 'query R { r }'), (2, 'Kept', 'query Kept { k }'), (3, NULL, '')) AS t(id, operation_name, document)")
+def enriched_operations(spark, sf_dir):
+    found = V.frame(spark, [(1, None, ""), (2, "Kept", "query Kept { k }"), (3, None, "")], "id int, operation_name string, document string")
+    back = V.frame(spark, [(1, "Named", "query R { r }"), (3, None, None)], "id int, operation_name string, document string")
+    return graphql.enrich(found, back).select("id", "operation_name", "document")
+
+
 # --- streaming
 
 
 @query(f"{INVENTORY} SELECT endpoint_id, method, path_template, observation_count, first_seen_at, last_seen_at FROM inv")
 def streaming_endpoint_counts(spark, sf_dir):
-    import uuid
-
     from hearsay.sources.observations import from_events
     from hearsay.streaming.endpoints import endpoint_stream, read_endpoints
 

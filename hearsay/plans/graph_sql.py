@@ -56,8 +56,8 @@ REPLAY = """given AS (SELECT t, list(s) AS sources FROM edge2 GROUP BY t),
 after AS MATERIALIZED (SELECT edge2.s, list({'t': edge2.t, 'sources': given.sources} ORDER BY edge2.k) AS ts FROM edge2 JOIN given ON given.t = edge2.t GROUP BY edge2.s),
 queue(component, q, i) AS (SELECT component, list(id ORDER BY seq), 1 FROM comp WHERE id NOT IN (SELECT t FROM edge2) GROUP BY component
   UNION ALL SELECT component, list_concat(q, coalesce(list_transform(list_filter(after.ts, lambda x: list_has_all(q[1:i], x.sources)), lambda x: x.t), [])), i + 1 FROM queue LEFT JOIN after ON after.s = q[i] WHERE i <= len(q)),
-done AS (SELECT component, arg_max(q, i) AS q FROM queue GROUP BY component)
-SELECT component, unnest(q) AS id, CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS position FROM done"""
+done AS (SELECT component, arg_max(q, i) AS q FROM queue GROUP BY component),
+place AS (SELECT component, unnest(q) AS id, CAST(generate_subscripts(q, 1) - 1 AS INTEGER) AS position FROM done)"""
 
 #: In an acyclic graph the depth-first walk comes to a node along the path that is least by the order of edges.
 DFS = """paths(component, id, p) AS (SELECT component, id, CAST([] AS BIGINT[]) FROM comp WHERE seq = first_seq UNION ALL SELECT component, edge2.t, list_append(p, edge2.k) FROM paths JOIN edge2 ON edge2.s = paths.id),
