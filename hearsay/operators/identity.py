@@ -61,23 +61,31 @@ def origin_conflicts(rows: DataFrame) -> DataFrame:
     return r.groupBy("canonical_id").agg(F.array_sort(F.collect_set("origin")).alias("origins")).filter(F.size("origins") > 1)
 
 
-def unify_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, type, url, method, provenance, seq) and edges with equal endpoints made one canonical node.
-
-    Parallel edges stay, edges inside an endpoint become loops; the data of a merged node are kept also where the
-    reference's order of steps would lose them.
-    """
+def _endpoint_nodes(nodes: DataFrame) -> DataFrame:
     kinds = F.col("type").isin("request", "graphql_operation", "websocket") & (F.coalesce(F.col("url"), F.lit("")) != "")
-    seen = nodes.filter(kinds).select(
+    return nodes.filter(kinds).select(
         "id", "seq", F.coalesce("method", F.lit("GET")).alias("method"), "url", F.coalesce("provenance", F.lit("runtime_capture")).alias("provenance"),
         (F.col("type") == "graphql_operation").alias("is_graphql"), F.lit(1.0).alias("confidence"),
     )
-    ids = canonical_columns(seen).select("id", "seq", F.concat(F.lit("canonical_"), F.col("canonical_id")).alias("new_id"))
-    from_ids = ids.groupBy("new_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]), ",").alias("merged_from"))
+
+
+def merged_from(nodes: DataFrame) -> DataFrame:
+    """(new_id, id, seq): which nodes ``unify_graph`` makes one, a row each."""
+    return canonical_columns(_endpoint_nodes(nodes)).select(F.concat(F.lit("canonical_"), F.col("canonical_id")).alias("new_id"), "id", "seq")
+
+
+def unify_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, url, method, provenance, seq) and edges with equal endpoints made one canonical node, with the number
+    of nodes that it was made of (``merged``).
+
+    Parallel edges stay, edges inside an endpoint become loops; the data of a merged node are kept also where the
+    order of the steps would lose them.
+    """
+    seen, ids = _endpoint_nodes(nodes), merged_from(nodes).select("id", "new_id")
     made = resolve(seen).select(
         F.concat(F.lit("canonical_"), F.col("canonical_id")).alias("id"), F.when(F.col("is_graphql"), "graphql_operation").otherwise("request").alias("type"), F.col("canonical_path").alias("url"),
-        F.col("canonical_method").alias("method"), "trust_state", F.array_join("provenance_set", ",").alias("provenance"), "seq",
-    ).join(from_ids, F.col("id") == F.col("new_id")).drop("new_id")
+        F.col("canonical_method").alias("method"), "trust_state", F.array_join("provenance_set", ",").alias("provenance"), "seq", "merged",
+    )
     rest = nodes.join(ids, "id", "left_anti")
     out_nodes = made.unionByName(rest, allowMissingColumns=True)
     a, b = ids.select(F.col("id").alias("source"), F.col("new_id").alias("_s")), ids.select(F.col("id").alias("target"), F.col("new_id").alias("_t"))

@@ -194,7 +194,8 @@ def test_unify_graph(spark):
     nodes = [("r1", "request", "https://a.com/u/1", "/u/1", "GET", None, None, 1), ("r2", "request", "https://a.com/u/2", "/u/2", "GET", None, None, 2), ("r3", "request", "https://a.com/v", "/v", "GET", None, None, 3)]
     edges = [("r1", "r3", "token", 1.0, 0, 1), ("r2", "r3", "token", 1.0, 0, 2), ("r1", "r2", "token", 1.0, 0, 3)]
     n, e = identity.unify_graph(V.frame(spark, nodes, graph.NODE), V.frame(spark, edges, graph.EDGE))
-    assert {r.id: r.merged_from for r in n.collect()} == {"canonical_GET#/u/:id": "r1,r2", "canonical_GET#/v": "r3"}
+    assert {r.id: r.merged for r in n.collect()} == {"canonical_GET#/u/:id": 2, "canonical_GET#/v": 1}
+    assert sorted((r.new_id, r.id) for r in identity.merged_from(V.frame(spark, nodes, graph.NODE)).collect()) == [("canonical_GET#/u/:id", "r1"), ("canonical_GET#/u/:id", "r2"), ("canonical_GET#/v", "r3")]
     assert sorted((r.source[-3:], r.target[-3:]) for r in e.collect()) == [("/v"[-3:], "x")][:0] + sorted([(":id", "#/v"), (":id", "#/v"), (":id", ":id")])
 
 
