@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hearsay.operators.graph import AUTH_EDGES, Edge, Node, cycles, per_component
+from hearsay.runtime import cut, large
 from hearsay.runtime import numbered as in_order
 
 # Words of a url that make a request an authentication boundary.
@@ -206,10 +207,12 @@ def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[Dat
         "entrypoint": F.col("fed").isNull(), "auth": words | F.coalesce("auth_edge", F.lit(False)), "label": label, "method": method,
         "paged": has("limit=", "offset=", "page=", "cursor="), "unresolved": F.col("trust_state").eqNullSafe(F.lit("unresolved")),
     })
+    # read five times below, and joined from tables as long as the log
+    n = large(cut(n.select("id", "group", "rank", "group_order", "seq", "method", "entrypoint", "auth", "auth_edge", "label", "paged", "unresolved")))
     walked = per_component(nodes, edges, comp, marked_path_of, "path string, path_length int, path_stopped int", least_size=2).select(F.concat(F.lit("c:"), F.col("component")).alias("group"), "path", "path_length", (F.col("path_stopped") == 1).alias("path_stopped"))
     inside = n.select("id", "group")
     looped = cycles(nodes, edges, comp.filter(F.col("size") > 1)).select(F.concat(F.lit("c:"), F.col("component")).alias("group")).distinct().withColumn("cyclic", F.lit(True))
-    one_loop = edges.filter("source = target").select(F.col("source").alias("id")).join(inside, "id").select("group").distinct().withColumn("self", F.lit(True))
+    one_loop = large(edges.filter("source = target").select(F.col("source").alias("id")).join(inside, "id").select("group").distinct().withColumn("self", F.lit(True)))
     g = n.groupBy("group", "rank", "group_order").agg(
         F.count("*").alias("n_nodes"), F.count_if("entrypoint").alias("entries"), F.count_if("auth").alias("n_auth"), F.bool_or(F.coalesce("auth_edge", F.lit(False))).alias("auth_edge"),
         F.min_by("label", F.when(F.col("label").isNotNull(), F.struct("seq", "id"))).alias("label"), F.bool_or("paged").alias("paged"), F.bool_or("unresolved").alias("unresolved"),

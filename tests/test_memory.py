@@ -7,7 +7,7 @@ import pytest
 from hearsay.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["unify_graph"])
+@pytest.mark.parametrize("name", ["unify_graph", "workflow_type_counts", "exploration_prerequisites", "exploration_plan", "workflow_models", "summary_row"])
 def test_graph_is_never_broadcast(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
