@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hearsay.operators.components import connected_components
-from hearsay.runtime import cut
+from hearsay.runtime import cut, large
 
 AUTH_EDGES = ("token", "cookie", "session", "authorization")
 NODE = "id string, type string, url string, path string, method string, trust_state string, provenance string, seq bigint"
@@ -166,7 +166,7 @@ def per_component(nodes: DataFrame, edges: DataFrame, comp: DataFrame, fn: Calla
     import pyarrow as pa
 
     null = F.lit(None).cast("string")
-    chosen = comp.filter(F.col("size") >= least_size).select("id", "component")
+    chosen = large(comp.filter(F.col("size") >= least_size).select("id", "component"))
     n = nodes.join(chosen, "id").select("component", F.lit(0).alias("_kind"), "seq", "id", "type", "url", "path", "method", "trust_state", null.alias("target"), null.alias("dependency_type"), F.lit(0).cast("long").alias("temporal_ms"))
     e = edges.join(chosen.withColumnRenamed("id", "source"), "source")
     e = e.select("component", F.lit(1).alias("_kind"), "seq", F.col("source").alias("id"), *[null.alias(c) for c in ("type", "url", "path", "method", "trust_state")], "target", "dependency_type", "temporal_ms")
