@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearsay.operators.graph import AUTH_EDGES, Edge, Node, cycles, per_component
+from hearsay.operators.graph import AUTH_EDGES, Edge, Node, cycles_of, per_component
 from hearsay.runtime import cut, large
 from hearsay.runtime import numbered as in_order
 
@@ -18,15 +18,13 @@ MOST_STEPS = 2_000_000
 
 
 def members(nodes: DataFrame, comp: DataFrame) -> DataFrame:
-    """(id, group, group_order): components of several nodes as they are; single nodes pooled as graphql, realtime or by
+    """Nodes with rank and group: components of several nodes as they are; single nodes pooled as graphql, realtime or by
     the first segment of their path, misc without one."""
     n = nodes.join(comp, "id")
     family = F.concat(F.lit("/"), F.get(F.array_remove(F.split("path", "/"), ""), F.lit(0)))
     single = F.when(F.col("type") == "graphql_operation", F.lit("graphql")).when(F.col("type") == "websocket", F.lit("realtime")).otherwise(F.coalesce(family, F.lit("misc")))
     rank = F.when(F.col("size") > 1, 0).when(F.col("type") == "graphql_operation", 1).when(F.col("type") == "websocket", 2).otherwise(3)
-    out = n.select("id", "seq", rank.alias("rank"), F.when(F.col("size") > 1, F.concat(F.lit("c:"), F.col("component"))).otherwise(F.concat(F.lit("s:"), single)).alias("group"))
-    first = out.groupBy("group", "rank").agg(F.min("seq").alias("group_order"))
-    return out.select("id", "group").join(first, "group")
+    return n.select(*nodes.columns, rank.alias("rank"), F.when(F.col("size") > 1, F.concat(F.lit("c:"), F.col("component"))).otherwise(F.concat(F.lit("s:"), single)).alias("group"))
 
 
 def critical_path_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
@@ -178,13 +176,21 @@ def marked_path_of(nodes: list[Node], edges: list[Edge], most_steps: int | None
     return [("|".join(path), len(path), int(stopped))]
 
 
+def walked_of(nodes: list[Node], edges: list[Edge]) -> list[tuple]:
+    """What ``marked_path_of`` gives, and 1 if the nodes have a cycle."""
+    looped = int(bool(cycles_of(nodes, edges)))
+    return [(*r, looped) for r in marked_path_of(nodes, edges)]
+
+
 def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(workflows, roles of their nodes).
 
     Pools of single nodes are only counted and summed, so they may be of any size; a path is walked in components of
     several nodes alone. Roles are rows (workflow, id, entrypoint, auth, critical), not lists.
+
+    Nodes with their group, walks and groups are written once each, so that what reads workflows or roles joins three tables
+    and no plan holds another.
     """
-    m = members(nodes, comp)
     url, method = F.lower(F.coalesce("url", F.lit(""))), F.upper(F.coalesce("method", F.lit("")))
 
     def has(*words: str):
@@ -193,9 +199,9 @@ def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[Dat
             out = out | url.contains(w)
         return out
 
-    auth_out = edges.filter(F.col("dependency_type").isin(*AUTH_EDGES)).select(F.col("source").alias("id")).distinct().withColumn("auth_edge", F.lit(True))
+    sent = edges.groupBy(F.col("source").alias("id")).agg(F.bool_or(F.col("dependency_type").isin(*AUTH_EDGES)).alias("auth_edge"), F.bool_or(F.col("source") == F.col("target")).alias("self"))
     inner = edges.select(F.col("target").alias("id")).distinct().withColumn("fed", F.lit(True))
-    n = m.join(nodes, "id").join(auth_out, "id", "left").join(inner, "id", "left")
+    n = members(nodes, comp).join(sent, "id", "left").join(inner, "id", "left")
     words = has(*AUTH_WORDS) | (F.col("type") == "auth")
     label = (
         F.when(words, "authentication")
@@ -207,26 +213,27 @@ def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[Dat
         "entrypoint": F.col("fed").isNull(), "auth": words | F.coalesce("auth_edge", F.lit(False)), "label": label, "method": method,
         "paged": has("limit=", "offset=", "page=", "cursor="), "unresolved": F.col("trust_state").eqNullSafe(F.lit("unresolved")),
     })
-    # read five times below, and joined from tables as long as the log
-    n = large(cut(n.select("id", "group", "rank", "group_order", "seq", "method", "entrypoint", "auth", "auth_edge", "label", "paged", "unresolved")))
-    walked = per_component(nodes, edges, comp, marked_path_of, "path string, path_length int, path_stopped int", least_size=2).select(F.concat(F.lit("c:"), F.col("component")).alias("group"), "path", "path_length", (F.col("path_stopped") == 1).alias("path_stopped"))
-    inside = n.select("id", "group")
-    looped = cycles(nodes, edges, comp.filter(F.col("size") > 1)).select(F.concat(F.lit("c:"), F.col("component")).alias("group")).distinct().withColumn("cyclic", F.lit(True))
-    one_loop = large(edges.filter("source = target").select(F.col("source").alias("id")).join(inside, "id").select("group").distinct().withColumn("self", F.lit(True)))
-    g = n.groupBy("group", "rank", "group_order").agg(
-        F.count("*").alias("n_nodes"), F.count_if("entrypoint").alias("entries"), F.count_if("auth").alias("n_auth"), F.bool_or(F.coalesce("auth_edge", F.lit(False))).alias("auth_edge"),
+    # read four times below, and joined from tables as long as the log
+    n = large(cut(n.select("id", "group", "rank", "seq", "method", "entrypoint", "auth", "auth_edge", "self", "label", "paged", "unresolved")))
+    walked = per_component(nodes, edges, comp, walked_of, "path string, path_length int, path_stopped int, cyclic int", least_size=2)
+    walked = large(cut(walked.select(F.concat(F.lit("c:"), F.col("component")).alias("group"), "path", "path_length", (F.col("path_stopped") == 1).alias("path_stopped"), (F.col("cyclic") == 1).alias("cyclic"))))
+    g = n.groupBy("group", "rank").agg(
+        F.min("seq").alias("group_order"), F.count("*").alias("n_nodes"), F.count_if("entrypoint").alias("entries"), F.count_if("auth").alias("n_auth"), F.bool_or(F.coalesce("auth_edge", F.lit(False))).alias("auth_edge"), F.bool_or(F.coalesce("self", F.lit(False))).alias("self"),
         F.min_by("label", F.when(F.col("label").isNotNull(), F.struct("seq", "id"))).alias("label"), F.bool_or("paged").alias("paged"), F.bool_or("unresolved").alias("unresolved"),
         *[F.bool_or(F.col("method") == x).alias(x.lower()) for x in ("GET", "POST", "DELETE", "PUT", "PATCH")],
         F.count_if(~F.col("auth")).alias("n_plain"),
     )
     g = g.join(_first(n, "head"), "group", "left").join(_first(n.filter(~F.col("auth")), "plain_head"), "group", "left")
-    g = g.join(walked, "group", "left").join(looped, "group", "left").join(one_loop, "group", "left")
+    g = large(cut(g))
+    # where every node is fed, the first one is the entry point
+    only = g.filter("entries = 0").select("group", F.get("head", F.lit(0)).alias("id")).withColumn("only", F.lit(True))
+    g = g.join(walked, "group", "left")
     put = F.col("put") | F.col("patch")
     crud = (F.col("get") & (F.col("post") | put)) | F.col("delete") | put
     g = g.withColumn("type", F.when(F.col("auth_edge"), "authentication").otherwise(F.coalesce("label", F.when(F.col("paged"), "pagination"), F.when(crud, "CRUD"), F.lit("unknown"))))
     fallback = F.when(F.col("n_plain") > 1, F.col("plain_head")).otherwise(F.col("head"))
     path = F.when(F.coalesce("path_length", F.lit(1)) > 1, F.split("path", r"\|")).when(F.col("n_nodes") > 1, fallback).otherwise(F.col("head"))
-    cyclic = F.coalesce("cyclic", "self", F.lit(False))
+    cyclic = F.coalesce("cyclic", F.lit(False)) | F.col("self")
     g = g.withColumns({"critical_path": path, "n_entrypoints": F.greatest("entries", F.lit(1)), "cycle_participation": cyclic})
     one = (F.col("n_entrypoints") == 1) & (F.size("critical_path") > 1)
     score = F.lit(0.5)
@@ -251,8 +258,6 @@ def synthesize(nodes: DataFrame, edges: DataFrame, comp: DataFrame) -> tuple[Dat
         F.coalesce("path_stopped", F.lit(False)).alias("critical_path_stopped"),
     )
     on_path = flows.select("group", F.explode(F.split("critical_path", r"\|")).alias("id")).withColumn("critical", F.lit(True))
-    # where every node is fed, the first one is the entry point
-    only = g.filter("entries = 0").select("group", F.get("head", F.lit(0)).alias("id")).withColumn("only", F.lit(True))
     roles = n.select("group", "id", "entrypoint", "auth", "unresolved").join(on_path, ["group", "id"], "left").join(only, ["group", "id"], "left")
     roles = roles.withColumns({"critical": F.coalesce("critical", F.lit(False)), "entrypoint": F.col("entrypoint") | F.coalesce("only", F.lit(False))}).drop("only")
     return flows, roles

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from hearsay.operators import graph, workflows
 from hearsay.plans import catalog
 
 
@@ -13,3 +14,16 @@ def test_graph_is_never_broadcast(spark, sf_dir, name):
     assert "SortMergeJoin" in plan
     # running numbers are sent by range, crossed tables have one row each
     assert [x for x in re.findall(r"Broadcast\w*Join.*", plan) if "numbered_part" not in x and "NestedLoop" not in x] == []
+
+
+def test_summary_walks_components_once_for_workflows(spark, sf_dir, monkeypatch):
+    walks, real = [], graph.per_component
+
+    def counted(nodes, edges, comp, fn, *args, **kwargs):
+        walks.append(fn.__name__)
+        return real(nodes, edges, comp, fn, *args, **kwargs)
+
+    for module in (graph, workflows):
+        monkeypatch.setattr(module, "per_component", counted)
+    assert catalog.QUERIES["summary_row"](spark, sf_dir).count() == 1
+    assert sorted(walks) == ["auth_chains_of", "walked_of"]
