@@ -45,18 +45,16 @@ def endpoint_targets(registry: DataFrame, failures: DataFrame | None = None) ->
 
 def workflow_targets(flows: DataFrame, roles: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
     """Workflows (with id) that can't be replayed safely yet. Failures may be recorded under the workflow or its target.
-    Their prerequisites are counted here and are rows of ``prerequisites``."""
+    Their prerequisites, of which ``synthesize`` has the number, are rows of ``prerequisites``."""
     w = flows.filter(F.col("viability").isin("partially replayable", "unresolved replay"))
     if failures is not None:
         failures = failures.withColumn("target_id", F.regexp_replace("target_id", "^explore_wf_", ""))
     w = _failures(w, F.col("id"), failures).filter("failures <= 2")
     fan = F.col("n_optional") > F.col("critical_length") * 2
-    if roles is not None:
-        w = w.join(roles.filter("entrypoint").groupBy("group").agg(F.count("*").alias("_entries")), "group", "left")
     return _target(
         w, id=F.concat(F.lit("explore_wf_"), F.col("id")), type=F.lit("workflow_branch"), priority=60 + F.when(fan, 10).otherwise(0) - F.col("failures") * 20,
         rationale=F.concat(F.lit("Partially replayable workflow requiring exploration"), F.when(fan, " with high fanout potential").otherwise("")),
-        safety=F.when(F.col("viability") == "unresolved replay", "caution").otherwise("safe"), n_prerequisites=F.coalesce("_entries", F.lit(0)) if roles is not None else F.lit(0),
+        safety=F.when(F.col("viability") == "unresolved replay", "caution").otherwise("safe"), n_prerequisites=F.col("n_entrypoints") if roles is not None else F.lit(0),
         metadata=F.to_json(F.struct(F.col("type").alias("workflowType"), F.col("n_optional").alias("branches"))), seq=F.col("wf_order.group_order") + (1 << 42),
     ).filter("priority > 0")
 
