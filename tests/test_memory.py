@@ -16,7 +16,7 @@ def test_graph_is_never_broadcast(spark, sf_dir, name):
     assert [x for x in re.findall(r"Broadcast\w*Join.*", plan) if "numbered_part" not in x and "NestedLoop" not in x] == []
 
 
-@pytest.mark.parametrize("name", ["exploration_plan"])
+@pytest.mark.parametrize("name", ["exploration_plan", "workflow_models"])
 def test_walks_are_written_before_the_result(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("SortMergeJoin") <= 2
