@@ -43,7 +43,7 @@ def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
 
 def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of which both ends are nodes."""
-    ids = nodes.select("id")
+    ids = large(nodes.select("id"))
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
@@ -138,10 +138,10 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "downstream"
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the least (seq, id) order number of its nodes, so components sort as first seen."""
-    found = connected_components(edges.select(F.col("source").alias("u"), F.col("target").alias("v"))).withColumnRenamed("node", "id")
+    found = connected_components(edges.select(F.col("source").alias("u"), F.col("target").alias("v")), broadcast=False).withColumnRenamed("node", "id")
     tagged = nodes.select("id", "seq").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = tagged.groupBy("component").agg(F.min("seq").alias("first_seq"), F.count("*").alias("size"))
-    return tagged.join(first, "component").select("id", "component", "first_seq", "size")
+    return tagged.join(large(first), "component").select("id", "component", "first_seq", "size")
 
 
 class Node(NamedTuple):

@@ -4,8 +4,9 @@ import re
 
 import pytest
 
-from hearsay.operators import graph, workflows
+from hearsay.operators import components, graph, workflows
 from hearsay.plans import catalog
+from hearsay.plans import vectors as V
 
 
 @pytest.mark.parametrize("name", ["unify_graph", "workflow_type_counts", "exploration_prerequisites", "exploration_plan", "workflow_models", "summary_row"])
@@ -16,6 +17,21 @@ def test_graph_is_never_broadcast(spark, sf_dir, name):
     assert [x for x in re.findall(r"Broadcast\w*Join.*", plan) if "numbered_part" not in x and "NestedLoop" not in x] == []
 
 
+def test_graph_is_never_broadcast_while_it_is_made(spark, monkeypatch):
+    plans, real = [], components.cut
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(components, "cut", lambda df: real(plan(df)))
+    nodes, edges = V.frame(spark, V.NODES, graph.NODE), V.frame(spark, V.EDGES, graph.EDGE)
+    plan(graph.known_edges(nodes, edges))
+    got = {r["id"]: r["component"] for r in plan(graph.components(nodes, edges)).collect()}
+    assert len(got) == len(V.NODES) and got["login"] == got["ws"] != got["lone"]
+    assert len(plans) > 3 and [x for p in plans for x in re.findall(r"Broadcast\w*Join.*", p)] == []
+
+
 @pytest.mark.parametrize("name", ["exploration_plan", "workflow_models"])
 def test_walks_are_written_before_the_result(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
