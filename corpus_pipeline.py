@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hearsay.llm import bpe, decontaminate, linededup, neardup, toxicity
 from hearsay.llm.text import fresh, own
-from hearsay.runtime import shared_dir, table
+from hearsay.runtime import cut, shared_dir, table
 
 
 def renamed(docs: DataFrame, *added: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -49,7 +49,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class one document stays: the least id (null only if all are), of one id the least hash of the text, of equal
     texts of one id the row that comes first as JSON. Documents without words all stay."""
-    classes = neardup.near_duplicates(docs).filter("class is not null").select("id", "t", "class")
+    classes = cut(neardup.near_duplicates(docs).filter("class is not null").select("id", "t", "class"))
     kept = classes.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "t")).alias("kept"))
     rows = classes.groupBy("id", "t", "class").agg(F.count("*").alias("n")).join(kept, "class")
     is_kept = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("t") == F.col("kept.t"))

@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         forget(sets)
         links = checked.groupBy("c").agg(F.sum("links").alias("links"))
         classes = connected_components(checked.filter("other is not null").select(F.col("c").alias("u"), F.col("other").alias("v")))
-        tagged = nodes.join(classes.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left").withColumn("component", F.coalesce("component", "c"))
+        # written once, as it is read twice: else the result's plan has all joins before it twice, and the driver holds that plan
+        tagged = cut(nodes.join(classes.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left").withColumn("component", F.coalesce("component", "c")))
         least = tagged.groupBy("component").agg(F.min("least").alias("class_least"))
         out = base.join(tagged.join(least, "component"), "c", "left")
     return out.select(

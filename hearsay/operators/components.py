@@ -51,7 +51,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 50, broadcast: boo
         seen = sign
     else:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
-    roots = now.select(F.col("v").alias("node")).distinct()
-    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-    loops = given.filter("u = v").select(F.col("u").alias("node")).distinct().join(side(out), "node", "left_anti")
-    return side(out.unionByName(loops.select("node", F.col("node").alias("component"))))
+    # a component is its least node, so of a node that has a loop besides, or is a root, the least is right
+    loops = given.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).unionByName(loops)
+    return side(out.groupBy("node").agg(F.min("component").alias("component")))

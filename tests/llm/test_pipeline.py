@@ -68,3 +68,12 @@ def test_empty_tables(spark, tmp_path):
 def test_registration():
     assert sorted(QUERIES, key=lambda x: int(x[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 10 and set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "bpe"]
+
+
+def test_plan_of_near_duplicates_stays_short(spark, sf_dir):
+    """What classes are made of is written, not planned again for each use: that plan is held by the driver."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") + plan.count("BroadcastExchange") < 15
+    assert out.count() < docs.count()
