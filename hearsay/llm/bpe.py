@@ -3,7 +3,7 @@
 The frequent words of the corpus (counted over all of it) are compiled, with the ids each encodes to, into an
 automaton in which words share prefixes and suffixes; walking a word adds up the counts on its arcs, which gives its
 place in the sorted lexicon and so its ids. The automaton is a few arrays in one file, memory-mapped by each worker
-and walked for all new words of a batch at once. Words that it lacks are merged exactly, by rank.
+and walked for all new words of a batch at once. Words that it lacks are merged exactly, by rank, and side by side too.
 
 The result is that of the tokenizers library for the same file, without added special tokens; the file's special
 token in a text is matched as such. Defined results: null and empty texts have no ids and decode to the empty text;
@@ -33,6 +33,11 @@ from hearsay.runtime import cut
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Pieces of up to so many bytes merge side by side, with others of about their length (WIDTHS) and BESIDE of them at most.
+SHORT, WIDTHS, BESIDE = 40, (2, 4, 6, 8, 12, 16, 24, 40), 16_384
+#: The rank of a pair that doesn't merge.
+NO_RANK = 2**31 - 1
+
 
 def byte_letters() -> dict[str, int]:
     """Letter -> byte of the byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on."""
@@ -62,10 +67,80 @@ class Merges:
         for rank, pair in enumerate(model["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The pairs once more, as sorted keys with their ranks, the id that each rank makes, and the ranks of pairs of bytes."""
+        found = sorted((a * self.size + b, rank, new) for (a, b), (rank, new) in self.pairs.items())
+        self.keys, self.ranks = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        self.made = np.zeros(max((x[1] for x in found), default=-1) + 1, np.int64)
+        self.made[self.ranks] = [x[2] for x in found]
+        self.letter = np.array(self.byte_id, np.int64)
+        self.first = self._ranks(np.repeat(self.letter, 256), np.tile(self.letter, 256))
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(a), NO_RANK, np.int64)
+        want = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where((self.keys[at] == want) & (a >= 0) & (b >= 0), self.ranks[at], NO_RANK)
 
     def encode(self, piece: bytes) -> list[int]:
         ids = [i for b in piece if (i := self.byte_id[b]) >= 0]
-        return self._short(ids) if len(ids) <= 40 else self._long(ids)
+        return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """``encode`` of each piece, as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(pieces)
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        lacking = np.concatenate(([0], np.cumsum(self.letter[raw] < 0)))
+        beside = (lengths > 0) & (lengths <= SHORT) & (lacking[begin + lengths] == lacking[begin])
+        for i in np.flatnonzero(~beside).tolist():
+            out[i] = np.array(self.encode(pieces[i]), "<u4").tobytes()
+        least = 0
+        for width in WIDTHS:
+            which = np.flatnonzero(beside & (lengths > least) & (lengths <= width))
+            least = width
+            for k in range(0, len(which), BESIDE):
+                rows = which[k : k + BESIDE]
+                ids, n = self._side_by_side(raw, begin[rows], lengths[rows], width)
+                flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+                for i, a, z in zip(rows.tolist(), [0, *ends], ends, strict=False):
+                    out[i] = flat[a:z]
+        return out
+
+    def _side_by_side(self, raw: np.ndarray, begin: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, one after another; ids of each): in each turn the leftmost pair of lowest rank of every piece
+        merges. A merged pair stays in its left column; ``after`` and ``before`` lead to the next columns in use."""
+        cols = np.arange(width)
+        there = cols < lengths[:, None]
+        letters = raw[np.minimum(begin[:, None] + cols, len(raw) - 1)]
+        ids = self.letter[letters]
+        ranks = np.full(ids.shape, NO_RANK, np.int64)
+        ranks[:, :-1] = np.where(there[:, 1:], self.first[letters[:, :-1] << 8 | letters[:, 1:]], NO_RANK)
+        after, before = (np.tile(cols + x, (len(ids), 1)) for x in (1, -1))
+        live = np.arange(len(ids))
+        while len(live):
+            now = ranks[live]
+            i = now.argmin(1)
+            best = now[np.arange(len(live)), i]
+            some = best < NO_RANK
+            live, i, best = live[some], i[some], best[some]
+            j = after[live, i]
+            k = after[live, j]
+            new = self.made[best]
+            ids[live, i], there[live, j], ranks[live, j], ranks[live, i], after[live, i] = new, False, NO_RANK, NO_RANK, k
+            more = k < lengths[live]
+            r, x, y = live[more], i[more], k[more]
+            before[r, y] = x
+            ranks[r, x] = self._ranks(new[more], ids[r, y])
+            h = before[live, i]
+            more = h >= 0
+            r, x = live[more], h[more]
+            ranks[r, x] = self._ranks(ids[r, x], new[more])
+        return ids[there], there.sum(1)
 
     def _short(self, ids: list[int]) -> list[int]:
         get = self.pairs.get
@@ -208,6 +283,7 @@ class Encoder:
 
     def __init__(self, merges: Merges, lexicon: bytes, memo: int = 300_000):
         self.merges, self.lexicon, self.most = merges, Lexicon(lexicon), memo
+        self.known = self.lexicon.ids.astype("<u4").tobytes()
         self.memo: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
         self.special = sorted(merges.special, key=len, reverse=True)
@@ -228,16 +304,17 @@ class Encoder:
             self.memo.clear()
             new = list(pieces)
         raw = [p.encode() for p in new]
-        where, lex, merge = self.lexicon.places(raw), self.lexicon, self.merges
+        where, lex, special = self.lexicon.places(raw), self.lexicon, self.merges.special
         starts, ends = lex.offsets[np.maximum(where, 0)], lex.offsets[np.maximum(where, 0) + 1] if lex.words else where
-        flat = lex.ids.astype("<u4").tobytes() if lex.words else b""
-        for p, r, w, a, b in zip(new, raw, where.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        left = []
+        for k, (p, w, a, b) in enumerate(zip(new, where.tolist(), starts.tolist(), ends.tolist(), strict=True)):
             if w >= 0:
-                self.memo[p] = flat[4 * a : 4 * b]
-            elif p.startswith("\0\0") and p[2:] in merge.special:
-                self.memo[p] = np.array([merge.special[p[2:]]], "<u4").tobytes()
+                self.memo[p] = self.known[4 * a : 4 * b]
+            elif p.startswith("\0\0") and p[2:] in special:
+                self.memo[p] = np.array([special[p[2:]]], "<u4").tobytes()
             else:
-                self.memo[p] = np.array(merge.encode(r), "<u4").tobytes()
+                left.append(k)
+        self.memo.update(zip([new[k] for k in left], self.merges.encode_all([raw[k] for k in left]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -283,7 +360,8 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = 65_536, at_l
 
 
 def make_lexicon(merges: Merges, words: list[str]) -> bytes:
-    return compile_lexicon({w.encode(): merges.encode(w.encode()) for w in words if not w.startswith("\0")})
+    raw = [w.encode() for w in words if not w.startswith("\0")]
+    return compile_lexicon({w: np.frombuffer(x, "<u4").tolist() for w, x in zip(raw, merges.encode_all(raw), strict=True)})
 
 
 #: The encoder of a worker, by a digest of its tokenizer and lexicon.

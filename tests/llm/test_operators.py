@@ -130,6 +130,22 @@ def test_bpe_against_library(spark, odd, tokenizer):
     assert all(r.decoded == (r.text or "") for r in back)
 
 
+def test_bpe_merges_side_by_side(tokenizer, merges, monkeypatch):
+    rng = random.Random(12)
+    pieces = [bytes(rng.choices(b"abcdeinorst .\xc3\xa9\xff", k=rng.randint(0, 50))) for _ in range(3000)] + [b"a" * k for k in range(60)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in merges.encode_all(pieces)] == [merges.encode(p) for p in pieces]
+    # a letter that has no id is left out, and a file without merges has only letters
+    few = bpe.Merges(json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}}))
+    assert [np.frombuffer(x, "<u4").tolist() for x in few.encode_all([b"aab", b"xab", b"x", b"", b"a"])] == [[0, 2], [2], [], [], [0]]
+    none = bpe.Merges(json.dumps({"model": {"vocab": {"a": 0}, "merges": []}}))
+    assert [np.frombuffer(x, "<u4").tolist() for x in none.encode_all([b"aa", b"b"])] == [[0, 0], []]
+    # words that the lexicon lacks aren't merged one by one
+    coder = bpe.Encoder(merges, bpe.make_lexicon(merges, ["the"]))
+    want = [coder.merges.encode(w) for w in (b"unheard", b" of", b" words")]
+    monkeypatch.setattr(bpe.Merges, "encode", lambda *_: pytest.fail("merged alone"))
+    assert np.frombuffer(coder.encode(["unheard of words"])[0], "<u4").tolist() == sum(want, [])
+
+
 def test_bpe_fuzz(tokenizer, merges):
     rng = random.Random(2)
     coder = bpe.Encoder(merges, bpe.make_lexicon(merges, ["the", " the", "they", " cat", "s"]), memo=50)
